@@ -1,0 +1,55 @@
+"""The standard operation mixes on one evolving table."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
+
+from loadlens.operators.keyed import MIXES, apply_rmw, apply_writes, op_log, op_report
+from loadlens.session import scratch_path
+from loadlens.sources.sinks import write_parquet
+
+
+def load_table(rows: DataFrame, path: str) -> DataFrame:
+    """Start from a fresh table, replacing what was there."""
+    write_parquet(rows, path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def apply_mix(table: DataFrame, log: DataFrame, kinds: Sequence[str]) -> DataFrame:
+    """The snapshot after one batch; only the steps its mix calls for."""
+    if {"update", "insert", "delete"} & set(kinds):
+        table = apply_writes(table, log)
+    if "rmw" in kinds:
+        table = apply_rmw(table, log)
+    return table
+
+
+def run_mixes(
+    table: DataFrame, ids: DataFrame, ident: str = "id", mixes: Sequence[str] = tuple(MIXES)
+) -> tuple[DataFrame, DataFrame]:
+    """Run the mixes one after the other; returns the report and the last table.
+
+    Every snapshot is written to shared storage before the next mix reads it, so
+    plans stay short and a lost executor costs one step at most. Keys drawn are
+    those of the table as loaded.
+    """
+    spark = table.sparkSession
+    folder = scratch_path(spark, "mixes")
+    current = load_table(table.select("key", "val"), f"{folder}/start")
+    first, last = current.agg(F.min("key"), F.max("key")).first()
+    if first is None:
+        raise ValueError("the table is empty")
+    reports = []
+    for number, name in enumerate(mixes):
+        log = op_log(
+            ids, MIXES[name], first, last - first + 1, seed=10 * number, ident=ident
+        )
+        report = op_report(log, current).select(F.lit(name).alias("mix"), "*")
+        reports.append(load_table(report, f"{folder}/report_{name}"))
+        current = load_table(
+            apply_mix(current, log, list(MIXES[name])), f"{folder}/after_{name}"
+        )
+    return reduce(DataFrame.unionByName, reports), current
