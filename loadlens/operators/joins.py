@@ -61,7 +61,7 @@ def lookup_join(
     on: str | tuple[str, str],
     how: str = "inner",
     *,
-    left_unique: bool = False,
+    even: bool = False,
     spread_by: str = "content",
     broadcast_rows: int = BROADCAST_ROWS,
     hot: Sequence | None = None,
@@ -70,8 +70,9 @@ def lookup_join(
 
     A right side measured to be small is broadcast. Otherwise both sides are
     shuffled; keys that hold a large share of the left are spread over
-    ``SALTS`` sub-keys, the few right rows of those keys being repeated. With
-    ``left_unique`` no key can be hot and the check is skipped.
+    ``SALTS`` sub-keys, the few right rows of those keys being repeated. Pass
+    ``even`` when no key can hold many left rows, as after counting up by it;
+    the search for hot keys, a pass over the left's keys, is then left out.
 
     ``spread_by="content"`` picks the sub-key from the whole left row, so full
     copies of one row should be counted up beforehand; ``"row"`` uses the row
@@ -83,7 +84,7 @@ def lookup_join(
 
     if fits_broadcast(right, broadcast_rows):
         return _joined(left, F.broadcast(right), [(left_key, right_key)], how)
-    if left_unique:
+    if even:
         return _joined(left, right, [(left_key, right_key)], how)
     if hot is None:
         hot = hot_keys(left, left_key)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from loadlens.functions.numbers import scatter32, uniform_int
 from loadlens.operators.joins import BROADCAST_ROWS, lookup_join
 from loadlens.operators.ranks import SLICES, slice_bounds, slice_offsets, with_slice
+from loadlens.session import snapshot
 
 # Share of each operation, in percent, per standard mix.
 MIXES = {
@@ -101,11 +102,12 @@ def range_scan(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     offsets = slice_offsets(sliced, F.col("_stored"))
-    ranked = (
+    ranked = snapshot(
         sliced.withColumn("_run", F.sum("_stored").over(run))
         # one row per slice: at most `slices` rows
         .join(F.broadcast(offsets), "_slice")
-        .withColumn("_rank", F.col("_before") + F.col("_run") - F.col("_stored"))
+        .withColumn("_rank", F.col("_before") + F.col("_run") - F.col("_stored")),
+        "ranked",
     )
     start_ranks = ranked.where("_stored = 0").select(
         F.col("key").alias("start"), F.col("_rank").alias("_first")
@@ -143,7 +145,7 @@ def delete_keys(
 ) -> DataFrame:
     return lookup_join(
         table, keys.select(key).distinct(), key, "left_anti",
-        left_unique=True, broadcast_rows=broadcast_rows,
+        even=True, broadcast_rows=broadcast_rows,
     )
 
 
@@ -189,7 +191,7 @@ def apply_updates(
     """Last update per key wins; keys the table does not hold are ignored."""
     last = log.where("op = 'update'").groupBy("key").agg(F.max_by("val", "seq").alias("_new"))
     merged = lookup_join(
-        table, last, "key", "left", left_unique=True, broadcast_rows=broadcast_rows
+        table, last, "key", "left", even=True, broadcast_rows=broadcast_rows
     )
     return merged.withColumn("val", F.coalesce("_new", "val")).drop("_new")
 
@@ -200,7 +202,7 @@ def apply_rmw(
     """Add up the read-modify-write amounts per key; amounts commute."""
     added = log.where("op = 'rmw'").groupBy("key").agg(F.sum("val").alias("_added"))
     merged = lookup_join(
-        table, added, "key", "left", left_unique=True, broadcast_rows=broadcast_rows
+        table, added, "key", "left", even=True, broadcast_rows=broadcast_rows
     )
     return merged.withColumn("val", F.col("val") + F.coalesce("_added", F.lit(0.0))).drop("_added")
 

@@ -12,6 +12,7 @@ from loadlens import schemas
 from loadlens.functions.numbers import ratio, ratio_label, signed64
 from loadlens.functions.text import stripped
 from loadlens.operators.stats import summarize
+from loadlens.session import snapshot
 
 # Setups listed first in every report, the first being the base.
 SETUP_ORDER = ("baremetal.log", "upstream.log")
@@ -127,12 +128,13 @@ def classify(lines: DataFrame, kind: LogKind) -> DataFrame:
     anything after its object fails like any other broken one.
     """
     text = stripped(F.col("value"))
-    wrapped = F.concat(F.lit("["), F.col("_text"), F.lit(",{}]"))
+    wrapped = F.when(
+        F.col("_text").startswith("{"), F.concat(F.lit("["), F.col("_text"), F.lit(",{}]"))
+    )
+    # As the output of a generator the parsed text is computed once per line;
+    # as a plain column every later use would parse it again.
     parsed = lines.withColumn("_text", text).where("_text <> ''").withColumn(
-        "_rows",
-        F.when(
-            F.col("_text").startswith("{"), F.from_json(wrapped, T.ArrayType(kind.row_type))
-        ),
+        "_rows", F.explode(F.array(F.from_json(wrapped, T.ArrayType(kind.row_type))))
     )
     row = F.col("row")
     other = row["bench"].isNull() | (row["bench"] != kind.name)
@@ -213,7 +215,9 @@ def summarize_metrics(
 
     With ``files`` (a listing), files without a result row appear with n = 0.
     """
-    summary = summarize(metric_values(rows, kind), ["file", "metric"], "value")
+    # Stored, so that the text is parsed once and not in every pass.
+    values = snapshot(metric_values(rows, kind), "metrics")
+    summary = summarize(values, ["file", "metric"], "value")
     if files is None:
         return summary
     names = F.array(*[F.lit(m) for m in kind.metrics])
@@ -330,8 +334,9 @@ def compare_setups(
     summary: DataFrame, setup: str, value: str, preferred: Sequence[str] = SETUP_ORDER
 ) -> DataFrame:
     """Each setup's value relative to the base, both ways, with labels."""
-    base = base_value(summary, setup, value, preferred)
-    with_base = summary.select(setup, value).withColumn("base", base)
+    # One row per setup; stored, as it is read for the base and for the ratios.
+    values = snapshot(summary.select(setup, value), "setups")
+    with_base = values.withColumn("base", base_value(values, setup, value, preferred))
     mine, other = F.col(value), F.col("base")
     return with_base.select(
         setup,

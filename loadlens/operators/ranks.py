@@ -8,12 +8,13 @@ holds a wanted rank, and only that slice is counted value by value.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loadlens.operators.joins import fits_broadcast, null_safe_join
-from loadlens.session import pin
+from loadlens.session import snapshot
 
 SLICES = 1024
 
@@ -43,30 +44,80 @@ def with_slice(df: DataFrame, value: str, bounds: Sequence[float]) -> DataFrame:
     )
 
 
-def select_ranks(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    ranks: Mapping[str, Callable[[Column], Column]],
-    slices: int = SLICES,
-) -> DataFrame:
-    """Per group, the values at given 0-based ranks of the sorted column.
+@dataclass(frozen=True)
+class SlicedGroups:
+    """Rows with their slice, and one stored line per (group, slice)."""
 
-    ``ranks`` maps an output column to a function of the group's row count.
-    NULLs are not ranked.
+    keys: tuple[str, ...]
+    rows: DataFrame
+    profile: DataFrame
+
+
+def slice_groups(
+    df: DataFrame, keys: Sequence[str], value: str, slices: int = SLICES
+) -> SlicedGroups:
+    """Cut a column and profile every (group, slice).
+
+    Two passes over the column: one for the bounds, one for the profile, which
+    is stored and has at most ``slices + 1`` lines per group. NaN counts as NULL;
+    NULLs have a line of their own, without a slice.
     """
-    keys = list(keys)
-    rows = df.select(*keys, F.col(value).alias("_value")).where("_value IS NOT NULL")
+    plain = F.col(value)
+    if df.schema[value].dataType.typeName() in ("double", "float"):
+        plain = F.nanvl(plain, F.lit(None).cast("double"))
+    rows = df.select(*keys, plain.alias("_value"))
     sliced = with_slice(rows, "_value", slice_bounds(rows, "_value", slices))
+    number = F.col("_value").cast("double")
+    profile = sliced.groupBy(*keys, "_slice").agg(
+        F.count("_value").alias("_size"),
+        F.min("_value").alias("_min"),
+        F.max("_value").alias("_max"),
+        F.avg(number).alias("_mean"),
+        F.var_pop(number).alias("_var"),
+    )
+    return SlicedGroups(tuple(keys), sliced, snapshot(profile, "profile"))
+
+
+def group_moments(groups: SlicedGroups) -> DataFrame:
+    """n, mean, min, max and sample deviation per group, from the profile alone."""
+    whole = Window.partitionBy(*groups.keys)
+    size, mean = F.col("_size"), F.col("_mean")
+    centred = groups.profile.withColumn(
+        "_centre", F.sum(size * mean).over(whole) / F.nullif(F.sum(size).over(whole), F.lit(0))
+    )
+    gap = mean - F.col("_centre")
+    return centred.groupBy(*groups.keys).agg(
+        F.sum(size).alias("n"),
+        F.max("_centre").alias("mean"),
+        F.min("_min").alias("min"),
+        F.max("_max").alias("max"),
+        F.when(F.sum(size) == 1, F.lit(0.0))
+        .when(
+            F.sum(size) > 1,
+            F.sqrt(F.sum(size * (F.col("_var") + gap * gap)) / (F.sum(size) - 1)),
+        )
+        .alias("stdev"),
+    )
 
-    # At most `slices` rows per group from here to `wanted`.
+
+def pick_ranks(
+    groups: SlicedGroups, ranks: Mapping[str, Callable[[Column], Column]]
+) -> DataFrame:
+    """Per group its size ``_n`` and the values at given 0-based ranks.
+
+    ``ranks`` maps an output column to a function of the group's row count.
+    NULLs are not ranked. One more pass, over the slices that hold a rank.
+    """
+    keys = list(groups.keys)
     group = Window.partitionBy(*keys)
-    sizes = sliced.groupBy(*keys, "_slice").agg(F.count("*").alias("_size"))
-    placed = sizes.withColumn("_n", F.sum("_size").over(group)).withColumn(
-        "_end",
-        F.sum("_size").over(
-            group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ),
+    placed = groups.profile.where("_slice IS NOT NULL").select(
+        *keys,
+        "_slice",
+        "_size",
+        F.sum("_size").over(group).alias("_n"),
+        F.sum("_size")
+        .over(group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        .alias("_end"),
     )
     asked = F.array(
         *[
@@ -74,28 +125,27 @@ def select_ranks(
             for name, rank in ranks.items()
         ]
     )
-    wanted = pin(
-        placed.select(*keys, "_slice", "_size", "_end", F.explode(asked).alias("_ask"))
-        .where(
-            (F.col("_ask.rank") < F.col("_end"))
-            & (F.col("_ask.rank") >= F.col("_end") - F.col("_size"))
-        )
+    begin = F.col("_end") - F.col("_size")
+    wanted = (
+        placed.withColumn("_ask", F.explode(asked))
+        .where((F.col("_ask.rank") >= begin) & (F.col("_ask.rank") < F.col("_end")))
         .select(
             *keys,
             "_slice",
+            "_n",
             F.col("_ask.name").alias("_name"),
-            (F.col("_ask.rank") - (F.col("_end") - F.col("_size"))).alias("_within"),
+            (F.col("_ask.rank") - begin).alias("_within"),
         )
     )
 
     slice_keys = [*keys, "_slice"]
-    needed = wanted.select(*slice_keys).distinct()
     by_value = [*slice_keys, "_value"]
+    needed = wanted.select(*slice_keys).distinct()
     if fits_broadcast(needed):
-        kept = null_safe_join(sliced, F.broadcast(needed), slice_keys, "left_semi")
+        kept = null_safe_join(groups.rows, F.broadcast(needed), slice_keys, "left_semi")
         counted = kept.groupBy(*by_value).agg(F.count("*").alias("_size"))
     else:
-        counted = sliced.groupBy(*by_value).agg(F.count("*").alias("_size"))
+        counted = groups.rows.groupBy(*by_value).agg(F.count("*").alias("_size"))
         counted = null_safe_join(counted, needed, slice_keys, "left_semi")
     running = counted.withColumn(
         "_upto",
@@ -107,7 +157,8 @@ def select_ranks(
     )
     reached = null_safe_join(running, wanted, slice_keys).where("_upto > _within")
     return reached.groupBy(*keys).agg(
-        *[F.min(F.when(F.col("_name") == name, F.col("_value"))).alias(name) for name in ranks]
+        F.max("_n").alias("_n"),
+        *[F.min(F.when(F.col("_name") == name, F.col("_value"))).alias(name) for name in ranks],
     )
 
 

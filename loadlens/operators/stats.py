@@ -7,7 +7,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loadlens.operators.joins import null_safe_join
-from loadlens.operators.ranks import SLICES, select_ranks
+from loadlens.operators.ranks import (
+    SLICES,
+    SlicedGroups,
+    group_moments,
+    pick_ranks,
+    slice_groups,
+)
 
 # The shares and nanosecond limits the reports use.
 SUMMARY_SHARES = {"p10": 0.10, "median": 0.50, "p90": 0.90}
@@ -29,25 +35,23 @@ def percentiles(
     slices: int = SLICES,
 ) -> DataFrame:
     """Exact percentiles, linear between the two nearest ranks."""
+    return _percentiles(slice_groups(df, keys, value, slices), shares)
 
-    def at(share: float) -> Column:
-        return lambda n: (n - 1) * F.lit(share)
 
+def _percentiles(groups: SlicedGroups, shares: Mapping[str, float]) -> DataFrame:
     ranks = {}
     for name, share in shares.items():
-        ranks[f"{name}_low"] = lambda n, p=share: F.floor(at(p)(n))
-        ranks[f"{name}_high"] = lambda n, p=share: F.ceil(at(p)(n))
-    found = select_ranks(df, keys, value, ranks, slices)
-    sizes = df.groupBy(*keys).agg(F.count(value).alias("_n"))
-    both = null_safe_join(found, sizes, keys)
+        ranks[f"{name}_low"] = lambda n, p=share: F.floor((n - 1) * F.lit(p))
+        ranks[f"{name}_high"] = lambda n, p=share: F.ceil((n - 1) * F.lit(p))
 
     def between(name: str, share: float) -> Column:
         low, high = (F.col(f"{name}_{end}").cast("double") for end in ("low", "high"))
-        position = at(share)(F.col("_n"))
+        position = (F.col("_n") - 1) * F.lit(share)
         weight = position - F.floor(position)
         return (low * (1 - weight) + high * weight).alias(name)
 
-    return both.select(*keys, *[between(name, share) for name, share in shares.items()])
+    found = pick_ranks(groups, ranks)
+    return found.select(*groups.keys, *[between(n, share) for n, share in shares.items()])
 
 
 def approx_percentiles(
@@ -69,40 +73,42 @@ def rank_percentiles(
     ranks = {"p50": lambda n: F.floor(n / 2)}
     for name, share in LOWER_SHARES.items():
         ranks[name] = lambda n, p=share: F.floor((n - 1) * F.lit(p))
-    plain = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(
-        F.count(value).alias("n"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
-        F.avg(F.col(value).cast("double")).alias("mean"),
-    )
-    return null_safe_join(plain, select_ranks(df, keys, value, ranks, slices), keys)
+    groups = slice_groups(df, keys, value, slices)
+    plain = group_moments(groups).drop("stdev").where("n > 0")
+    return null_safe_join(plain, pick_ranks(groups, ranks).drop("_n"), keys)
 
 
 def moments(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """n, mean, min, max, stdev and cv, in one partial aggregate."""
+    """n, mean, min, max and stdev in one pass, where no percentile is wanted."""
     number = F.col(value).cast("double")
-    base = df.groupBy(*keys).agg(
+    stdev = F.when(F.count(number) == 1, F.lit(0.0)).otherwise(F.stddev_samp(number))
+    return df.groupBy(*keys).agg(
         F.count(number).alias("n"),
         F.avg(number).alias("mean"),
         F.min(number).alias("min"),
         F.max(number).alias("max"),
-        F.stddev_samp(number).alias("_spread"),
+        stdev.alias("stdev"),
     )
-    stdev = F.when(F.col("n") == 1, F.lit(0.0)).otherwise(F.col("_spread"))
-    return base.withColumn("stdev", stdev).withColumn(
-        "cv", F.col("stdev") / F.nullif(F.col("mean"), F.lit(0.0))
-    ).drop("_spread")
 
 
 def summarize(
     df: DataFrame, keys: Sequence[str], value: str, slices: int = SLICES
 ) -> DataFrame:
     """Full summary per group; NULLs are left out, an empty group has n = 0."""
-    keys = list(keys)
-    shares = percentiles(df, keys, value, SUMMARY_SHARES, slices)
-    both = null_safe_join(moments(df, keys, value), shares, keys, "left")
+    groups = slice_groups(df, keys, value, slices)
+    shares = _percentiles(groups, SUMMARY_SHARES)
+    both = null_safe_join(group_moments(groups), shares, keys, "left")
     return both.select(
-        *keys, "n", "mean", "median", "min", "max", "stdev", "cv", "p10", "p90"
+        *keys,
+        "n",
+        "mean",
+        "median",
+        F.col("min").cast("double").alias("min"),
+        F.col("max").cast("double").alias("max"),
+        "stdev",
+        (F.col("stdev") / F.nullif(F.col("mean"), F.lit(0.0))).alias("cv"),
+        "p10",
+        "p90",
     )
 
 
@@ -118,11 +124,3 @@ def tail_counts(
         F.count_if(number == 0).alias("zero"),
         *[F.count_if(number > limit).alias(name) for name, limit in limits.items()],
     )
-
-
-def tail_counts_wide(value: str, limits: Mapping[str, float] = TAIL_LIMITS_NS) -> list[Column]:
-    """The same counts as columns, to go with other aggregates."""
-    number = F.col(value)
-    return [F.count_if(number == 0).alias("zero")] + [
-        F.count_if(number > limit).alias(name) for name, limit in limits.items()
-    ]

@@ -72,7 +72,7 @@ def promo_effect(
     promoted = part.select("p_partkey", F.col("p_type").startswith("PROMO").alias("is_promo"))
     both = lookup_join(
         sold, promoted, ("l_partkey", "p_partkey"),
-        left_unique=True, broadcast_rows=broadcast_rows,
+        even=True, broadcast_rows=broadcast_rows,
     )
     promo = F.sum(F.when(F.col("is_promo"), F.col("net")).otherwise(0))
     return both.agg(
@@ -189,7 +189,7 @@ def late_orders(
     )
     named = lookup_join(
         by_key, supplier.select("s_suppkey", "s_name", "s_nationkey"), ("l_suppkey", "s_suppkey"),
-        broadcast_rows=broadcast_rows,
+        even=True, broadcast_rows=broadcast_rows,
     )
     # Nations are few by nature, suppliers of one nation may be many: counted up
     # before this join.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from loadlens.operators.joins import lookup_join
+from loadlens.session import snapshot
 
 _PLACE = ("file", "_start", "_length")
 
@@ -47,13 +48,13 @@ def with_line_numbers(chosen: DataFrame, lines: DataFrame) -> DataFrame:
         .orderBy("_start")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    placed = splits.select(
+    placed = snapshot(splits.select(
         F.concat_ws("|", "path", F.col("_start").cast("string"), F.col("_length").cast("string"))
         .alias("_split"),
         "_low",
         "_high",
         (F.sum("_lines").over(run) - F.col("_lines")).alias("_before"),
-    )
+    ), "splits")
     keyed = chosen.withColumn(
         "_split",
         F.concat_ws("|", "path", F.col("_start").cast("string"), F.col("_length").cast("string")),
@@ -82,7 +83,7 @@ def file_errors(files: DataFrame, lines: DataFrame) -> DataFrame:
         F.regexp_replace("path", "^file:/+", "/").alias("_path")
     )
     listed = files.withColumn("_path", F.regexp_replace("path", "^file:/+", "/"))
-    missing = lookup_join(listed, seen, "_path", "left_anti", left_unique=True)
+    missing = lookup_join(listed, seen, "_path", "left_anti", even=True)
     return missing.where("length > 0").select("file", F.lit("unreadable").alias("reason"))
 
 

@@ -14,6 +14,7 @@ def make_session():
         "local[8]",
         spark_sql_shuffle_partitions="8",
         spark_ui_enabled="false",
+        spark_ui_showConsoleProgress="false",
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
