@@ -12,8 +12,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loadlens.functions.numbers import scatter32, uniform_int
-from loadlens.operators.joins import BROADCAST_ROWS, lookup_join
-from loadlens.operators.ranks import SLICES, slice_bounds, slice_offsets, with_slice
+from loadlens.operators.joins import BROADCAST_ROWS, fits_broadcast, lookup_join
+from loadlens.operators.ranks import slice_bounds, slice_offsets, slices_for, with_slice
 from loadlens.session import snapshot
 
 # Share of each operation, in percent, per standard mix.
@@ -78,7 +78,7 @@ def point_lookup(
 def range_scan(
     requests: DataFrame,
     table: DataFrame,
-    slices: int = SLICES,
+    slices: int | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """For each ``req_id, start, scan_len``: the first rows from ``start`` on.
@@ -92,7 +92,7 @@ def range_scan(
     marks = table.select("key", row.alias("_row"), F.lit(1).alias("_stored")).unionByName(
         starts.select("key", F.lit(0).alias("_stored")), allowMissingColumns=True
     )
-    bounds = slice_bounds(marks, "key", slices)
+    bounds = slice_bounds(marks, "key", slices or slices_for(table))
     sliced = with_slice(marks, "key", bounds)
     # A start sorts before the stored row of the same key, so the running count
     # of stored rows is the start's own rank.
@@ -124,10 +124,14 @@ def range_scan(
             F.sequence(F.floor(F.col("_first") / _SCAN_BLOCK), F.floor(last / _SCAN_BLOCK))
         ),
     )
-    # `stored` holds at most _SCAN_BLOCK rows per block.
-    found = lookup_join(spans, stored, "_block", broadcast_rows=broadcast_rows).where(
-        F.col("_rank").between(F.col("_first"), last)
-    )
+    if fits_broadcast(requests, broadcast_rows):
+        # A request spans at most 1 + MAX_SCAN / _SCAN_BLOCK blocks, so the spans
+        # are as few as the requests and the table stays where it is.
+        found = stored.join(F.broadcast(spans), "_block")
+    else:
+        # `stored` holds at most _SCAN_BLOCK rows per block.
+        found = lookup_join(spans, stored, "_block", broadcast_rows=broadcast_rows)
+    found = found.where(F.col("_rank").between(F.col("_first"), last))
     return found.select("req_id", (F.col("_rank") - F.col("_first")).alias("pos"), "_row.*")
 
 
@@ -168,20 +172,36 @@ def net_effect(log: DataFrame, upsert: bool = False) -> DataFrame:
     )
 
 
-def apply_writes(table: DataFrame, log: DataFrame, upsert: bool = False) -> DataFrame:
+def apply_writes(
+    table: DataFrame,
+    log: DataFrame,
+    upsert: bool = False,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
     """The snapshot after the inserts, updates and deletes of a log.
 
     An update, or a delete, of a key that does not exist at its turn does
-    nothing (unless ``upsert``). Both sides of the join hold a key once.
+    nothing (unless ``upsert``). A log that touches few keys is sent to the
+    table; otherwise both are shuffled, each holding a key once.
     """
-    effect = net_effect(log, upsert).withColumnRenamed("key", "_key")
-    held = table.withColumn("_held", F.lit(True))
-    both = held.join(effect, F.col("key") == F.col("_key"), "full")
+    effect = snapshot(net_effect(log, upsert), "effect").withColumnRenamed("key", "_key")
+    others = [c for c in table.columns if c not in ("key", "val")]
     alive = F.coalesce("_exists", "_held", F.lit(False))
-    return both.where(alive).select(
-        F.coalesce("key", "_key").alias("key"),
-        F.coalesce("_written", "val").alias("val"),
-        *[c for c in table.columns if c not in ("key", "val")],
+    held = table.withColumn("_held", F.lit(True))
+    match = F.col("key") == F.col("_key")
+    changed = [
+        F.coalesce("key", "_key").alias("key"), F.coalesce("_written", "val").alias("val"), *others
+    ]
+    if not fits_broadcast(effect, broadcast_rows):
+        return held.join(effect, match, "full").where(alive).select(changed)
+
+    kept = held.join(F.broadcast(effect), match, "left").where(alive).select(changed)
+    made = effect.where("_exists")
+    known = table.select("key").join(F.broadcast(made), match, "left_semi")
+    new = made.join(known, match, "left_anti")
+    return kept.unionByName(
+        new.select(F.col("_key").alias("key"), F.col("_written").alias("val")),
+        allowMissingColumns=True,
     )
 
 
@@ -191,7 +211,7 @@ def apply_updates(
     """Last update per key wins; keys the table does not hold are ignored."""
     last = log.where("op = 'update'").groupBy("key").agg(F.max_by("val", "seq").alias("_new"))
     merged = lookup_join(
-        table, last, "key", "left", even=True, broadcast_rows=broadcast_rows
+        table, snapshot(last, "updates"), "key", "left", even=True, broadcast_rows=broadcast_rows
     )
     return merged.withColumn("val", F.coalesce("_new", "val")).drop("_new")
 
@@ -202,7 +222,7 @@ def apply_rmw(
     """Add up the read-modify-write amounts per key; amounts commute."""
     added = log.where("op = 'rmw'").groupBy("key").agg(F.sum("val").alias("_added"))
     merged = lookup_join(
-        table, added, "key", "left", even=True, broadcast_rows=broadcast_rows
+        table, snapshot(added, "added"), "key", "left", even=True, broadcast_rows=broadcast_rows
     )
     return merged.withColumn("val", F.col("val") + F.coalesce("_added", F.lit(0.0))).drop("_added")
 
@@ -216,7 +236,9 @@ def op_report(
     """
     per_key = log.groupBy("op", "key").agg(F.count("*").alias("_ops"))
     known = table.select("key", F.lit(True).alias("_held"))
-    looked = lookup_join(per_key, known, "key", "left", broadcast_rows=broadcast_rows)
+    looked = lookup_join(
+        per_key, known, "key", "left", even=True, broadcast_rows=broadcast_rows
+    )
     hits = F.coalesce(F.sum(F.when(F.col("_held"), F.col("_ops"))), F.lit(0))
     return looked.groupBy("op").agg(
         F.sum("_ops").alias("ops"),

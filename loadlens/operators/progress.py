@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loadlens.functions.numbers import ratio
 from loadlens.operators.joins import lookup_join, null_safe_join
+from loadlens.session import snapshot
 
 ENTITY = ["run", "entity"]
 
@@ -39,11 +40,12 @@ def align(samples: DataFrame, step: int) -> DataFrame:
     """Every entity's latest ticks at each grid point of its run.
 
     An entity appears from its first sample on and is carried forward to the
-    last grid point of the run.
+    last grid point of the run. ``run`` must not be NULL.
     """
     cells = samples.groupBy(*ENTITY, grid_cell(F.col("t"), step).alias("cell")).agg(
         F.max_by("ticks", "t").alias("ticks"), F.min("t").alias("_first")
     )
+    cells = snapshot(cells, "cells")
     ends = cells.groupBy("run").agg(F.max("cell").alias("_end"))
     own = Window.partitionBy(*ENTITY)
     ordered = own.orderBy("cell")
@@ -54,7 +56,7 @@ def align(samples: DataFrame, step: int) -> DataFrame:
         ),
     )
     until = F.coalesce(F.col("_next") - 1, F.col("_end"))
-    return null_safe_join(spans, ends, ["run"]).select(
+    return lookup_join(spans, ends, "run").select(
         *ENTITY, "ticks", "first_t", F.explode(F.sequence(F.col("cell"), until)).alias("cell")
     ).withColumn("grid_t", F.col("cell") * F.lit(step))
 

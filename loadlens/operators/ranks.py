@@ -17,6 +17,14 @@ from loadlens.operators.joins import fits_broadcast, null_safe_join
 from loadlens.session import snapshot
 
 SLICES = 1024
+# Where whole rows are sorted per slice: about this many rows in a slice.
+SLICE_ROWS = 500_000
+MAX_SLICES = 8192
+
+
+def slices_for(df: DataFrame) -> int:
+    """Number of slices that keeps one slice a task's worth of rows."""
+    return max(1, min(MAX_SLICES, df.count() // SLICE_ROWS))
 
 
 def slice_bounds(df: DataFrame, value: str, slices: int = SLICES) -> list[float]:
@@ -46,7 +54,10 @@ def with_slice(df: DataFrame, value: str, bounds: Sequence[float]) -> DataFrame:
 
 @dataclass(frozen=True)
 class SlicedGroups:
-    """Rows with their slice, and one stored line per (group, slice)."""
+    """Rows with their slice, and one stored line per (group, slice).
+
+    Without keys all rows are one group, under a key of its own.
+    """
 
     keys: tuple[str, ...]
     rows: DataFrame
@@ -65,7 +76,9 @@ def slice_groups(
     plain = F.col(value)
     if df.schema[value].dataType.typeName() in ("double", "float"):
         plain = F.nanvl(plain, F.lit(None).cast("double"))
-    rows = df.select(*keys, plain.alias("_value"))
+    own = [F.col(k) for k in keys] or [F.lit(0).alias("_all")]
+    rows = df.select(*own, plain.alias("_value"))
+    keys = keys or ["_all"]
     sliced = with_slice(rows, "_value", slice_bounds(rows, "_value", slices))
     number = F.col("_value").cast("double")
     profile = sliced.groupBy(*keys, "_slice").agg(

@@ -35,7 +35,7 @@ def percentiles(
     slices: int = SLICES,
 ) -> DataFrame:
     """Exact percentiles, linear between the two nearest ranks."""
-    return _percentiles(slice_groups(df, keys, value, slices), shares)
+    return _percentiles(slice_groups(df, keys, value, slices), shares).select(*keys, *shares)
 
 
 def _percentiles(groups: SlicedGroups, shares: Mapping[str, float]) -> DataFrame:
@@ -75,7 +75,8 @@ def rank_percentiles(
         ranks[name] = lambda n, p=share: F.floor((n - 1) * F.lit(p))
     groups = slice_groups(df, keys, value, slices)
     plain = group_moments(groups).drop("stdev").where("n > 0")
-    return null_safe_join(plain, pick_ranks(groups, ranks).drop("_n"), keys)
+    picked = pick_ranks(groups, ranks).drop("_n")
+    return null_safe_join(plain, picked, groups.keys).drop("_all")
 
 
 def moments(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -97,7 +98,7 @@ def summarize(
     """Full summary per group; NULLs are left out, an empty group has n = 0."""
     groups = slice_groups(df, keys, value, slices)
     shares = _percentiles(groups, SUMMARY_SHARES)
-    both = null_safe_join(group_moments(groups), shares, keys, "left")
+    both = null_safe_join(group_moments(groups), shares, groups.keys, "left")
     return both.select(
         *keys,
         "n",

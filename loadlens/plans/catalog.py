@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from loadlens import schemas
 from loadlens.functions.numbers import scatter32_sql, short_number
 from loadlens.operators import checks, keyed, logs, progress, stats
+from loadlens.operators.joins import null_safe_join
 from loadlens.plans import pipelines, reports, workloads
 from loadlens.plans.log_reports import setup_report
 from loadlens.session import scratch_path
@@ -714,10 +715,10 @@ def raw_samples(spark, sf):
     read_table(spark, sf, "events").select(
         F.floor("value").cast("string").alias("value")
     ).write.text(folder)
-    samples = log_files.read_samples(spark, folder, "part-*").withColumn("all", F.lit(1))
-    ranks = stats.rank_percentiles(samples, ["all"], "v")
-    tails = stats.tail_counts(samples, ["all"], "v", {"gt_100": 100})
-    both = ranks.join(tails, "all")
+    samples = log_files.read_samples(spark, folder, "part-*").withColumn("run", F.lit("all"))
+    ranks = stats.rank_percentiles(samples, ["run"], "v")
+    tails = stats.tail_counts(samples, ["run"], "v", {"gt_100": 100})
+    both = null_safe_join(ranks, tails, ["run"])
     return both.select(
         "n", "zero", "gt_100", *[F.col(c).cast("bigint").alias(c) for c in ("min", "max", "p50", "p99")]
     )
@@ -953,6 +954,11 @@ def upsert_delete(spark, sf):
     return keyed.apply_writes(_customers(spark, sf), _event_log(spark, sf))
 
 
+@query("upsert_delete_shuffled", ORACLE["upsert_delete"])
+def upsert_delete_shuffled(spark, sf):
+    return keyed.apply_writes(_customers(spark, sf), _event_log(spark, sf), broadcast_rows=0)
+
+
 @query(
     "update_apply",
     f"""WITH {_LOG_SQL},

@@ -32,7 +32,7 @@ def run_mixes(
 ) -> tuple[DataFrame, DataFrame]:
     """Run the mixes one after the other; returns the report and the last table.
 
-    Every snapshot is written to shared storage before the next mix reads it, so
+    Every log and snapshot is written to shared storage before the next mix reads it, so
     plans stay short and a lost executor costs one step at most. Keys drawn are
     those of the table as loaded.
     """
@@ -44,12 +44,13 @@ def run_mixes(
         raise ValueError("the table is empty")
     reports = []
     for number, name in enumerate(mixes):
-        log = op_log(
+        drawn = op_log(
             ids, MIXES[name], first, last - first + 1, seed=10 * number, ident=ident
         )
+        log = load_table(drawn, f"{folder}/log_{name}")
         report = op_report(log, current).select(F.lit(name).alias("mix"), "*")
         reports.append(load_table(report, f"{folder}/report_{name}"))
-        current = load_table(
-            apply_mix(current, log, list(MIXES[name])), f"{folder}/after_{name}"
-        )
+        if set(MIXES[name]) - {"read", "scan"}:
+            changed = apply_mix(current, log, list(MIXES[name]))
+            current = load_table(changed, f"{folder}/after_{name}")
     return reduce(DataFrame.unionByName, reports), current

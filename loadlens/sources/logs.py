@@ -59,7 +59,8 @@ def with_line_numbers(chosen: DataFrame, lines: DataFrame) -> DataFrame:
         "_split",
         F.concat_ws("|", "path", F.col("_start").cast("string"), F.col("_length").cast("string")),
     )
-    found = lookup_join(keyed, placed, "_split", "left")
+    # A key here is one split, which is never more than a task's worth of lines.
+    found = lookup_join(keyed, placed, "_split", "left", even=True)
     number = F.when(
         F.col("_id").between(F.col("_low"), F.col("_high")),
         F.col("_before") + F.col("_id") - F.col("_low") + 1,
@@ -70,20 +71,27 @@ def with_line_numbers(chosen: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*.log") -> DataFrame:
-    """Names and sizes of the matching files; contents are not read."""
+    """Names and sizes of the matching files, empty ones too; nothing is read.
+
+    The names are the listing every scan of the folder makes on the driver.
+    """
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    return found.select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "path", "length"
+    names = spark.createDataFrame([(f,) for f in found.inputFiles()], "path STRING")
+    # A scan leaves empty files out, so sizes come from it and default to 0.
+    sizes = found.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length")
+    )
+    return names.join(sizes, "path", "left").select(
+        F.url_decode(F.regexp_extract("path", r"([^/]+)$", 1)).alias("file"),
+        "path",
+        F.coalesce("length", F.lit(0).cast("bigint")).alias("length"),
     )
 
 
 def file_errors(files: DataFrame, lines: DataFrame) -> DataFrame:
     """Files that hold bytes but gave no line: they could not be read."""
-    seen = lines.groupBy("path").agg(F.count("*").alias("_lines")).select(
-        F.regexp_replace("path", "^file:/+", "/").alias("_path")
-    )
-    listed = files.withColumn("_path", F.regexp_replace("path", "^file:/+", "/"))
-    missing = lookup_join(listed, seen, "_path", "left_anti", even=True)
+    seen = lines.groupBy("path").agg(F.count("*").alias("_lines"))
+    missing = lookup_join(files, seen, "path", "left_anti", even=True)
     return missing.where("length > 0").select("file", F.lit("unreadable").alias("reason"))
 
 
@@ -95,6 +103,6 @@ def read_samples(spark: SparkSession, path: str | list[str], pattern: str = "*")
     lines = read_lines(spark, path, pattern)
     return lines.select(
         "file",
-        (F.col("_start") * 0 + F.col("_id")).alias("pos"),
+        F.col("_id").alias("pos"),
         F.try_to_number(F.trim("value"), F.lit("9" * 20)).cast("decimal(20,0)").alias("v"),
     ).where("v IS NOT NULL")
