@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from loadlens.operators.joins import lookup_join
@@ -76,7 +78,9 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*.log") -> DataFr
     The names are the listing every scan of the folder makes on the driver.
     """
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    names = spark.createDataFrame([(f,) for f in found.inputFiles()], "path STRING")
+    names = spark.createDataFrame(
+        [(re.sub("^file:/+", "file:/", f),) for f in found.inputFiles()], "path STRING"
+    )
     # A scan leaves empty files out, so sizes come from it and default to 0.
     sizes = found.select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length")
