@@ -39,14 +39,21 @@ def fits_broadcast(
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
     """Keys holding at least ``share`` of the rows, from a bounded sketch.
 
-    The sketch is merged on the executors; what reaches the driver is bounded
-    by ``2 / share`` items. A key missed or reported wrongly only changes how
-    rows are spread, never the result.
+    Sketches are merged in two steps on the executors; what reaches the driver
+    is bounded by ``2 / share`` items. A key missed or reported wrongly only
+    changes how rows are spread, never the result.
     """
-    track = int(2 / share)
-    row = df.select(
-        F.count("*").alias("n"),
-        F.expr(f"approx_top_k(`{key}`, {track}, {track * 8})").alias("top"),
+    items = int(2 / share)
+    parts = df.select(key, F.pmod(F.spark_partition_id(), F.lit(256)).alias("_part"))
+    sketches = parts.groupBy("_part").agg(
+        F.count("*").alias("_n"),
+        F.expr(f"approx_top_k_accumulate(`{key}`, {items * 8})").alias("_sketch"),
+    )
+    row = sketches.agg(
+        F.sum("_n").alias("n"),
+        F.expr(f"approx_top_k_estimate(approx_top_k_combine(_sketch, {items * 8}), {items})").alias(
+            "top"
+        ),
     ).first()
     return [
         item["item"]

@@ -13,13 +13,15 @@ from dataclasses import dataclass
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from loadlens.operators.joins import fits_broadcast, null_safe_join
+from loadlens.operators.joins import null_safe_join
 from loadlens.session import snapshot
 
 SLICES = 1024
 # Where whole rows are sorted per slice: about this many rows in a slice.
 SLICE_ROWS = 500_000
 MAX_SLICES = 8192
+# Wanted ranks, over all groups, that the driver may hold.
+FEW_RANKS = 20_000
 
 
 def slices_for(df: DataFrame) -> int:
@@ -30,13 +32,14 @@ def slices_for(df: DataFrame) -> int:
 def slice_bounds(df: DataFrame, value: str, slices: int = SLICES) -> list[float]:
     """Increasing cut points that split the column into even parts.
 
-    One pass with a bounded sketch; at most ``slices`` numbers reach the driver.
+    One pass with a bounded sketch, merged as a tree; at most ``slices`` numbers
+    reach the driver. They only steer the work, so they need not be exact.
     """
+    if slices < 2:
+        return []
     shares = [i / slices for i in range(1, slices)]
-    row = df.agg(
-        F.percentile_approx(F.col(value).cast("double"), shares, 4 * slices).alias("cuts")
-    ).first()
-    return sorted(set(row["cuts"] or []))
+    number = df.select(F.col(value).cast("double").alias("_point"))
+    return sorted(set(number.approxQuantile("_point", shares, 0.5 / slices)))
 
 
 def with_slice(df: DataFrame, value: str, bounds: Sequence[float]) -> DataFrame:
@@ -153,12 +156,17 @@ def pick_ranks(
 
     slice_keys = [*keys, "_slice"]
     by_value = [*slice_keys, "_value"]
-    needed = wanted.select(*slice_keys).distinct()
-    if fits_broadcast(needed):
-        kept = null_safe_join(groups.rows, F.broadcast(needed), slice_keys, "left_semi")
+    few = wanted.limit(FEW_RANKS + 1).collect()
+    if len(few) <= FEW_RANKS:
+        # Few enough to send along with the plan, so only the needed slices of
+        # the rows are shuffled.
+        wanted = groups.rows.sparkSession.createDataFrame(few, wanted.schema)
+        needed = F.broadcast(wanted.select(*slice_keys).distinct())
+        kept = null_safe_join(groups.rows, needed, slice_keys, "left_semi")
         counted = kept.groupBy(*by_value).agg(F.count("*").alias("_size"))
     else:
         counted = groups.rows.groupBy(*by_value).agg(F.count("*").alias("_size"))
+        needed = wanted.select(*slice_keys).distinct()
         counted = null_safe_join(counted, needed, slice_keys, "left_semi")
     running = counted.withColumn(
         "_upto",

@@ -483,7 +483,8 @@ def _log_lines(spark: SparkSession, sf: str) -> DataFrame:
     return events.select(
         F.concat("event_type", F.lit(".log")).alias("file"),
         F.col("event_id").alias("line"),
-        text.alias("value"),
+        # From a generator, so that the text is made once however often it is used.
+        F.explode(F.array(text)).alias("value"),
     )
 
 

@@ -48,8 +48,7 @@ def run_mixes(
             ids, MIXES[name], first, last - first + 1, seed=10 * number, ident=ident
         )
         log = load_table(drawn, f"{folder}/log_{name}")
-        report = op_report(log, current).select(F.lit(name).alias("mix"), "*")
-        reports.append(load_table(report, f"{folder}/report_{name}"))
+        reports.append(op_report(log, current).select(F.lit(name).alias("mix"), "*"))
         if set(MIXES[name]) - {"read", "scan"}:
             changed = apply_mix(current, log, list(MIXES[name]))
             current = load_table(changed, f"{folder}/after_{name}")

@@ -61,8 +61,8 @@ def test_summary_of_skewed_groups(spark, slices):
     check(rows, stats.summarize(df, ["g"], "v", slices).collect())
 
 
-def test_summary_when_slices_are_too_many_to_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(ranks, "fits_broadcast", lambda df: False)
+def test_summary_when_ranks_are_too_many_for_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "FEW_RANKS", 3)
     rows = skewed_rows()
     df = spark.createDataFrame(rows, "g string, v double")
     check(rows, stats.summarize(df, ["g"], "v", 16).collect())
@@ -84,6 +84,12 @@ def test_summary_of_any_rows(spark, rows):
     check(rows, stats.summarize(df, ["g"], "v", 4).collect())
 
 
+def test_summary_of_nothing(spark):
+    df = spark.createDataFrame([("a", None), ("a", None)], "g string, v double")
+    check([("a", None)], stats.summarize(df, ["g"], "v").collect())
+    assert stats.summarize(df.where("false"), ["g"], "v").collect() == []
+
+
 def test_summary_without_groups(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (4.0,)], "v double")
     row = stats.summarize(df, [], "v").first()
