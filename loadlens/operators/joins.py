@@ -49,7 +49,8 @@ def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
         F.count("*").alias("_n"),
         F.expr(f"approx_top_k_accumulate(`{key}`, {items * 8})").alias("_sketch"),
     )
-    row = sketches.agg(
+    # Grouped by a constant, as combining fails on a task that got no sketch.
+    row = sketches.groupBy(F.pmod("_part", F.lit(1))).agg(
         F.sum("_n").alias("n"),
         F.expr(f"approx_top_k_estimate(approx_top_k_combine(_sketch, {items * 8}), {items})").alias(
             "top"
@@ -57,7 +58,7 @@ def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
     ).first()
     return [
         item["item"]
-        for item in row["top"] or []
+        for item in (row["top"] if row else [])
         if item["item"] is not None and item["count"] >= row["n"] * share
     ]
 

@@ -42,6 +42,18 @@ def test_hot_keys_are_found_and_spread(sides):
     assert "_salt" in plan
 
 
+def test_hot_keys_of_empty_and_of_sparse_partitions(spark, sides):
+    left, _ = sides
+    assert hot_keys(left.where("false"), "k") == []
+    assert hot_keys(left.where("k IS NULL"), "k") == []
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert hot_keys(left.repartition(3), "k")[0] == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
 def test_string_keys(spark):
     left = spark.createDataFrame([("a",)] * 300 + [("b",)], "k string")
     right = spark.createDataFrame([("a", 1), ("c", 2)], "k string, v int")
