@@ -34,24 +34,57 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return numerator / F.nullif(denominator, F.lit(0.0))
 
 
+def fixed_text(value: Column, digits: int) -> Column:
+    """The number with a fixed count of decimals; ``nan`` when missing.
+
+    Rounds the double's exact binary value, ties to even, as C does. Spark's own
+    formatting rounds its shortest decimal form, which differs near ties. The
+    product with the power of ten is kept as a rounded part and its exact error.
+    """
+    scale = 10**digits
+
+    def text(x: Column) -> Column:
+        size = F.abs(x)
+        high = size * F.lit(134217729.0) - (size * F.lit(134217729.0) - size)
+        product = size * F.lit(float(scale))
+        error = (size - high) * F.lit(float(scale)) - (product - high * F.lit(float(scale)))
+        whole = F.floor(product)
+        rest = product - whole
+        up = (rest > 0.5) | (
+            (rest == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 == 1)))
+        )
+        units = whole + up.cast("bigint")
+        shown = F.floor(units / scale).cast("string")
+        if digits:
+            decimals = F.lpad((units % scale).cast("string"), digits, "0")
+            shown = F.concat_ws(".", shown, decimals)
+        signed = F.concat(F.when(x < 0, "-").otherwise(""), shown)
+        # From 2**52 on a double is a whole number.
+        return F.when(size >= float(1 << 52) / scale, F.format_string(f"%.{digits}f", x)).otherwise(
+            signed
+        )
+
+    number = value.cast("double")
+    known = F.filter(F.array(number), lambda x: x.isNotNull() & ~F.isnan(x))
+    return F.coalesce(F.get(F.transform(known, text), F.lit(0)), F.lit("nan"))
+
+
 def ratio_label(numerator: Column, denominator: Column) -> Column:
     """``1.234x``; ``nan`` where either side is missing or the base is 0."""
     value = ratio(numerator, denominator)
-    return F.coalesce(F.when(value.isNotNull(), F.format_string("%.3fx", value)), F.lit("nan"))
+    return F.when(value.isNull() | F.isnan(value), "nan").otherwise(
+        F.concat(fixed_text(value, 3), F.lit("x"))
+    )
 
 
 def short_number(value: Column, digits: int = 1) -> Column:
     """Readable magnitude: 950.0, 1.5K, 2.3M."""
     size = F.abs(value)
-
-    def shown(divisor: float, suffix: str) -> Column:
-        return F.format_string(f"%.{digits}f{suffix}", F.bround(value / divisor, digits))
-
     return (
         F.when(value.isNull() | F.isnan(value), "nan")
-        .when(size >= 1e6, shown(1e6, "M"))
-        .when(size >= 1e3, shown(1e3, "K"))
-        .otherwise(shown(1.0, ""))
+        .when(size >= 1e6, F.concat(fixed_text(value / 1e6, digits), F.lit("M")))
+        .when(size >= 1e3, F.concat(fixed_text(value / 1e3, digits), F.lit("K")))
+        .otherwise(fixed_text(value, digits))
     )
 
 

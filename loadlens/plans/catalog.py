@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loadlens import schemas
-from loadlens.functions.numbers import scatter32_sql, short_number
+from loadlens.functions import numbers
+from loadlens.functions.numbers import scatter32_sql
 from loadlens.operators import checks, keyed, logs, progress, stats
 from loadlens.operators.joins import null_safe_join
 from loadlens.plans import pipelines, reports, workloads
@@ -436,6 +437,37 @@ def baseline_ratio(spark, sf):
     return rounded(compared, 6, "value", "ratio", "slowdown")
 
 
+@query(
+    "value_labels",
+    """WITH v AS (SELECT o_orderkey, o_totalprice AS a, -o_totalprice / 1000 AS b FROM orders)
+       SELECT o_orderkey,
+              CASE WHEN abs(a) >= 1e6 THEN printf('%.1fM', a / 1e6)
+                   WHEN abs(a) >= 1e3 THEN printf('%.1fK', a / 1e3) ELSE printf('%.1f', a) END AS short,
+              CASE WHEN abs(b) >= 1e6 THEN printf('%.2fM', b / 1e6)
+                   WHEN abs(b) >= 1e3 THEN printf('%.2fK', b / 1e3) ELSE printf('%.2f', b) END AS negative,
+              CASE WHEN a >= 1e6 THEN printf('%.0fM', a / 1e6)
+                   WHEN a >= 1e3 THEN printf('%.0fK', a / 1e3) ELSE printf('%.0f', a) END AS whole,
+              printf('%.3fx', a / 1000.0) AS ratio, o_orderkey || '-' || (o_orderkey + 1) AS span,
+              CASE WHEN o_orderkey % 3 = 0 THEN 0.0 ELSE a / ((o_orderkey % 3) / 1e9) END AS rate,
+              greatest(1000 - o_orderkey, 0) AS late
+       FROM v""",
+)
+def value_labels(spark, sf):
+    """Every label and rate function over the orders."""
+    a = F.col("o_totalprice")
+    key = F.col("o_orderkey")
+    return read_table(spark, sf, "orders").select(
+        "o_orderkey",
+        numbers.short_number(a).alias("short"),
+        numbers.short_number(-a / 1000, 2).alias("negative"),
+        numbers.short_number(a, 0).alias("whole"),
+        numbers.ratio_label(a, F.lit(1000.0)).alias("ratio"),
+        numbers.span_label(key, key + 1).alias("span"),
+        numbers.rate_per_second(a, key % 3).alias("rate"),
+        numbers.lateness(F.lit(1000).cast("bigint"), key).alias("late"),
+    )
+
+
 # --- benchmark logs ----------------------------------------------------------
 
 # Lines of every class, made from the events: the rules are on event_id.

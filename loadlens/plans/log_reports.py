@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from loadlens.functions.numbers import short_number, span_label
+from loadlens.functions.numbers import fixed_text, short_number, span_label
 from loadlens.operators import logs
 from loadlens.operators.logs import KINDS, SETUP_ORDER, LogKind
 from loadlens.sources.logs import file_errors, list_files, read_lines, with_line_numbers
@@ -131,11 +131,7 @@ def setup_report(
         )
     for title, metric, stat, digits in REPORTS[kind.name]:
         value = _stat(metric, stat)
-        text = (
-            F.when(value.isNull(), "nan").otherwise(F.format_string("%.3f", value))
-            if digits is None
-            else short_number(value, digits)
-        )
+        text = fixed_text(value, 3) if digits is None else short_number(value, digits)
         shown.append(text.alias(title))
     place = logs.setup_rank(F.col("file"), preferred)
     return summary.groupBy("file").agg(*shown).orderBy(place, "file").withColumnRenamed(

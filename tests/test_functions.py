@@ -1,4 +1,5 @@
 import math
+import random
 
 from pyspark.sql import functions as F
 
@@ -38,6 +39,21 @@ def test_labels(spark):
     assert one(spark, numbers.span_label(F.lit(0), F.lit(None), "->")) == "0->?"
 
 
+def test_fixed_text_is_what_python_prints(spark):
+    rng = random.Random(4)
+    values = [0.0, 0.5, 1.5, 2.5, 0.15, 0.25, 0.35, 1.005, 2.675, 123.45, 999.95, 1e15, 4.5e15,
+              1e22, -0.25, -1.15, 0.05, 0.0005, 5e-324, 1 / 3]
+    values += [rng.randrange(10**6) / 10 ** rng.randrange(1, 6) for _ in range(1500)]
+    values += [rng.uniform(-1e7, 1e7) for _ in range(300)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    shown = df.select(
+        "v", *[numbers.fixed_text(F.col("v"), d).alias(f"d{d}") for d in (0, 1, 2, 3)]
+    ).collect()
+    for row in shown:
+        for d in (0, 1, 2, 3):
+            assert row[f"d{d}"] == f"{row.v:.{d}f}", (row.v, d)
+
+
 def test_text(spark):
     assert one(spark, text.stripped(F.lit(" \t {x} \xa0\n"))) == "{x}"
     assert one(spark, text.stripped(F.lit("   　\x1f"))) == ""
