@@ -15,6 +15,7 @@ SALTS = 64
 # never be more than 1 / HOT_SHARE of them.
 HOT_SHARE = 1 / 256
 
+_FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 _SALTED = ("inner", "left", "left_semi", "left_anti")
 
 
@@ -25,7 +26,7 @@ def fits_broadcast(
     if max_rows <= 0 or df.count() > max_rows:
         return False
     fixed = 8 * len(df.columns)
-    texts = [f.name for f in df.schema if not isinstance(f.dataType, T.NumericType)]
+    texts = [f.name for f in df.schema if not isinstance(f.dataType, _FIXED_WIDTH)]
     if not texts:
         return True
     width = reduce(

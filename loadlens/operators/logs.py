@@ -194,18 +194,17 @@ def setup_rank(name: Column, preferred: Sequence[str] = SETUP_ORDER) -> Column:
     return F.coalesce(place, F.lit(len(preferred) + 1)).cast("int")
 
 
-def metric_values(rows: DataFrame, kind: LogKind) -> DataFrame:
-    """One row per result row and metric, ``value`` being NULL when missing."""
+def metric_table(rows: DataFrame, kind: LogKind) -> DataFrame:
+    """The file and every metric of each result row; NULL where missing."""
     if kind.name == "smp_barrier":
         rows = rows.withColumn("elapsed_signed_ns", signed64(F.col("elapsed_ns")))
-    wide = rows.select(
+    return rows.select(
         "file",
         *[
             F.nanvl(F.expr(f"CAST({text} AS DOUBLE)"), F.lit(None).cast("double")).alias(name)
             for name, text in kind.metrics.items()
         ],
     )
-    return wide.unpivot("file", list(kind.metrics), "metric", "value")
 
 
 def summarize_metrics(
@@ -216,7 +215,8 @@ def summarize_metrics(
     With ``files`` (a listing), files without a result row appear with n = 0.
     """
     # Stored, so that the text is parsed once and not in every pass.
-    values = snapshot(metric_values(rows, kind), "metrics")
+    stored = snapshot(metric_table(rows, kind), "metrics")
+    values = stored.unpivot("file", list(kind.metrics), "metric", "value")
     summary = summarize(values, ["file", "metric"], "value")
     if files is None:
         return summary
@@ -242,7 +242,7 @@ def per_cpu_summary(rows: DataFrame) -> DataFrame:
         F.col("t.iterations_per_sec").alias("iterations_per_sec"),
         F.col("t.clock_regression").cast("int").cast("double").alias("clock_regression"),
     )
-    long = wide.unpivot(
+    long = snapshot(wide, "cpus").unpivot(
         ["file", "cpu"],
         ["elapsed_ns", "iterations_per_sec", "clock_regression"],
         "metric",

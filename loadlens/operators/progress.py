@@ -78,6 +78,7 @@ def skew_by_time(aligned: DataFrame) -> DataFrame:
 
 def skew_summary(skew: DataFrame, warmup: int = 0) -> DataFrame:
     """Per run: worst and final values, and the worst ones after the warm-up."""
+    skew = snapshot(skew, "skew")
     begin = skew.groupBy("run").agg(F.min("grid_t").alias("_begin"))
     timed = null_safe_join(skew, begin, ["run"])
     steady = F.col("grid_t") > F.col("_begin") + F.lit(warmup)

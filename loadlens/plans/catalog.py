@@ -11,12 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loadlens import schemas
 from loadlens.functions import numbers
+from loadlens.functions.dates import epoch_micros
 from loadlens.functions.numbers import scatter32_sql
 from loadlens.operators import checks, keyed, logs, progress, stats
-from loadlens.operators.joins import null_safe_join
+from loadlens.operators.joins import lookup_join, null_safe_join
 from loadlens.plans import pipelines, reports, workloads
 from loadlens.plans.log_reports import setup_report
-from loadlens.session import scratch_path
+from loadlens.session import scratch_path, snapshot
 from loadlens.sources import delimited, generated, logs as log_files, sinks
 from loadlens.sources.tables import DRIVER_TABLES, read_table
 from loadlens.streaming import jobs
@@ -159,16 +160,13 @@ def late_shipments_star(spark, sf):
     lines = lineitem.select("l_orderkey", "l_suppkey", day("l_shipdate").alias("ship"))
     sold = orders.select("o_orderkey", "o_orderpriority", day("o_orderdate").alias("sold"))
     places = supplier.select("s_suppkey", "s_nationkey")
-    sales = (
-        lines.join(sold, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(places, F.col("l_suppkey") == F.col("s_suppkey"))
-        .select(
-            F.col("sold").alias("cs_sold_date_sk"),
-            F.col("ship").alias("cs_ship_date_sk"),
-            F.col("l_suppkey").alias("cs_warehouse_sk"),
-            F.col("o_orderpriority").alias("cs_ship_mode_sk"),
-            F.col("s_nationkey").alias("cs_call_center_sk"),
-        )
+    ordered = lookup_join(lines, sold, ("l_orderkey", "o_orderkey"), spread_by="row")
+    sales = lookup_join(ordered, places, ("l_suppkey", "s_suppkey")).select(
+        F.col("sold").alias("cs_sold_date_sk"),
+        F.col("ship").alias("cs_ship_date_sk"),
+        F.col("l_suppkey").alias("cs_warehouse_sk"),
+        F.col("o_orderpriority").alias("cs_ship_mode_sk"),
+        F.col("s_nationkey").alias("cs_call_center_sk"),
     )
     days = lineitem.select(F.col("l_shipdate").cast("date").alias("d")).distinct()
     return reports.late_shipments(
@@ -707,7 +705,7 @@ _DAY_NS = 86_400_000_000_000
                  AS aggregate_rate FROM g""",
 )
 def run_window(spark, sf):
-    start = F.unix_micros(F.col("l_shipdate").cast("timestamp")) * 1000
+    start = epoch_micros(F.col("l_shipdate")) * 1000
     workers = read_table(spark, sf, "lineitem").select(
         "l_suppkey",
         start.alias("start_ns"),
@@ -785,7 +783,7 @@ def _increments(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "events").select(
         (F.col("user_id") % 4).alias("run"),
         F.col("user_id").alias("entity"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("t"),
+        epoch_micros(F.col("ts")).alias("t"),
         F.lit(1).alias("amount"),
     )
 
@@ -889,7 +887,8 @@ def run_variance(spark, sf):
     runs = read_table(spark, sf, "events").groupBy(
         F.col("event_type").alias("phase"), F.col("ts").cast("date").alias("day")
     ).agg(F.round(F.sum("value"), 2).alias("v"))
-    return rounded(stats.summarize(runs, ["phase"], "v"), 6, *_SUMMARY_ROUNDED)
+    summary = stats.summarize(snapshot(runs, "runs"), ["phase"], "v")
+    return rounded(summary, 6, *_SUMMARY_ROUNDED)
 
 
 # --- keyed tables ------------------------------------------------------------

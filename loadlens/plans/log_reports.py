@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loadlens.functions.numbers import fixed_text, short_number, span_label
 from loadlens.operators import logs
+from loadlens.operators.joins import lookup_join
 from loadlens.operators.logs import KINDS, SETUP_ORDER, LogKind
 from loadlens.sources.logs import file_errors, list_files, read_lines, with_line_numbers
 
@@ -27,11 +29,33 @@ class LogAnalysis:
         return setup_report(self.summary, self.kind, preferred)
 
     def comparison(self, preferred: Sequence[str] = SETUP_ORDER) -> DataFrame:
+        """Readable setups relative to the base; NULL where a median is missing."""
         head = self.summary.where(F.col("metric") == self.kind.headline)
+        read = lookup_join(head, self.errors, "file", "left_anti", even=True)
         return logs.compare_setups(
-            head.where("n > 0").withColumnRenamed("median", "value"), "file", "value", preferred
+            read.withColumnRenamed("median", "value"), "file", "value", preferred
         )
 
+    def warnings(self) -> DataFrame:
+        """What a reader should know before trusting a setup's figures."""
+        found = [self.errors.select("file", F.concat(F.lit("file is "), "reason").alias("warning"))]
+
+        def add(rows: DataFrame, condition: Column, *text: str | Column) -> None:
+            parts = [F.lit(t) if isinstance(t, str) else t.cast("string") for t in text]
+            found.append(rows.where(condition).select("file", F.concat(*parts).alias("warning")))
+
+        if self.kind.name == "simple_compute":
+            most = F.col("max").cast("bigint")
+            regressions = self.summary.where("metric = 'clock_regressions'")
+            add(regressions, most > 0, "clock went back up to ", most, " times in a run")
+            short = F.col("incomplete_runs")
+            add(logs.incomplete_runs(self.rows), short > 0, short, " runs lack thread results")
+        if self.kind.name == "smp_barrier":
+            wrapped = F.col("wrapped_count")
+            counts = logs.wrapped_counts(self.rows, "elapsed_ns")
+            add(counts, wrapped > 0, wrapped, " elapsed times wrapped below zero")
+        return reduce(DataFrame.unionByName, found)
+
 
 def analyze(
     spark: SparkSession, folder: str, kind: str, line_numbers: bool = True

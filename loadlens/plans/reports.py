@@ -129,7 +129,7 @@ def late_shipments(
     used = sales.select("cs_sold_date_sk", "cs_ship_date_sk", *places)
     delay = F.col("cs_ship_date_sk") - F.col("cs_sold_date_sk")
     by_key = (
-        lookup_join(used, shipped, ("cs_ship_date_sk", "d_date_sk"), spread_by="row")
+        lookup_join(used, shipped, ("cs_ship_date_sk", "d_date_sk"))
         .groupBy(*places)
         .agg(*delay_counts(delay))
     )
@@ -173,7 +173,7 @@ def late_orders(
 ) -> DataFrame:
     """:func:`late_shipments` on order tables.
 
-    Supplier, order priority and nation stand for warehouse, ship mode and call
+    ``lineitem`` comes straight from a scan. Supplier, order priority and nation stand for warehouse, ship mode and call
     centre; the delay is from order to shipping.
     """
     shipped = lineitem.where(
@@ -213,7 +213,10 @@ def fact_lookup(
     rows: int = 100,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """The first fact rows, in order of all shown columns, with a looked-up name."""
+    """The first fact rows, in order of all shown columns, with a looked-up name.
+
+    ``facts`` comes straight from a scan.
+    """
     kept = facts.where(F.col(not_null).isNotNull())
     both = lookup_join(kept, dim, on, spread_by="row", broadcast_rows=broadcast_rows)
     return both.select(*shown).orderBy(*shown).limit(rows)

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
+from loadlens.functions.dates import instant, wall_time
 from loadlens.operators.logs import LogKind, classify, result_rows, skipped_lines
 
 
@@ -61,12 +62,12 @@ def tumbling_sum(
     Rows later than the delay are dropped, and a window's state with them.
     Windows that are still open are part of the result.
     """
-    timed = rows.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
+    timed = rows.withColumn(time, instant(F.col(time))).withWatermark(time, delay)
     sums = (
         timed.groupBy(F.window(time, width).alias("w"), key)
         .agg(F.sum(amount).alias("total_amount"), F.count("*").alias("cnt"))
         .select(
-            F.col("w.start").cast("timestamp_ntz").alias("window_start"),
+            wall_time(F.col("w.start")).alias("window_start"),
             key, "total_amount", "cnt",
         )
     )
