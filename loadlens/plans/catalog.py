@@ -1050,11 +1050,13 @@ def _op_log_sql(mix: str, seed: int) -> str:
         cases.append(f"WHEN die < {upto} THEN '{op}'")
     return f"""
         SELECT seq, op, CASE WHEN op = 'insert' THEN lo + cnt + seq
-                             ELSE lo + pick % cnt END AS key, draw % 100000 / 100.0::DOUBLE AS val
-        FROM (SELECT o_orderkey AS seq, CASE {' '.join(cases)} END AS op, pick, draw, lo, cnt
+                             ELSE lo + pick % cnt END AS key, draw % 100000 / 100.0::DOUBLE AS val,
+               CASE WHEN op = 'scan' THEN 1 + reach % {keyed.MAX_SCAN} END AS scan_len
+        FROM (SELECT o_orderkey AS seq, CASE {' '.join(cases)} END AS op, pick, draw, reach, lo, cnt
               FROM (SELECT o_orderkey, {scatter32_sql('o_orderkey', seed)} % 100 AS die,
                            {scatter32_sql('o_orderkey', seed + 1)} AS pick,
-                           {scatter32_sql('o_orderkey', seed + 2)} AS draw, lo, cnt
+                           {scatter32_sql('o_orderkey', seed + 2)} AS draw,
+                           {scatter32_sql('o_orderkey', seed + 3)} AS reach, lo, cnt
                     FROM orders, (SELECT min(c_custkey) AS lo,
                                          max(c_custkey) - min(c_custkey) + 1 AS cnt
                                   FROM customer)))"""
@@ -1088,7 +1090,15 @@ def _mix_steps() -> tuple[str, str, str]:
     for number, mix in enumerate(keyed.MIXES):
         log, after = f"l_{mix}", f"t_{mix}"
         steps.append(f"{log} AS MATERIALIZED ({_op_log_sql(mix, 10 * number)})")
-        found.append(f"SELECT '{mix}' AS mix, * FROM ({_report_sql(log, table)})")
+        scanned = f"""(SELECT CAST(coalesce(sum(least(scan_len, total - rank)), 0) AS BIGINT)
+                       FROM (SELECT * FROM {log} WHERE op = 'scan') s ASOF JOIN
+                            (SELECT key, row_number() OVER (ORDER BY key) - 1 AS rank,
+                                    count(*) OVER () AS total FROM {table}) r ON s.key <= r.key)"""
+        found.append(
+            f"""SELECT '{mix}' AS mix, *, CASE WHEN op = 'scan' THEN {scanned}
+                       WHEN op IN ('read', 'rmw') THEN hits ELSE 0 END AS rows_read
+                FROM ({_report_sql(log, table)})"""
+        )
         steps.append(
             f"""{after} AS MATERIALIZED (
               SELECT coalesce(h.key, e.key) AS key, coalesce(new, val) + coalesce(added, 0) AS val

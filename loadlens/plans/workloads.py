@@ -7,7 +7,14 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from loadlens.operators.keyed import MIXES, apply_rmw, apply_writes, op_log, op_report
+from loadlens.operators.keyed import (
+    MIXES,
+    apply_rmw,
+    apply_writes,
+    op_log,
+    op_report,
+    range_scan,
+)
 from loadlens.session import scratch_path
 from loadlens.sources.sinks import write_parquet
 
@@ -27,6 +34,22 @@ def apply_mix(table: DataFrame, log: DataFrame, kinds: Sequence[str]) -> DataFra
     return table
 
 
+def _report(name: str, log: DataFrame, table: DataFrame) -> DataFrame:
+    """:func:`op_report` of a mix, with the rows its reads and scans return."""
+    scanned = F.lit(0).cast("bigint")
+    if "scan" in MIXES[name]:
+        asked = log.where("op = 'scan'").select(
+            F.col("seq").alias("req_id"), F.col("key").alias("start"), "scan_len"
+        )
+        scanned = range_scan(asked, table).agg(F.count("*").alias("n")).scalar()
+    rows = F.when(F.col("op") == "scan", scanned).when(
+        F.col("op").isin("read", "rmw"), F.col("hits")
+    )
+    return op_report(log, table).select(
+        F.lit(name).alias("mix"), "*", F.coalesce(rows, F.lit(0)).alias("rows_read")
+    )
+
+
 def run_mixes(
     table: DataFrame, ids: DataFrame, ident: str = "id", mixes: Sequence[str] = tuple(MIXES)
 ) -> tuple[DataFrame, DataFrame]:
@@ -48,7 +71,7 @@ def run_mixes(
             ids, MIXES[name], first, last - first + 1, seed=10 * number, ident=ident
         )
         log = load_table(drawn, f"{folder}/log_{name}")
-        reports.append(op_report(log, current).select(F.lit(name).alias("mix"), "*"))
+        reports.append(_report(name, log, current))
         if set(MIXES[name]) - {"read", "scan"}:
             changed = apply_mix(current, log, list(MIXES[name]))
             current = load_table(changed, f"{folder}/after_{name}")

@@ -127,6 +127,10 @@ def test_running_all_mixes(spark):
         assert r.hits + r.misses == r.ops
         if r.op == "insert" and r.mix == "d":
             assert r.hits == 0
+        if r.op == "scan":
+            assert 0 < r.rows_read <= r.ops * keyed.MAX_SCAN
+        else:
+            assert r.rows_read == (r.hits if r.op in ("read", "rmw") else 0)
     assert set(per_mix.values()) == {1000}
     inserted = {r.mix: r.keys_touched for r in rows if r.op == "insert"}
     assert last.count() <= 100 + sum(inserted.values())
