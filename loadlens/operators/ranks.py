@@ -32,8 +32,7 @@ def slices_for(df: DataFrame) -> int:
 def slice_bounds(df: DataFrame, value: str, slices: int = SLICES) -> list[float]:
     """Increasing cut points that split the column into even parts.
 
-    One pass with a bounded sketch, merged as a tree; at most ``slices`` numbers
-    reach the driver. They only steer the work, so they need not be exact.
+    One pass with a bounded sketch; at most ``slices`` numbers reach the driver. They only steer the work, so they need not be exact.
     """
     if slices < 2:
         return []
