@@ -38,6 +38,8 @@ ROTATIONS = 32
 BLOCKS = 2
 CODE = 64
 ALPHA = 3.5
+# In few dimensions a direction is never exceeded by more than its length.
+MAX_LIMIT = 0.75
 SEED = 20240917
 
 
@@ -54,6 +56,8 @@ def _codes(dim: int) -> tuple[list[np.ndarray], list[tuple[int, int]], list[list
         own = []
         for first, end in bounds:
             points = rng.standard_normal((CODE, end - first))
+            if end - first == 1:
+                points = np.array([[1.0], [-1.0]])
             # Each block's directions have the share of length that its width has.
             points *= np.sqrt((end - first) / dim) / np.linalg.norm(points, axis=1, keepdims=True)
             own.append(points)
@@ -72,8 +76,8 @@ def _sums(parts: list[np.ndarray]) -> np.ndarray:
 def filters_of(unit: np.ndarray, alpha: float = ALPHA) -> tuple[np.ndarray, np.ndarray]:
     """(row, filter) for every filter direction that each unit vector exceeds."""
     dim = unit.shape[1]
-    limit = alpha / np.sqrt(dim)
-    rows, filters = [], []
+    limit = min(alpha / np.sqrt(dim), MAX_LIMIT)
+    rows, filters = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
     rotations, bounds, codes = _codes(dim)
     for r, rotation in enumerate(rotations):
         turned = unit @ rotation

@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 SIGMA = 1.0
 # A line is content from this share of the page's mean ratio on.
 THRESHOLD = 0.5
+# And a region's first and last line have at least this share themselves.
+EDGE = 0.1
 
 BLOCKS = frozenset(
     "address article aside blockquote body br center caption dd details dialog div dl dt fieldset "
@@ -143,6 +145,15 @@ def content_lines(lines: list[tuple[str, int, bool, int]]) -> list[int]:
     ratios = np.array([len(text) / tags for text, tags, _, _ in lines]) * usable
     smooth = smoothed(ratios)
     high = usable & (smooth >= THRESHOLD * ratios[usable].mean())
+    # Smoothing also lifts the links next to a region; a region does not end with them.
+    thin = ratios < EDGE * ratios[usable].mean()
+    for order in (range(len(lines)), range(len(lines) - 1, -1, -1)):
+        inside = False
+        for n in order:
+            if not high[n]:
+                inside = False
+            elif not inside:
+                high[n] = inside = not thin[n]
     articles = np.array([article for *_, article in lines])
     marked = usable & (articles > 0)
     if marked.any():
