@@ -94,7 +94,7 @@ def lookup_join(
     if fits_broadcast(right, broadcast_rows):
         return _joined(left, F.broadcast(right), [(left_key, right_key)], how)
     if even:
-        return _joined(left, right, [(left_key, right_key)], how)
+        return _joined(left, right.hint("merge"), [(left_key, right_key)], how)
     if hot is None:
         hot = hot_keys(left, left_key)
 
@@ -112,8 +112,9 @@ def lookup_join(
         "_salt", F.when(is_hot, F.pmod(place, F.lit(SALTS)).cast("int")).otherwise(0)
     )
     salted_right = right.withColumn("_copy", F.explode(copies))
+    # Without the hint Spark may broadcast a side that was measured to be too large.
     joined = _joined(
-        salted_left, salted_right, [(left_key, right_key), ("_salt", "_copy")], how
+        salted_left, salted_right.hint("merge"), [(left_key, right_key), ("_salt", "_copy")], how
     )
     return joined.drop("_salt", "_copy")
 

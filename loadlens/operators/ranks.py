@@ -38,7 +38,9 @@ def slice_bounds(df: DataFrame, value: str, slices: int = SLICES) -> list[float]
         return []
     shares = [i / slices for i in range(1, slices)]
     number = df.select(F.col(value).cast("double").alias("_point"))
-    return sorted(set(number.approxQuantile("_point", shares, 0.5 / slices)))
+    # An infinite value is in the first or last slice anyway.
+    found = set(number.approxQuantile("_point", shares, 0.5 / slices))
+    return sorted(b for b in found if abs(b) != float("inf"))
 
 
 def with_slice(df: DataFrame, value: str, bounds: Sequence[float]) -> DataFrame:

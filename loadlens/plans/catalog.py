@@ -15,7 +15,7 @@ from loadlens.functions.dates import epoch_micros
 from loadlens.functions.numbers import scatter32_sql
 from loadlens.operators import checks, keyed, logs, progress, stats
 from loadlens.operators.joins import lookup_join, null_safe_join
-from loadlens.plans import pipelines, reports, workloads
+from loadlens.plans import mixes, pipelines, reports
 from loadlens.plans.log_reports import setup_report
 from loadlens.session import scratch_path, snapshot
 from loadlens.sources import delimited, generated, logs as log_files, sinks
@@ -1117,7 +1117,7 @@ _STEPS, _LAST, _REPORTS = _mix_steps()
 
 def _run_mixes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     ids = read_table(spark, sf, "orders").select("o_orderkey")
-    return workloads.run_mixes(_customers(spark, sf), ids, "o_orderkey")
+    return mixes.run_mixes(_customers(spark, sf), ids, "o_orderkey")
 
 
 @query("mix_report", f"WITH {_STEPS} {_REPORTS}")

@@ -99,14 +99,25 @@ def file_errors(files: DataFrame, lines: DataFrame) -> DataFrame:
     return missing.where("length > 0").select("file", F.lit("unreadable").alias("reason"))
 
 
+def _sample_lines(spark: SparkSession, path: str | list[str], pattern: str) -> DataFrame:
+    lines = read_lines(spark, path, pattern)
+    number = F.try_to_number(F.trim("value"), F.lit("9" * 20)).cast("decimal(20,0)")
+    return lines.select("file", F.col("_id").alias("pos"), "value", number.alias("v"))
+
+
 def read_samples(spark: SparkSession, path: str | list[str], pattern: str = "*") -> DataFrame:
     """Raw samples, one unsigned number per line; ``pos`` keeps their order.
 
-    ``pos`` is increasing within a file, not gapless.
+    ``pos`` is increasing within a file, not gapless. Lines that are no such number
+    are those of ``rejected_samples``.
     """
-    lines = read_lines(spark, path, pattern)
-    return lines.select(
-        "file",
-        F.col("_id").alias("pos"),
-        F.try_to_number(F.trim("value"), F.lit("9" * 20)).cast("decimal(20,0)").alias("v"),
-    ).where("v IS NOT NULL")
+    return _sample_lines(spark, path, pattern).where("v IS NOT NULL").drop("value")
+
+
+def rejected_samples(spark: SparkSession, path: str | list[str], pattern: str = "*") -> DataFrame:
+    """(file, pos, value, reason) of each line that ``read_samples`` leaves out; blank ones are not reported."""
+    rest = _sample_lines(spark, path, pattern).where("v IS NULL AND trim(value) <> ''")
+    reason = F.when(
+        F.col("value").rlike(r"^\s*[+-]?[0-9.]+(?:[eE][+-]?[0-9]+)?\s*$"), "not an unsigned 64-bit number"
+    ).otherwise("not a number")
+    return rest.select("file", "pos", "value", reason.alias("reason"))

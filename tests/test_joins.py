@@ -80,3 +80,14 @@ def test_null_safe_join(spark):
     found = {tuple(r) for r in null_safe_join(a, b, ["g"]).collect()}
     assert found == {(None, 1, 10), (1, 2, 20)}
     assert joins.SALTS > 1
+
+
+def test_join_beyond_the_broadcast_limit_shuffles_both_sides(spark):
+    from loadlens.operators.joins import lookup_join
+
+    left = spark.range(1000).selectExpr("id % 3 AS k", "id")
+    right = spark.range(3).selectExpr("id AS k", "id * 2 AS v")
+    joined = lookup_join(left, right, "k", broadcast_rows=0)
+    assert joined.count() == 1000
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan

@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 
 from loadlens.operators import keyed
-from loadlens.plans import workloads
+from loadlens.plans import mixes
 from loadlens.sources import generated
 
 
@@ -118,7 +118,7 @@ def test_mixes_add_up_and_are_drawn_as_stated(spark):
 
 def test_running_all_mixes(spark):
     table = spark.createDataFrame([(k, float(k)) for k in range(1, 101)], "key bigint, val double")
-    report, last = workloads.run_mixes(table, generated.sequence_ids(spark, 1000))
+    report, last = mixes.run_mixes(table, generated.sequence_ids(spark, 1000))
     rows = report.collect()
     assert {r.mix for r in rows} == set(keyed.MIXES)
     per_mix = Counter()

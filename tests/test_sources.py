@@ -118,3 +118,13 @@ def test_scratch_is_shared_and_fresh(spark):
     assert first.startswith(spark.conf.get("spark.checkpoint.dir"))
     kept = snapshot(spark.range(5).withColumn("r", F.rand()), "rand")
     assert kept.collect() == kept.collect()
+
+
+def test_rejected_samples_are_reported(spark, tmp_path):
+    from loadlens.sources import logs
+
+    (tmp_path / "s.txt").write_text("1\n\nabc\n-5\n" + "9" * 23 + "\n7\n3.5\n")
+    assert [int(r.v) for r in logs.read_samples(spark, str(tmp_path)).orderBy("pos").collect()] == [1, 7]
+    found = logs.rejected_samples(spark, str(tmp_path)).orderBy("pos").collect()
+    number = "not an unsigned 64-bit number"
+    assert [r.reason for r in found] == ["not a number", number, number, number]

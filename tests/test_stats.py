@@ -10,12 +10,12 @@ from loadlens.operators import ranks, stats
 GOLDEN = [0, 10001, 1000001, 10000001, 100000001, 1000000001]
 
 
-def interpolated(values, p):
-    data = sorted(values)
-    k = (len(data) - 1) * p
-    low = int(k)
-    high = min(low + 1, len(data) - 1)
-    return data[low] + (data[high] - data[low]) * (k - low)
+def deciles(values):
+    """The first and last decile with linear interpolation between the sorted values."""
+    if len(values) == 1:
+        return values[0], values[0]
+    cuts = statistics.quantiles(values, n=10, method="inclusive")
+    return cuts[0], cuts[-1]
 
 
 def check(rows, found):
@@ -35,8 +35,9 @@ def check(rows, found):
         assert r.mean == close(statistics.fmean(values))
         assert r.median == close(statistics.median(values))
         assert (r.min, r.max) == (min(values), max(values))
-        assert r.p10 == close(interpolated(values, 0.1))
-        assert r.p90 == close(interpolated(values, 0.9))
+        p10, p90 = deciles(values)
+        assert r.p10 == close(p10)
+        assert r.p90 == close(p90)
         stdev = statistics.stdev(values) if len(values) > 1 else 0.0
         assert r.stdev == pytest.approx(stdev, rel=1e-6, abs=1e-6)
         mean = statistics.fmean(values)
@@ -132,3 +133,9 @@ def test_approximate_percentiles_are_near(spark):
     df = spark.range(10_001).selectExpr("'x' AS g", "CAST(id AS DOUBLE) AS v")
     row = stats.approx_percentiles(df, ["g"], "v", {"p50": 0.5, "p90": 0.9}).first()
     assert abs(row.p50 - 5000) < 20 and abs(row.p90 - 9000) < 20
+
+
+def test_infinite_values_are_summarised(spark):
+    rows = [("g", math.inf), ("g", 1.0), ("g", 2.0)]
+    found = stats.summarize(spark.createDataFrame(rows, "g string, v double"), ["g"], "v").collect()
+    assert (found[0].n, found[0].min, found[0].max, found[0].median) == (3, 1.0, math.inf, 2.0)
