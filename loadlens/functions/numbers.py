@@ -99,41 +99,66 @@ def span_label(first: Column, last: Column, separator: str = "-") -> Column:
 
 
 _MASK = 0xFFFFFFFF
+_HALF = 1 << 32
 
 
-def scatter32(ident: Column, seed: int = 0) -> Column:
-    """Pseudo-random number in [0, 2**32) that depends on id and seed alone.
+def _salt(seed: int, part: int) -> int:
+    """A 32-bit constant, another one for each of 2**31 seeds and two parts."""
+    return ((2 * seed + part) * 2654435761 + 374761393) & _MASK
 
-    A 32-bit multiply/xor-shift finaliser in BIGINT arithmetic: the same id
-    gives the same number for any partitioning, on any engine.
+
+def scatter32(ident: Column, seed: int = 0, part: int = 0) -> Column:
+    """Pseudo-random number in [0, 2**32) that depends on id, seed and part alone.
+
+    Rounds of multiply and xor-shift in BIGINT arithmetic: the same id gives the
+    same number for any partitioning, on any engine. Seed and upper half of
+    the id come in between rounds, so no stream is a shifted copy of another and ids
+    that meet under one seed part under the next.
     """
+    mask = F.lit(_MASK).cast("bigint")
     ident = ident.cast("bigint")
-    mixed = (F.shiftrightunsigned(ident, 32).bitwiseXOR(ident) + F.lit(seed * 40503)).bitwiseAND(
-        F.lit(_MASK).cast("bigint")
-    )
-    for _ in range(2):
-        mixed = (F.shiftright(mixed, 16).bitwiseXOR(mixed) * F.lit(73244475)).bitwiseAND(
-            F.lit(_MASK).cast("bigint")
-        )
+
+    def stirred(value: Column) -> Column:
+        mixed = F.shiftright(value, 16).bitwiseXOR(value) * F.lit(73244475).cast("bigint")
+        return mixed.bitwiseAND(mask)
+
+    mixed = stirred(ident.bitwiseAND(mask))
+    mixed = stirred(mixed.bitwiseXOR(F.lit(_salt(seed, part)).cast("bigint")))
+    mixed = stirred(mixed.bitwiseXOR(F.shiftrightunsigned(ident, 32)))
     return F.shiftright(mixed, 16).bitwiseXOR(mixed)
 
 
-def scatter32_sql(ident: str, seed: int = 0) -> str:
+def scatter32_sql(ident: str, seed: int = 0, part: int = 0) -> str:
     """:func:`scatter32` as SQL text, for checks on another engine."""
-    text = f"((xor(({ident}) >> 32, ({ident})) + {seed * 40503}) & {_MASK})"
-    for _ in range(2):
-        text = f"((xor({text} >> 16, {text}) * 73244475) & {_MASK})"
+
+    def stirred(value: str) -> str:
+        return f"((xor(({value}) >> 16, {value}) * 73244475) & {_MASK})"
+
+    text = stirred(f"(({ident}) & {_MASK})")
+    text = stirred(f"xor({text}, {_salt(seed, part)})")
+    text = stirred(f"xor({text}, (({ident}) >> 32) & {_MASK})")
     return f"xor({text} >> 16, {text})"
 
 
+def scatter63(ident: Column, seed: int = 0) -> Column:
+    """Pseudo-random number in [0, 2**63), from two independent halves."""
+    upper = F.shiftright(scatter32(ident, seed, 1), 1)
+    return upper * F.lit(_HALF) + scatter32(ident, seed)
+
+
+def scatter63_sql(ident: str, seed: int = 0) -> str:
+    """:func:`scatter63` as SQL text."""
+    return f"((({scatter32_sql(ident, seed, 1)}) >> 1) * {_HALF} + {scatter32_sql(ident, seed)})"
+
+
 def uniform_int(ident: Column, seed: int, low: int, high: int) -> Column:
-    return F.lit(low) + scatter32(ident, seed) % F.lit(high - low + 1)
+    return F.lit(low) + scatter63(ident, seed) % F.lit(high - low + 1)
 
 
 def uniform_double(ident: Column, seed: int, low: float, high: float) -> Column:
-    return F.lit(float(low)) + scatter32(ident, seed) / F.lit(float(1 << 32)) * F.lit(
-        float(high - low)
-    )
+    """A double in [low, high) out of 2**53 even steps."""
+    share = F.shiftright(scatter63(ident, seed), 10) / F.lit(float(1 << 53))
+    return F.lit(float(low)) + share * F.lit(float(high - low))
 
 
 def hex_text(ident: Column, length: int) -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from loadlens.functions.numbers import scatter32, uniform_int
+from loadlens.functions.numbers import scatter32, scatter63, uniform_int
 from loadlens.operators.joins import BROADCAST_ROWS, fits_broadcast, lookup_join
 from loadlens.operators.ranks import slice_bounds, slice_offsets, slices_for, with_slice
 from loadlens.session import snapshot
@@ -36,15 +36,21 @@ def op_log(
     records: int | Column,
     seed: int = 0,
     ident: str = "id",
+    next_key: int | Column | None = None,
 ) -> DataFrame:
-    """One operation per id, drawn from a mix in percent; keys are uniform.
+    """One operation per id (0 or more), drawn from a mix in percent; keys are uniform.
 
-    Inserts take keys above every existing one; the rest fall on the
-    ``records`` keys from ``first_key`` on. ``val`` is the written value or, for
-    read-modify-write, the amount to add.
+    Inserts take the key ``next_key`` plus id, which must lie above every existing
+    one (by default: above the drawn keys); the rest fall on the ``records`` keys
+    from ``first_key`` on. ``val`` is the written value or, for read-modify-write, the
+    amount to add.
     """
     seq = F.col(ident).cast("bigint")
     first, count = (F.lit(x) if not isinstance(x, Column) else x for x in (first_key, records))
+    if next_key is None:
+        above = first + count
+    else:
+        above = next_key if isinstance(next_key, Column) else F.lit(next_key)
     die = scatter32(seq, seed) % 100
     op, upto = None, 0
     for name, share in mix.items():
@@ -55,8 +61,8 @@ def op_log(
     return ids.select(seq.alias("seq"), op.alias("op")).select(
         "seq",
         "op",
-        F.when(F.col("op") == "insert", first + count + F.col("seq"))
-        .otherwise(first + scatter32(F.col("seq"), seed + 1) % count)
+        F.when(F.col("op") == "insert", above + F.col("seq"))
+        .otherwise(first + scatter63(F.col("seq"), seed + 1) % count)
         .cast("bigint")
         .alias("key"),
         (uniform_int(F.col("seq"), seed + 2, 0, 99_999) / 100).alias("val"),

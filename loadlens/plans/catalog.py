@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from loadlens import schemas
 from loadlens.functions import numbers
 from loadlens.functions.dates import epoch_micros
-from loadlens.functions.numbers import scatter32_sql
+from loadlens.functions.numbers import scatter32_sql, scatter63_sql
 from loadlens.operators import checks, keyed, logs, progress, stats
 from loadlens.operators.joins import lookup_join, null_safe_join
 from loadlens.plans import mixes, pipelines, reports
@@ -276,8 +276,8 @@ def binned_sum(spark, sf):
     return rounded(sums, 2, "total_amount")
 
 
-_WORD = f"CAST({scatter32_sql('o_orderkey', 1)} % {{n}} AS INTEGER)"
-_AMOUNT = f"({scatter32_sql('o_orderkey', 2)} / 4294967296.0::DOUBLE * 1000)"
+_WORD = f"CAST({scatter63_sql('o_orderkey', 1)} % {{n}} AS INTEGER)"
+_AMOUNT = f"(({scatter63_sql('o_orderkey', 2)} >> 10) / 9007199254740992.0::DOUBLE * 1000)"
 _TEXT = "substr(" + " || ".join(f"md5(o_orderkey || ':{i}')" for i in range(4)) + ", 1, 100)"
 
 
@@ -1042,22 +1042,25 @@ def read_latest(spark, sf):
     return keyed.read_latest(orders, 50, "o_orderkey")
 
 
-def _op_log_sql(mix: str, seed: int) -> str:
-    """:func:`keyed.op_log` over the order ids and the customer keys, as SQL."""
+def _op_log_sql(mix: str, seed: int, inserted: int = 0) -> str:
+    """:func:`keyed.op_log` over the order ids and the customer keys, as SQL.
+
+    ``inserted`` earlier mixes took a range of keys as long as that of the ids each.
+    """
     cases, upto = [], 0
     for op, share in keyed.MIXES[mix].items():
         upto += share
         cases.append(f"WHEN die < {upto} THEN '{op}'")
     return f"""
-        SELECT seq, op, CASE WHEN op = 'insert' THEN lo + cnt + seq
+        SELECT seq, op, CASE WHEN op = 'insert' THEN lo + cnt + {inserted} * span + seq
                              ELSE lo + pick % cnt END AS key, draw % 100000 / 100.0::DOUBLE AS val,
                CASE WHEN op = 'scan' THEN 1 + reach % {keyed.MAX_SCAN} END AS scan_len
-        FROM (SELECT o_orderkey AS seq, CASE {' '.join(cases)} END AS op, pick, draw, reach, lo, cnt
+        FROM (SELECT o_orderkey AS seq, CASE {' '.join(cases)} END AS op, pick, draw, reach, lo, cnt, span
               FROM (SELECT o_orderkey, {scatter32_sql('o_orderkey', seed)} % 100 AS die,
-                           {scatter32_sql('o_orderkey', seed + 1)} AS pick,
-                           {scatter32_sql('o_orderkey', seed + 2)} AS draw,
-                           {scatter32_sql('o_orderkey', seed + 3)} AS reach, lo, cnt
-                    FROM orders, (SELECT min(c_custkey) AS lo,
+                           {scatter63_sql('o_orderkey', seed + 1)} AS pick,
+                           {scatter63_sql('o_orderkey', seed + 2)} AS draw,
+                           {scatter63_sql('o_orderkey', seed + 3)} AS reach, lo, cnt, span
+                    FROM orders, (SELECT max(o_orderkey) + 1 AS span FROM orders), (SELECT min(c_custkey) AS lo,
                                          max(c_custkey) - min(c_custkey) + 1 AS cnt
                                   FROM customer)))"""
 
@@ -1087,9 +1090,11 @@ def op_mix(spark, sf):
 def _mix_steps() -> tuple[str, str, str]:
     """CTEs of all mixes in turn, the name of the last table, and the reports."""
     steps, table, found = ["t AS (SELECT c_custkey AS key, c_acctbal AS val FROM customer)"], "t", []
+    inserted = 0
     for number, mix in enumerate(keyed.MIXES):
         log, after = f"l_{mix}", f"t_{mix}"
-        steps.append(f"{log} AS MATERIALIZED ({_op_log_sql(mix, 10 * number)})")
+        steps.append(f"{log} AS MATERIALIZED ({_op_log_sql(mix, 10 * number, inserted)})")
+        inserted += "insert" in keyed.MIXES[mix]
         scanned = f"""(SELECT CAST(coalesce(sum(least(scan_len, total - rank)), 0) AS BIGINT)
                        FROM (SELECT * FROM {log} WHERE op = 'scan') s ASOF JOIN
                             (SELECT key, row_number() OVER (ORDER BY key) - 1 AS rank,

@@ -57,7 +57,7 @@ def run_mixes(
 
     Every log and snapshot is written to shared storage before the next mix reads it, so
     plans stay short and a lost executor costs one step at most. Keys drawn are
-    those of the table as loaded.
+    those of the table as loaded; every mix inserts above the keys of those before it.
     """
     spark = table.sparkSession
     folder = scratch_path(spark, "mixes")
@@ -65,13 +65,18 @@ def run_mixes(
     first, last = current.agg(F.min("key"), F.max("key")).first()
     if first is None:
         raise ValueError("the table is empty")
+    top = ids.agg(F.max(ident)).first()[0] or 0
+    next_key = last + 1
     reports = []
     for number, name in enumerate(mixes):
         drawn = op_log(
-            ids, MIXES[name], first, last - first + 1, seed=10 * number, ident=ident
+            ids, MIXES[name], first, last - first + 1,
+            seed=10 * number, ident=ident, next_key=next_key,
         )
         log = load_table(drawn, f"{folder}/log_{name}")
         reports.append(_report(name, log, current))
+        if "insert" in MIXES[name]:
+            next_key += top + 1
         if set(MIXES[name]) - {"read", "scan"}:
             changed = apply_mix(current, log, list(MIXES[name]))
             current = load_table(changed, f"{folder}/after_{name}")

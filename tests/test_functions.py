@@ -90,3 +90,23 @@ def test_scatter_handles_large_ids(spark):
     values = [r[0] for r in df.select(numbers.scatter32(F.col("id"), 3)).collect()]
     assert all(0 <= v < 2**32 for v in values)
     assert len(set(values)) == len(ids)
+
+
+def test_draws_reach_all_64_bits_and_seeds_are_independent(spark):
+    df = spark.range(0, 20000).select(
+        *[numbers.scatter63(F.col("id"), s).alias(f"s{s}") for s in (0, 1)],
+        numbers.uniform_int(F.col("id"), 5, 0, 2**34 - 1).alias("wide"),
+    )
+    rows = df.collect()
+    first, second = ([r[f"s{s}"] for r in rows] for s in (0, 1))
+    assert not set(first) & set(second)
+    assert 0 <= min(first) and 2**62 < max(first) < 2**63
+    assert abs(sum(x >= 2**62 for x in first) / 20000 - 0.5) < 0.02
+    assert abs(sum((x ^ y) & 1 for x, y in zip(first, second)) / 20000 - 0.5) < 0.02
+    assert abs(sum(r.wide >= 2**33 for r in rows) / 20000 - 0.5) < 0.02
+
+
+def test_ids_that_share_their_lower_half_differ(spark):
+    df = spark.range(0, 5000).select((F.col("id") * 2**32 + 7).alias("id"))
+    values = {r[0] for r in df.select(numbers.scatter63(F.col("id"), 1)).collect()}
+    assert len(values) == 5000
