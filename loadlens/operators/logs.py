@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
@@ -120,9 +121,55 @@ KINDS = {
 }
 
 
+def _spelled(kind: T.DataType) -> T.DataType:
+    """The type with every number as text, so that its spelling is kept."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _spelled(f.dataType)) for f in kind])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_spelled(kind.elementType))
+    return T.StringType() if isinstance(kind, T.NumericType) else kind
+
+
+def _number(text: Column, kind: T.DataType) -> Column:
+    """The number that is spelled; NULL if it is none or the type cannot hold it."""
+    plain = F.btrim(text, F.lit('"'))
+    value = plain.try_cast(kind)
+    if isinstance(kind, T.IntegralType):
+        wide = plain.try_cast("double")
+        value = F.coalesce(value, F.when(wide == F.floor(wide), wide.try_cast(kind)))
+    return value
+
+
+def _typed(value: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StructType):
+        fields = [_typed(value[f.name], f.dataType).alias(f.name) for f in kind]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda v: _typed(v, kind.elementType))
+    return _number(value, kind) if isinstance(kind, T.NumericType) else value
+
+
+def _misspelled(value: Column, kind: T.DataType) -> Column:
+    """Whether any number of the value is present but cannot be read."""
+    if isinstance(kind, T.StructType):
+        found = [
+            _misspelled(value[f.name], f.dataType)
+            for f in kind
+            if _spelled(f.dataType) != f.dataType
+        ]
+        return reduce(Column.__or__, found, F.lit(False))
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.exists(value, lambda v: _misspelled(v, kind.elementType)), F.lit(False))
+    return value.isNotNull() & _number(value, kind).isNull()
+
+
 def classify(lines: DataFrame, kind: LogKind) -> DataFrame:
     """Add ``row`` (the parsed result) and ``reason`` (why a line is not one).
 
+    Numbers count in any JSON spelling, floats for integers, quoted, NaN and
+    Infinity included; a line with a number field that holds anything else is
+    skipped as ``unreadable field``.
+
     Blank lines drop out; ``reason`` is NULL for result rows. The text is parsed
     as a one-element list followed by an empty object, so that a line with
     anything after its object fails like any other broken one.
@@ -134,9 +181,9 @@ def classify(lines: DataFrame, kind: LogKind) -> DataFrame:
     # As the output of a generator the parsed text is computed once per line;
     # as a plain column every later use would parse it again.
     parsed = lines.withColumn("_text", text).where("_text <> ''").withColumn(
-        "_rows", F.explode(F.array(F.from_json(wrapped, T.ArrayType(kind.row_type))))
+        "_rows", F.explode(F.array(F.from_json(wrapped, T.ArrayType(_spelled(kind.row_type)))))
     )
-    row = F.col("row")
+    row = F.get("_rows", F.lit(0))
     other = row["bench"].isNull() | (row["bench"] != kind.name)
     if kind.latency:
         other = other | row[kind.latency].isNull()
@@ -149,11 +196,13 @@ def classify(lines: DataFrame, kind: LogKind) -> DataFrame:
         F.when(~F.col("_text").startswith("{"), "non-json")
         .when(F.coalesce(F.size("_rows"), F.lit(-1)) != 2, "json error")
         .when(other, wrong)
+        .when(_misspelled(row, kind.row_type), "unreadable field")
     )
     for name in kind.required:
-        reason = reason.when(F.col(f"row.{name}").isNull(), "missing field")
+        needed = reduce(lambda value, part: value[part], name.split("."), row)
+        reason = reason.when(needed.isNull(), "missing field")
     return (
-        parsed.withColumn("row", F.get("_rows", F.lit(0)))
+        parsed.withColumn("row", _typed(row, kind.row_type))
         .withColumn("reason", reason)
         .drop("_text", "_rows")
     )

@@ -17,7 +17,7 @@ from loadlens.sources.logs import file_errors, list_files, read_lines, with_line
 
 @dataclass(frozen=True)
 class LogAnalysis:
-    """Lazy results; nothing runs before one of them is used."""
+    """Results of a folder; the metrics and the split counts are stored when it is analysed."""
 
     kind: LogKind
     rows: DataFrame
@@ -78,8 +78,8 @@ def analyze(
     )
 
 
-# Report columns as (title, metric, statistic, digits); None
-# digits show the plain number with three decimals.
+# Report columns as (title, metric, statistic, digits); digits as a
+# number shorten with K and M, as text (".3") they show the plain number.
 REPORTS = {
     "timer_jitter": (
         ("cpu", "cpu", "median", 0),
@@ -91,7 +91,7 @@ REPORTS = {
         ("p90 ns", "lat_p90_ns", "median", 1),
         ("p99 ns", "lat_p99_ns", "median", 1),
         ("max ns", "lat_max_ns", "median", 1),
-        ("mean CV", "lat_mean_ns", "cv", None),
+        ("mean CV", "lat_mean_ns", "cv", ".3"),
         ("zero", "tail_zero", "median", 0),
         (">100ms", "tail_gt_100ms", "median", 0),
         (">1s", "tail_gt_1s", "median", 0),
@@ -101,13 +101,13 @@ REPORTS = {
         ("rps median", "rps", "median", 2),
         ("rps min", "rps", "min", 2),
         ("rps max", "rps", "max", 2),
-        ("rps CV", "rps", "cv", None),
-        ("elapsed median ms", "elapsed_signed_ms", "median", None),
-        ("wait mean ns", "wait_mean_ns", "median", 1),
-        ("wait p50 ns", "wait_p50_ns", "median", 1),
-        ("wait p90 ns", "wait_p90_ns", "median", 1),
-        ("wait p99 ns", "wait_p99_ns", "median", 1),
-        ("wait max ns", "wait_max_ns", "median", 1),
+        ("rps CV", "rps", "cv", ".3"),
+        ("elapsed median ms", "elapsed_signed_ms", "median", ".3"),
+        ("wait mean ns", "wait_mean_ns", "median", ".1"),
+        ("wait p50 ns", "wait_p50_ns", "median", ".1"),
+        ("wait p90 ns", "wait_p90_ns", "median", ".1"),
+        ("wait p99 ns", "wait_p99_ns", "median", ".1"),
+        ("wait max ns", "wait_max_ns", "median", ".1"),
         ("zero", "tail_zero", "median", 0),
         (">10ms", "tail_gt_10ms", "median", 0),
         (">100ms", "tail_gt_100ms", "median", 0),
@@ -119,7 +119,7 @@ REPORTS = {
         ("p90 ns", "lat_p90_ns", "median", 1),
         ("p99 ns", "lat_p99_ns", "median", 1),
         ("max ns", "lat_max_ns", "median", 1),
-        ("mean CV", "lat_mean_ns", "cv", None),
+        ("mean CV", "lat_mean_ns", "cv", ".3"),
         ("zero", "tail_zero", "median", 0),
         (">10ms", "tail_gt_10ms", "median", 0),
         (">100ms", "tail_gt_100ms", "median", 0),
@@ -127,10 +127,10 @@ REPORTS = {
     "simple_compute": (
         ("threads", "threads", "median", 0),
         ("aggregate iter/s", "aggregate_iterations_per_sec", "median", 1),
-        ("aggregate CV", "aggregate_iterations_per_sec", "cv", None),
+        ("aggregate CV", "aggregate_iterations_per_sec", "cv", ".3"),
         ("thread min iter/s", "thread_rate_min", "median", 1),
         ("thread max iter/s", "thread_rate_max", "median", 1),
-        ("imbalance %", "thread_rate_imbalance_pct", "median", None),
+        ("imbalance %", "thread_rate_imbalance_pct", "median", ".2"),
         ("start skew ns", "start_skew_ns", "median", 1),
         ("clock regressions", "clock_regressions", "max", 0),
     ),
@@ -155,7 +155,8 @@ def setup_report(
         )
     for title, metric, stat, digits in REPORTS[kind.name]:
         value = _stat(metric, stat)
-        text = fixed_text(value, 3) if digits is None else short_number(value, digits)
+        plain = isinstance(digits, str)
+        text = fixed_text(value, int(digits[1:])) if plain else short_number(value, digits)
         shown.append(text.alias(title))
     place = logs.setup_rank(F.col("file"), preferred)
     return summary.groupBy("file").agg(*shown).orderBy(place, "file").withColumnRenamed(

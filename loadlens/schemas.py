@@ -120,35 +120,34 @@ TPCH_KEYS = {
     "lineitem": ["l_orderkey", "l_linenumber"],
 }
 
-# Field names of the benchmark result rows. Counters are unsigned
-# 64-bit, hence DECIMAL(20,0).
+# Field names of the benchmark result rows. Measurements may be spelled as
+# integers or floats; counters that can wrap are unsigned 64-bit, hence DECIMAL(20,0).
 LATENCY_STATS = (
-    "STRUCT<n BIGINT, min DECIMAL(20,0), mean DOUBLE, p50 DECIMAL(20,0), "
-    "p90 DECIMAL(20,0), p99 DECIMAL(20,0), max DECIMAL(20,0)>"
+    "STRUCT<n DOUBLE, min DOUBLE, mean DOUBLE, p50 DOUBLE, p90 DOUBLE, p99 DOUBLE, max DOUBLE>"
 )
 TAIL_COUNTS = (
-    "STRUCT<zero BIGINT, gt_10us BIGINT, gt_1ms BIGINT, gt_10ms BIGINT, "
-    "gt_100ms BIGINT, gt_1s BIGINT>"
+    "STRUCT<zero DOUBLE, gt_10us DOUBLE, gt_1ms DOUBLE, gt_10ms DOUBLE, "
+    "gt_100ms DOUBLE, gt_1s DOUBLE>"
 )
 LOGS = {
     "timer_jitter": f"""
-        bench STRING, clock STRING, cpu BIGINT, period_us BIGINT,
-        warmup_iters BIGINT, wake_latency_ns {LATENCY_STATS},
+        bench STRING, clock STRING, cpu DOUBLE, period_us DOUBLE,
+        warmup_iters DOUBLE, wake_latency_ns {LATENCY_STATS},
         tail_counts {TAIL_COUNTS}""",
     "smp_barrier": f"""
-        bench STRING, threads INT, iters BIGINT, work_cycles BIGINT, mode STRING,
-        clock STRING, cpu_first INT, cpu_last INT, elapsed_ns DECIMAL(20,0),
+        bench STRING, threads DOUBLE, iters DOUBLE, work_cycles DOUBLE, mode STRING,
+        clock STRING, cpu_first DOUBLE, cpu_last DOUBLE, elapsed_ns DECIMAL(20,0),
         rounds_per_sec DOUBLE, t0_wait_ns {LATENCY_STATS},
         tail_counts {TAIL_COUNTS}""",
     "smp_pingpong": f"""
-        bench STRING, cpu_a INT, cpu_b INT, iters BIGINT, mode STRING,
+        bench STRING, cpu_a INT, cpu_b INT, iters DOUBLE, mode STRING,
         clock STRING, round_trip_ns {LATENCY_STATS}, tail_counts {TAIL_COUNTS}""",
     "simple_compute": """
-        bench STRING, clock STRING, compute_kernel STRING, threads INT,
-        cpu_first INT, cpu_last INT, iterations_per_thread BIGINT,
-        total_iterations BIGINT, elapsed_window_ns DECIMAL(20,0),
+        bench STRING, clock STRING, compute_kernel STRING, threads DOUBLE,
+        cpu_first DOUBLE, cpu_last DOUBLE, iterations_per_thread DOUBLE,
+        total_iterations DOUBLE, elapsed_window_ns DECIMAL(20,0),
         aggregate_iterations_per_sec DOUBLE, start_skew_ns DECIMAL(20,0),
-        finish_skew_ns DECIMAL(20,0), clock_regressions INT,
+        finish_skew_ns DECIMAL(20,0), clock_regressions DOUBLE,
         thread_results ARRAY<STRUCT<cpu INT, start_ns DECIMAL(20,0),
             end_ns DECIMAL(20,0), elapsed_ns DECIMAL(20,0),
             iterations_per_sec DOUBLE, checksum DECIMAL(20,0),
