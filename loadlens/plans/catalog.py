@@ -5,6 +5,7 @@ Every query reads the whole of the given tables, or rows derived from them.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -19,7 +20,7 @@ from loadlens.plans import mixes, pipelines, reports
 from loadlens.plans.log_reports import setup_report
 from loadlens.session import scratch_path, snapshot
 from loadlens.sources import delimited, generated, logs as log_files, sinks
-from loadlens.sources.tables import DRIVER_TABLES, read_table
+from loadlens.sources.tables import DRIVER_TABLES, list_tables, read_table
 from loadlens.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -217,7 +218,10 @@ def table_counts(spark, sf):
     return checks.table_counts({t: read_table(spark, sf, t) for t in DRIVER_TABLES})
 
 
-_CHECKED = {t: schemas.TPCH_KEYS[t] for t in ("lineitem", "orders", "customer", "part")}
+_CHECKED = {
+    t: schemas.TPCH_KEYS[t]
+    for t in ("lineitem", "orders", "customer", "part", "supplier", "nation", "region")
+}
 _REQUIRED = {
     "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                  "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
@@ -226,6 +230,9 @@ _REQUIRED = {
                "o_orderpriority"],
     "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
     "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
+    "supplier": ["s_suppkey", "s_nationkey"],
+    "nation": ["n_nationkey", "n_regionkey"],
+    "region": ["r_regionkey"],
 }
 
 
@@ -1199,3 +1206,180 @@ def stream_log_ingest(spark, sf):
     rows, skipped = jobs.ingest_logs(lines, _TIMER, scratch_path(spark, "ingest"))
     reasons = rows.select(F.lit("ok").alias("reason")).unionByName(skipped.select("reason"))
     return reasons.groupBy("reason").agg(F.count("*").alias("lines"))
+
+
+# --- logs of other spellings and kinds ---------------------------------------
+
+
+def _spelled_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines as other writers spell them: floats, quoted numbers, NaN, broken fields."""
+    cpu = F.expr("""CASE event_id % 5 WHEN 0 THEN concat(user_id % 4, '.0')
+                                      WHEN 1 THEN concat('"', user_id % 4, '"')
+                                      WHEN 2 THEN 'NaN' WHEN 3 THEN '"x"' ELSE 'null' END""")
+    text = F.format_string(
+        '{"bench": "timer_jitter", "extra": [1], "cpu": %s, "period_us": 1.5e3, "wake_latency_ns": '
+        '{"mean": 2, "p50": %s.5, "p90": 4, "p99": 5, "min": 1, "max": 6E0}}',
+        cpu, (F.col("event_id") % 100).cast("string"),
+    )
+    return read_table(spark, sf, "events").select(
+        F.concat("event_type", F.lit(".log")).alias("file"), F.explode(F.array(text)).alias("value")
+    )
+
+
+_SPELLED = {
+    "cpu": "CASE WHEN event_id % 5 < 2 THEN user_id % 4 END",
+    "period_us": "1500", "lat_p50_ns": "event_id % 100 + 0.5", "lat_max_ns": "6",
+}
+
+
+def _metric_rows_sql(values: dict[str, str], where: str = "true") -> str:
+    return " UNION ALL ".join(
+        f"SELECT event_type || '.log' AS file, '{m}' AS metric, CAST({e} AS DOUBLE) AS v "
+        f"FROM events WHERE {where}"
+        for m, e in values.items()
+    )
+
+
+@query(
+    "log_spellings",
+    f"""WITH vals AS ({_metric_rows_sql(_SPELLED, 'event_id % 5 <> 3')})
+        SELECT file, metric, {_SUMMARY.format(v='v')} FROM vals GROUP BY file, metric""",
+)
+def log_spellings(spark, sf):
+    rows = logs.result_rows(logs.classify(_spelled_lines(spark, sf), _TIMER))
+    summary = logs.summarize_metrics(rows, _TIMER).where(F.col("metric").isin(*_SPELLED))
+    return rounded(summary, 6, *_SUMMARY_ROUNDED)
+
+
+@query(
+    "log_unreadable",
+    """SELECT event_type || '.log' AS file, 'unreadable field' AS reason, count(*) AS lines
+       FROM events WHERE event_id % 5 = 3 GROUP BY ALL""",
+)
+def log_unreadable(spark, sf):
+    skipped = logs.skipped_lines(logs.classify(_spelled_lines(spark, sf), _TIMER))
+    return skipped.groupBy("file", "reason").agg(F.count("*").alias("lines"))
+
+
+_COMPUTE = logs.KINDS["simple_compute"]
+
+
+def _compute_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """A run of two workers per event, written and parsed as a log line."""
+    text = F.format_string(
+        '{"bench": "simple_compute", "threads": 2, "elapsed_window_ns": %s, "thread_results": ['
+        '{"cpu": %s, "elapsed_ns": %s, "iterations_per_sec": %s, "clock_regression": %s}, '
+        '{"cpu": 4, "elapsed_ns": 500, "iterations_per_sec": 25.0, "clock_regression": false}]}',
+        *[F.expr(e).cast("string") for e in (
+            "event_id % 1000 * 1000", "user_id % 4", "event_id % 1000", "value", "event_id % 3 = 0"
+        )],
+    )
+    lines = read_table(spark, sf, "events").select(
+        F.concat("event_type", F.lit(".log")).alias("file"), F.explode(F.array(text)).alias("value")
+    )
+    return logs.result_rows(logs.classify(lines, _COMPUTE))
+
+
+_IN_ROW = {
+    "elapsed_window_ms": "event_id % 1000 / 1000.0::DOUBLE",
+    "threads": "2",
+    "thread_elapsed_min_ns": "least(event_id % 1000, 500)",
+    "thread_rate_mean": "(value + 25) / 2",
+    "thread_rate_max": "greatest(value, 25.0)",
+    "thread_rate_imbalance_pct": "abs(value - 25) / ((value + 25) / 2) * 100",
+}
+
+
+@query(
+    "log_threads",
+    f"""WITH vals AS ({_metric_rows_sql(_IN_ROW)}),
+             s AS (SELECT file, metric, {_SUMMARY.format(v='v')} FROM vals GROUP BY file, metric)
+        SELECT * REPLACE (round(min, 6) AS min, round(max, 6) AS max) FROM s""",
+)
+def log_threads(spark, sf):
+    summary = logs.summarize_metrics(_compute_rows(spark, sf), _COMPUTE)
+    kept = summary.where(F.col("metric").isin(*_IN_ROW))
+    return rounded(kept, 6, *_SUMMARY_ROUNDED, "min", "max")
+
+
+_CPU_VALUES = " UNION ALL ".join(
+    f"""SELECT event_type || '.log' AS file, CAST({cpu} AS INTEGER) AS cpu, '{metric}' AS metric,
+               CAST({value} AS DOUBLE) AS v FROM events"""
+    for cpu, values in (
+        ("user_id % 4", ("event_id % 1000", "value", "CAST(event_id % 3 = 0 AS INTEGER)")),
+        ("4", ("500", "25", "0")),
+    )
+    for metric, value in zip(("elapsed_ns", "iterations_per_sec", "clock_regression"), values)
+)
+
+
+@query(
+    "log_cpus",
+    f"""WITH vals AS ({_CPU_VALUES})
+        SELECT file, cpu, metric, {_SUMMARY.format(v='v')} FROM vals GROUP BY file, cpu, metric""",
+)
+def log_cpus(spark, sf):
+    summary = logs.per_cpu_summary(_compute_rows(spark, sf))
+    return rounded(summary, 6, *_SUMMARY_ROUNDED)
+
+
+# --- text tables and sinks ---------------------------------------------------
+
+_BALANCES = """c_nationkey, count(*) AS n, round(sum(c_acctbal), 2) AS total
+               FROM customer GROUP BY c_nationkey"""
+
+
+def _balances(rows: DataFrame, *by: str) -> DataFrame:
+    totals = rows.groupBy(*by, "c_nationkey").agg(
+        F.count("*").alias("n"), F.sum("c_acctbal").alias("total")
+    )
+    return rounded(totals, 2, "total")
+
+
+def _accounts(spark: SparkSession, sf: str) -> DataFrame:
+    return read_table(spark, sf, "customer").selectExpr(
+        "CAST(c_custkey AS BIGINT) AS c_custkey", "CAST(c_nationkey AS INT) AS c_nationkey",
+        "CAST(c_acctbal AS DOUBLE) AS c_acctbal",
+    )
+
+
+_ACCOUNT_DDL = "c_custkey BIGINT, c_nationkey INT, c_acctbal DOUBLE"
+
+
+@query(
+    "external_scan",
+    f"""SELECT true AS listed, CAST(c_nationkey AS INTEGER) AS {_BALANCES}""",
+)
+def external_scan(spark, sf):
+    """Text declared as an external table, listed, scanned and dropped again."""
+    folder, name = scratch_path(spark, "accounts"), f"accounts_{uuid.uuid4().hex}"
+    delimited.write_delimited(_accounts(spark, sf), folder)
+    delimited.declare_external(spark, name, _ACCOUNT_DDL, folder)
+    listed = name in list_tables(spark)
+    totals = snapshot(_balances(spark.table(name)), "balances")
+    delimited.drop_tables(spark, [name])
+    return totals.select(F.lit(listed).alias("listed"), "*")
+
+
+@query(
+    "sink_round_trip",
+    " UNION ALL ".join(
+        f"SELECT '{sink}' AS sink, CAST(c_nationkey AS INTEGER) AS {_BALANCES}"
+        for sink in ("csv", "json", "insert")
+    ),
+)
+def sink_round_trip(spark, sf):
+    """The same rows through the CSV, JSON and table sinks, read back."""
+    rows, name = _accounts(spark, sf), f"sink_{uuid.uuid4().hex}"
+    csv, json, stored = (scratch_path(spark, f"sink-{s}") for s in ("csv", "json", "table"))
+    sinks.write_csv(rows, csv)
+    sinks.write_json(rows, json)
+    spark.sql(f"CREATE TABLE `{name}` ({_ACCOUNT_DDL}) USING parquet LOCATION '{stored}'")
+    sinks.insert_into(rows, name)
+    delimited.drop_tables(spark, [name])
+    back = spark.read.schema(_ACCOUNT_DDL)
+    parts = [
+        part.withColumn("sink", F.lit(sink))
+        for sink, part in (("csv", back.csv(csv)), ("json", back.json(json)), ("insert", back.parquet(stored)))
+    ]
+    return _balances(parts[0].unionByName(parts[1]).unionByName(parts[2]), "sink")

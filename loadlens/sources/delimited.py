@@ -41,11 +41,14 @@ def write_delimited(df: DataFrame, path: str) -> None:
 
 
 def declare_external(spark: SparkSession, name: str, ddl: str, location: str) -> None:
-    """Declare a table over delimited text that stays where it is."""
+    """Declare a table over delimited text that stays where it is.
+
+    A malformed row fails the query that reads it, as in :func:`read_delimited`.
+    """
     columns = f"{schemas.column_ddl(ddl)}, {_TAIL} STRING"
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS `{name}` ({columns}) USING csv "
-        f"OPTIONS (sep '|') LOCATION '{location}'"
+        f"OPTIONS (sep '|', mode 'FAILFAST') LOCATION '{location}'"
     )
 
 
