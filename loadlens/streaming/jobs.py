@@ -83,6 +83,7 @@ def ingest_logs(lines: DataFrame, kind: LogKind, folder: str) -> tuple[DataFrame
             "_ok"
         ).parquet(f"{folder}/lines/batch={number}")
 
+    _start_empty(classified, f"{folder}/lines/batch=-1/_ok=true")
     _run(classified, "append", folder, write)
     schema = T.StructType([*classified.schema.fields, T.StructField("_ok", T.BooleanType())])
     stored = (
@@ -96,6 +97,11 @@ def ingest_logs(lines: DataFrame, kind: LogKind, folder: str) -> tuple[DataFrame
     )
 
 
+def _start_empty(rows: DataFrame, path: str) -> None:
+    """A table without rows, so that a feed without input reads as empty."""
+    rows.sparkSession.createDataFrame([], rows.schema).write.mode("ignore").parquet(path)
+
+
 def _run(rows: DataFrame, mode: str, folder: str, write) -> None:
     query = (
         rows.writeStream.outputMode(mode)
@@ -113,6 +119,7 @@ def _latest(updates: DataFrame, keys: Sequence[str], folder: str) -> DataFrame:
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/changes/batch={number}")
 
+    _start_empty(updates, f"{folder}/changes/batch=-1")
     _run(updates, "update", folder, write)
     schema = T.StructType([*updates.schema.fields, T.StructField("batch", T.LongType())])
     stored = updates.sparkSession.read.schema(schema).parquet(f"{folder}/changes")

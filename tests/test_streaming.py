@@ -77,8 +77,17 @@ def test_logs_are_ingested_as_they_grow(spark, tmp_path):
         )
 
     (feed / "a.log").write_text(json.dumps(TIMER) + "\nnoise\n\n")
-    assert run() == ([("a.log", 1)], [("a.log", "non-json")])
+    assert run() == ([("a.log", TIMER["cpu"])], [("a.log", "non-json")])
     (feed / "b.log").write_text(json.dumps(TIMER) + "\n{\n")
     assert run() == (
-        [("a.log", 1), ("b.log", 1)], [("a.log", "non-json"), ("b.log", "json error")]
+        [("a.log", TIMER["cpu"]), ("b.log", TIMER["cpu"])], [("a.log", "non-json"), ("b.log", "json error")]
     )
+
+
+def test_feeds_without_input_read_as_empty(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    feed = spark.readStream.schema("word STRING").parquet(str(tmp_path / "in"))
+    assert jobs.running_count(feed, "word", str(tmp_path / "count")).count() == 0
+    lines = spark.readStream.schema("file STRING, value STRING").parquet(str(tmp_path / "in"))
+    ok, skipped = jobs.ingest_logs(lines, KINDS["timer_jitter"], str(tmp_path / "logs"))
+    assert ok.count() == 0 and skipped.count() == 0
