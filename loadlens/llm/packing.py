@@ -77,7 +77,11 @@ class WordEncoder:
             elif _AS_IS.search(text) or not unicodedata.is_normalized("NFC", text):
                 yield self._ids(text)
             else:
-                text = text.lower()
+                given, text = text, text.lower()
+                # Some marks combine with a small letter only, after the tokenizer's own NFC.
+                if not text.isascii() and not unicodedata.is_normalized("NFC", text):
+                    yield self._ids(given)
+                    continue
                 if not _RUN.search(text):
                     text = text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " . ")
                 words = text.split()
