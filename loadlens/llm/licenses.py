@@ -66,8 +66,10 @@ class Scanner:
         import ahocorasick
 
         self.notices = notices
+        # The first match from the left, its edits then made as few as can be: the best
+        # match of a window would hide others before it.
         self.patterns = [
-            regex.compile(rf"(?b)(?:{regex.escape(n.text, literal_spaces=True)}){{e<={n.edits}}}")
+            regex.compile(rf"(?e)(?:{regex.escape(n.text, literal_spaces=True)}){{e<={n.edits}}}")
             for n in notices
         ]
         seeds: dict[str, list[tuple[int, int]]] = {}
@@ -79,8 +81,8 @@ class Scanner:
             self.automaton.add_word(piece, (len(piece), places))
         self.automaton.make_automaton()
 
-    def fuzzy(self, line: str) -> list[tuple[str, int, int, int]]:
-        """(label, begin, end, edits) of each notice found in a line of words."""
+    def fuzzy(self, line: str) -> list[tuple[str, int, int, int, int]]:
+        """(label, begin, end, edits, notice) of each notice found in a line of words."""
         windows: dict[int, list[list[int]]] = {}
         for last, (length, places) in self.automaton.iter(line):
             for number, offset in places:
@@ -98,7 +100,9 @@ class Scanner:
             pattern, label = self.patterns[number], self.notices[number].label
             for begin, end in own:
                 for match in pattern.finditer(line, max(0, begin), min(len(line), end)):
-                    found.append((label, match.start(), match.end(), sum(match.fuzzy_counts)))
+                    found.append(
+                        (label, match.start(), match.end(), sum(match.fuzzy_counts), number)
+                    )
         return sorted(found)
 
     def scan(self, text: str | None) -> dict:
@@ -115,8 +119,7 @@ class Scanner:
                 base.add(label)
                 at = padded.find(f" {phrase} ", at + 1)
         spans = self.fuzzy(line)
-        length = {n.label: len(n.text) for n in self.notices}
-        best = max((1 - edits / length[label] for label, _, _, edits in spans), default=0.0)
+        best = max((1 - e / len(self.notices[n].text) for *_, e, n in spans), default=0.0)
         return {
             "n_words": words,
             "n_base": len(starts),
@@ -127,7 +130,7 @@ class Scanner:
             "score": 1.0 if base else max(0.0, best),
             "spans": [
                 {"label": label, "begin": a, "end": b, "edits": e, "text": line[a:b]}
-                for label, a, b, e in spans
+                for label, a, b, e, _ in spans
             ],
         }
 
