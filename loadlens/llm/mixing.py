@@ -159,7 +159,10 @@ def block_plan(rows: DataFrame, per_source: DataFrame) -> tuple[DataFrame, DataF
 
 
 def quotas(blocks: DataFrame) -> DataFrame:
-    """(source, _block, _pass, _drawn, shard) of every unit that is drawn."""
+    """(source, _block, _pass, _incomplete, _words, shard) of every unit that is drawn.
+
+    ``_incomplete`` marks the pass after a source's whole ones.
+    """
     order = Window.partitionBy("source").orderBy("_pass", _hash("source", "_block", "_pass"), "_block")
     units = (
         blocks.where(F.col("_block_size") > 0)
@@ -168,7 +171,10 @@ def quotas(blocks: DataFrame) -> DataFrame:
             F.col("_pass") < F.col("_passes"), F.col("_block_size")
         ).otherwise(F.col("_drawn")))
         .where(F.col("_words") > 0)
-        .select("source", "_block", "_pass", "_words", F.row_number().over(order).alias("_unit"))
+        .select(
+            "source", "_block", "_pass", (F.col("_pass") == F.col("_passes")).alias("_incomplete"),
+            "_words", F.row_number().over(order).alias("_unit"),
+        )
     )
     units = snapshot(units, "mix-units")
     count = units.count()
@@ -195,6 +201,28 @@ def quotas(blocks: DataFrame) -> DataFrame:
     return _joined(units, leaves, "source", "_unit").drop("_unit")
 
 
+def drawn_units(blocks: DataFrame) -> DataFrame:
+    """The blocks with ``_passes`` and ``_drawn`` as the leaves of the tree have them.
+
+    All shards of a block are added up: its units of whole passes, and the words of
+    the incomplete one. A block that no shard draws has none of either.
+    """
+    drawn = quotas(blocks).groupBy("source", "_block").agg(
+        F.count_if(~F.col("_incomplete")).alias("_passes"),
+        F.coalesce(F.sum(F.when(F.col("_incomplete"), F.col("_words"))), F.lit(0)).alias("_drawn"),
+    )
+    left = blocks.select("source", "_block", "_block_size", "_place").alias("b")
+    right = drawn.alias("d")
+    return left.join(
+        right, F.col("b.source").eqNullSafe(F.col("d.source")) & (F.col("b._block") == F.col("d._block")),
+        "left",
+    ).select(
+        "b.source", "b._block", "_block_size", "_place",
+        F.coalesce("_passes", F.lit(0)).cast("bigint").alias("_passes"),
+        F.coalesce("_drawn", F.lit(0)).cast("bigint").alias("_drawn"),
+    )
+
+
 def _last_words(placed: DataFrame, blocks: DataFrame) -> DataFrame:
     """Per document the words that the incomplete pass takes of it, and its block's draws."""
     met = _joined(placed.drop("_passes", "_rest"), blocks.drop("_place"), "source", "_block")
@@ -213,12 +241,15 @@ def _last_words(placed: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def taken(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) of every document."""
+    """(doc_id, size, source_size, target, taken) of every document.
+
+    What is taken is what the shards at the tree's leaves draw, added up.
+    """
     rows = snapshot(sized(docs), "mix-sizes")
     per_source = snapshot(plan(rows), "mix-sources")
     placed, blocks = block_plan(rows, per_source)
     blocks = snapshot(blocks, "mix-blocks")
-    return _last_words(placed, blocks).select(
+    return _last_words(placed, snapshot(drawn_units(blocks), "mix-drawn")).select(
         "doc_id", "size", "source_size", "target",
         (F.col("_passes") * F.col("size") + F.col("_last")).alias("taken"),
     )
@@ -255,14 +286,10 @@ def mixed(docs: DataFrame) -> DataFrame:
         "source", "_block", F.col("order").alias("_mix_hash"), F.col("size").alias("_mix_size"),
         F.col("_last"), F.row_number().over(alike).alias("_n"),
     )
-    draws = drawn.join(
-        blocks.select(
-            F.col("source").alias("_s"), F.col("_block").alias("_b"), "_passes",
-            (F.col("_drawn") < F.col("_block_size")).alias("_partial"),
-        ),
-        _same_source("source", "_s") & (F.col("_block") == F.col("_b")),
-    ).select("source", "_block", "_pass", "shard",
-             (F.col("_partial") & (F.col("_pass") == F.col("_passes"))).alias("_partial"))
+    draws = _joined(drawn, blocks.select("source", "_block", "_block_size"), "source", "_block").select(
+        "source", "_block", "_pass", "shard",
+        (F.col("_incomplete") & (F.col("_words") < F.col("_block_size"))).alias("_partial"),
+    )
     met = _joined(at_block, draws, "source", "_block")
     whole = met.where(~F.col("_partial")).withColumn("_take", F.col("_mix_size"))
     # A block's documents of one hash and size are copies of one row's id.

@@ -167,12 +167,22 @@ def test_tree_gives_every_unit_one_shard(spark, monkeypatch):
     assert len(sizes) == 16 and max(sizes.values()) - min(sizes.values()) <= 1
 
 
+def test_leaves_add_up_to_what_is_planned_of_each_block(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_BLOCKS", 4)
+    blocks = spark.createDataFrame(
+        [(s, b, 10, b, 2 if s else 0, [10, 4, 0][b % 3]) for s in ("a", None) for b in range(9)],
+        "source STRING, _block BIGINT, _block_size BIGINT, _place INT, _passes BIGINT, _drawn BIGINT",
+    )
+    got = mixing.drawn_units(blocks).select(*blocks.columns).collect()
+    assert sorted(map(str, got)) == sorted(map(str, blocks.collect()))
+
+
 # --- packing ----------------------------------------------------------------------
 
 
 def test_packing_round_trip(spark, monkeypatch):
     path = public_tokenizers.path("word_bpe_49k.json")
-    odd = ["a.. b, c.\nD!", "İstanbul ΣΑΣ", "e\u0301 K", "<|endoftext|> x", "don't 12.5%", "日本語 x\x1cy"]
+    odd = ["a.. b, c.\nD!", "İstanbul ΣΑΣ", "e\u0301 K", "<|endoftext|> x", "don't 12.5%", "日本語 x\x1cy", "\u03a1\u0313 x"]
     docs = documents(spark, [(i, t, "a") for i, t in enumerate(texts() + odd)] + [(None, "q", "a")])
     parts = snapshot(packing.pieces(docs, path), "test")
     got = packing.pack(parts, group=20).collect()
@@ -219,6 +229,12 @@ def test_licenses_base_and_fuzzy(spark):
     assert (got[8].n_words, got[8].first_word, got[8].base_labels) == (30_002, 30_000, "apache")
 
 
+def test_a_better_notice_hides_none_before_it():
+    one, two = "under the gnu genral public license", "under the gnu general public license"
+    spans = licenses.Scanner().scan(f"{one} {two}")["spans"]
+    assert [(s["text"].strip(), s["edits"]) for s in spans if s["label"] == "gpl"] == [(one, 1), (two, 0)]
+
+
 def test_pigeonhole_seeds_find_what_a_full_search_finds():
     scanner = licenses.Scanner()
     rng = np.random.default_rng(2)
