@@ -12,7 +12,9 @@ from loadlens.functions.numbers import fixed_text, short_number, span_label
 from loadlens.operators import logs
 from loadlens.operators.joins import lookup_join
 from loadlens.operators.logs import KINDS, SETUP_ORDER, LogKind
-from loadlens.sources.logs import file_errors, list_files, read_lines, with_line_numbers
+from loadlens.sources.logs import (
+    file_errors, list_files, read_lines, with_line_numbers, without_damaged,
+)
 
 
 @dataclass(frozen=True)
@@ -58,23 +60,28 @@ class LogAnalysis:
 
 
 def analyze(
-    spark: SparkSession, folder: str, kind: str, line_numbers: bool = True
+    spark: SparkSession, folder: str, kind: str, line_numbers: bool = True,
+    pattern: str = "*.log",
 ) -> LogAnalysis:
-    """Everything a benchmark's report needs from the logs of a folder."""
+    """Everything a benchmark's report needs from the logs of a folder.
+
+    A compressed file that breaks off is listed in ``errors``; none of its lines count.
+    """
     spec = KINDS[kind]
-    lines = read_lines(spark, folder)
+    files = list_files(spark, folder, pattern)
+    every_line = read_lines(spark, folder, pattern)
+    lines = without_damaged(every_line, files)
     classified = logs.classify(lines, spec)
     rows = logs.result_rows(classified)
     skipped = logs.skipped_lines(classified)
     if line_numbers:
         skipped = with_line_numbers(skipped, lines)
-    files = list_files(spark, folder)
     return LogAnalysis(
         kind=spec,
         rows=rows,
         summary=logs.summarize_metrics(rows, spec, files),
         skipped=skipped,
-        errors=file_errors(files, lines),
+        errors=file_errors(files, every_line),
     )
 
 

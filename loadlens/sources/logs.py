@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from loadlens.operators.joins import lookup_join
 from loadlens.session import snapshot
 
 _PLACE = ("file", "_start", "_length")
+# Compressed files whose end is checked, and all that a scan inflates.
+COMPRESSED = r"\.(gz|bz2|zst)$"
+_INFLATED = r"\.(gz|bz2|zst|lz4|snappy|deflate)$"
 
 
 def read_lines(spark: SparkSession, path: str | list[str], pattern: str = "*.log") -> DataFrame:
@@ -92,11 +97,65 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*.log") -> DataFr
     )
 
 
+def damaged_files(files: DataFrame) -> DataFrame:
+    """(file, path) of compressed files that do not inflate to their end.
+
+    A scan keeps the lines before the fault of such a file and says nothing. Each
+    listed file of a kind in ``COMPRESSED`` is inflated once, a stretch at a time, by
+    a task that keeps none of it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bad = pa.array([not _inflates(p) for p in batch.column(1).to_pylist()], pa.bool_())
+            yield batch.filter(bad)
+
+    # One file is one task's work, as it is when it is scanned.
+    return (
+        files.where(F.col("path").rlike(COMPRESSED)).select("file", "path")
+        .repartition("path").mapInArrow(run, "file STRING, path STRING")
+    )
+
+
+def _inflates(uri: str) -> bool:
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(uri)
+    try:
+        with system.open_input_stream(path, compression="detect") as stream:
+            while stream.read(1 << 20):
+                pass
+    except FileNotFoundError:
+        raise
+    except OSError:
+        return False
+    return True
+
+
+def without_damaged(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """The lines of sound files: a damaged file counts in whole or not at all."""
+    damaged = snapshot(damaged_files(files), "damaged-files")
+    return lookup_join(lines, damaged.select("path"), "path", "left_anti", spread_by="row")
+
+
 def file_errors(files: DataFrame, lines: DataFrame) -> DataFrame:
-    """Files that hold bytes but gave no line: they could not be read."""
-    seen = lines.groupBy("path").agg(F.count("*").alias("_lines"))
-    missing = lookup_join(files, seen, "path", "left_anti", even=True)
-    return missing.where("length > 0").select("file", F.lit("unreadable").alias("reason"))
+    """(file, reason): ``breaks off`` if not all of it can be read, ``unreadable`` if no line.
+
+    A compressed file breaks off if it does not inflate to its end, another one if its
+    lines, each with two bytes of line end, do not make up its length.
+    """
+    seen = lines.groupBy("path").agg(
+        F.count("*").alias("_lines"), F.sum(F.octet_length("value") + 2).alias("_bytes")
+    )
+    damaged = damaged_files(files).select(F.col("path").alias("_damaged"))
+    found = lookup_join(files.where("length > 0"), seen, "path", "left", even=True)
+    marked = lookup_join(found, damaged, ("path", "_damaged"), "left", even=True)
+    # The three bytes are those of a byte order mark.
+    short = ~F.col("path").rlike(_INFLATED) & (F.col("_bytes") + 3 < F.col("length"))
+    reason = F.when(F.col("_lines").isNull(), "unreadable").when(
+        F.col("_damaged").isNotNull() | short, "breaks off"
+    )
+    return marked.select("file", reason.alias("reason")).where("reason IS NOT NULL")
 
 
 def _sample_lines(spark: SparkSession, path: str | list[str], pattern: str) -> DataFrame:
