@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loadlens.llm import (
-    caps, extract, licenses, link_rank, mixing, packing, quality, simhash, topk, warc,
+    caps, extract, hard_negatives, licenses, link_rank, mixing, packing, quality, radix, simhash,
+    topk, warc,
 )
 from loadlens.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {"op5_mixing": mixing.TAKEN_SQL}
+ORACLE: dict[str, str] = {
+    "op5_mixing": mixing.TAKEN_SQL,
+    "op11_hard_negatives": hard_negatives.MINED_SQL,
+    "op13_exact_dedup": radix.EXACT_SQL,
+}
 
 
 def query(run: Query) -> Query:
@@ -80,3 +85,18 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(
         read_table(spark, folder, "documents"), read_table(spark, folder, "labels")
     )
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = read_table(spark, folder, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.labelled(vectors.withColumn("label", label))
+    return hard_negatives.mine(rows, rows.where(F.col("id") % 100 == 0))
+
+
+@query
+def op13_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return radix.exact_groups(
+        read_table(spark, folder, "documents"), carry={"text_sha256": lambda t: F.sha2(t, 256)}
+    )
