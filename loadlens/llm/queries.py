@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loadlens.llm import (
-    caps, extract, hard_negatives, licenses, link_rank, mixing, packing, quality, radix, simhash,
-    topk, warc,
+    caps, extract, hard_negatives, licenses, link_rank, mixing, packing, prefix_trie, quality,
+    radix, simhash, topk, warc,
 )
+from loadlens.session import snapshot
 from loadlens.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +18,7 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {
     "op5_mixing": mixing.TAKEN_SQL,
     "op11_hard_negatives": hard_negatives.MINED_SQL,
+    "op12_prefix_trie": prefix_trie.TRIE_SQL,
     "op13_exact_dedup": radix.EXACT_SQL,
 }
 
@@ -95,6 +97,16 @@ def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return hard_negatives.mine(rows, rows.where(F.col("id") % 100 == 0))
 
 
+@query
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns = snapshot(prefix_trie.numbered(read_table(spark, folder, "conversations")), "numbered")
+    rebuilt = prefix_trie.reopened(
+        turns, F.col("conv") - F.col("conv") % 100,
+        F.crc32(F.col("conv").cast("string")) % 6, longest=5,
+    )
+    return prefix_trie.trie(rebuilt, turns.select("conv").distinct()).drop("key", "parent")
+
+
 @query
 def op13_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return radix.exact_groups(
