@@ -39,6 +39,9 @@ GROWTH = 16
 WIDEST = 1 << 20
 SALTS = 64
 HOT_SHARE = 1 / 256
+# Shared rows, and their bytes, that a task of a round takes at least.
+TASK_ROWS = 4096
+TASK_BYTES = 32 << 20
 # How much of a digit tells a hot part from others; more parts may be spread, none is missed.
 LEAD = 64
 _ALL = (1 << 31) - 1
@@ -71,14 +74,13 @@ def _hot_limit(splits: DataFrame) -> float:
     return max(2.0, total * HOT_SHARE)
 
 
-def _split(open_rows: DataFrame, width: int) -> DataFrame:
+def _split(open_rows: DataFrame, width: int, tasks: int) -> DataFrame:
     """(_group, _digit, _n, _best, _next) of the parts that hold more than one row."""
     parts = open_rows.groupBy("_group", F.substring("_rest", 1, width).alias("_digit")).agg(
         F.count("*").alias("_n"), F.max(F.struct("_id", "_rid")).alias("_best")
     )
-    return snapshot(
-        parts.where("_n > 1").withColumn("_next", F.monotonically_increasing_id()), "radix-splits"
-    )
+    shared = parts.where("_n > 1").coalesce(tasks)
+    return snapshot(shared.withColumn("_next", F.monotonically_increasing_id()), "radix-splits")
 
 
 def _look_up(rows: DataFrame, splits: DataFrame, broadcast_rows: int) -> DataFrame:
@@ -143,10 +145,14 @@ def exact_groups(
     while True:
         done.append(state.where("NOT _open"))
         open_rows = state.where("_open").select("_rid", "_id", "_own", "_group", "_rest")
-        if open_rows.isEmpty():
+        count, size = open_rows.agg(F.count("*"), F.sum(F.octet_length("_rest"))).first()
+        if not count:
             break
+        # Few rows are still open in each file, so tasks take several; never more than there are.
+        tasks = 1 + count // TASK_ROWS + size // TASK_BYTES
+        open_rows = open_rows.coalesce(tasks)
         width = min(width * GROWTH, WIDEST)
-        splits = _split(open_rows, width)
+        splits = _split(open_rows, width, tasks)
         cut = open_rows.withColumn("_digit", F.substring("_rest", 1, width))
         rest = F.substring("_rest", width + 1, _ALL)
         still = F.col("_next").isNotNull() & (rest != "")
