@@ -163,14 +163,15 @@ def _misspelled(value: Column, kind: T.DataType) -> Column:
     return value.isNotNull() & _number(value, kind).isNull()
 
 
-def classify(lines: DataFrame, kind: LogKind) -> DataFrame:
+def classify(lines: DataFrame, kind: LogKind, blank: bool = False) -> DataFrame:
     """Add ``row`` (the parsed result) and ``reason`` (why a line is not one).
 
     Numbers count in any JSON spelling, floats for integers, quoted, NaN and
     Infinity included; a line with a number field that holds anything else is
     skipped as ``unreadable field``.
 
-    Blank lines drop out; ``reason`` is NULL for result rows. The text is parsed
+    Blank lines drop out, or with ``blank`` stay with that reason, for those who count
+    lines; ``reason`` is NULL for result rows. The text is parsed
     as a one-element list followed by an empty object, so that a line with
     anything after its object fails like any other broken one.
     """
@@ -180,7 +181,8 @@ def classify(lines: DataFrame, kind: LogKind) -> DataFrame:
     )
     # As the output of a generator the parsed text is computed once per line;
     # as a plain column every later use would parse it again.
-    parsed = lines.withColumn("_text", text).where("_text <> ''").withColumn(
+    known = lines.withColumn("_text", text)
+    parsed = (known if blank else known.where("_text <> ''")).withColumn(
         "_rows", F.explode(F.array(F.from_json(wrapped, T.ArrayType(_spelled(kind.row_type)))))
     )
     row = F.get("_rows", F.lit(0))
@@ -193,7 +195,8 @@ def classify(lines: DataFrame, kind: LogKind) -> DataFrame:
             F.concat(F.lit("bench='"), row["bench"], F.lit("'"))
         )
     reason = (
-        F.when(~F.col("_text").startswith("{"), "non-json")
+        F.when(F.col("_text") == "", "blank")
+        .when(~F.col("_text").startswith("{"), "non-json")
         .when(F.coalesce(F.size("_rows"), F.lit(-1)) != 2, "json error")
         .when(other, wrong)
         .when(_misspelled(row, kind.row_type), "unreadable field")

@@ -33,9 +33,11 @@ def percentiles(
     value: str,
     shares: Mapping[str, float],
     slices: int = SLICES,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """Exact percentiles, linear between the two nearest ranks."""
-    return _percentiles(slice_groups(df, keys, value, slices), shares).select(*keys, *shares)
+    groups = slice_groups(df, keys, value, slices, slice_rows)
+    return _percentiles(groups, shares).select(*keys, *shares)
 
 
 def _percentiles(groups: SlicedGroups, shares: Mapping[str, float]) -> DataFrame:
@@ -67,13 +69,14 @@ def approx_percentiles(
 
 
 def rank_percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, slices: int = SLICES
+    df: DataFrame, keys: Sequence[str], value: str, slices: int = SLICES,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """n, min, max, mean and lower-rank percentiles, which are always samples."""
     ranks = {"p50": lambda n: F.floor(n / 2)}
     for name, share in LOWER_SHARES.items():
         ranks[name] = lambda n, p=share: F.floor((n - 1) * F.lit(p))
-    groups = slice_groups(df, keys, value, slices)
+    groups = slice_groups(df, keys, value, slices, slice_rows)
     plain = group_moments(groups).drop("stdev").where("n > 0")
     picked = pick_ranks(groups, ranks).drop("_n")
     return null_safe_join(plain, picked, groups.keys).drop("_all")
@@ -93,10 +96,11 @@ def moments(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def summarize(
-    df: DataFrame, keys: Sequence[str], value: str, slices: int = SLICES
+    df: DataFrame, keys: Sequence[str], value: str, slices: int = SLICES,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """Full summary per group; NULLs are left out, an empty group has n = 0."""
-    groups = slice_groups(df, keys, value, slices)
+    groups = slice_groups(df, keys, value, slices, slice_rows)
     shares = _percentiles(groups, SUMMARY_SHARES)
     both = null_safe_join(group_moments(groups), shares, groups.keys, "left")
     return both.select(

@@ -12,20 +12,26 @@ from loadlens.functions.numbers import fixed_text, short_number, span_label
 from loadlens.operators import logs
 from loadlens.operators.joins import lookup_join
 from loadlens.operators.logs import KINDS, SETUP_ORDER, LogKind
+from loadlens.session import snapshot
 from loadlens.sources.logs import (
-    file_errors, list_files, read_lines, with_line_numbers, without_damaged,
+    bad_files, completeness, list_files, scan_lines, seen_per_file, store_sound, with_ids,
+    with_line_numbers,
 )
 
 
 @dataclass(frozen=True)
 class LogAnalysis:
-    """Results of a folder; the metrics and the split counts are stored when it is analysed."""
+    """Results of a folder, all of them stored when it is analysed.
+
+    ``files`` has a verdict for every listed file; those in ``errors`` count nowhere else.
+    """
 
     kind: LogKind
     rows: DataFrame
     summary: DataFrame
     skipped: DataFrame
     errors: DataFrame
+    files: DataFrame
 
     def report(self, preferred: Sequence[str] = SETUP_ORDER) -> DataFrame:
         return setup_report(self.summary, self.kind, preferred)
@@ -65,13 +71,24 @@ def analyze(
 ) -> LogAnalysis:
     """Everything a benchmark's report needs from the logs of a folder.
 
-    A compressed file that breaks off is listed in ``errors``; none of its lines count.
+    The folder is scanned once, every line parsed once and stored in its class. A file that
+    is damaged, breaks off or changed since it was listed counts in whole or not at all.
     """
     spec = KINDS[kind]
     files = list_files(spark, folder, pattern)
-    every_line = read_lines(spark, folder, pattern)
-    lines = without_damaged(every_line, files)
-    classified = logs.classify(lines, spec)
+
+    def classed(lines: DataFrame) -> DataFrame:
+        sized = with_ids(lines).withColumn("_bytes", F.octet_length("value").cast("bigint"))
+        return logs.classify(sized, spec, blank=True).drop("value")
+
+    every, damaged = store_sound(scan_lines(spark, folder, pattern), classed, "classified")
+    verdicts = snapshot(
+        completeness(files, seen_per_file(every, F.col("_bytes")), damaged), "files"
+    )
+    errors = bad_files(verdicts)
+    paths = verdicts.where("verdict IN ('breaks off', 'unreadable')").select("path")
+    lines = lookup_join(every, paths, "path", "left_anti", spread_by="row").drop("_bytes")
+    classified = lines.where("reason IS NULL OR reason <> 'blank'")
     rows = logs.result_rows(classified)
     skipped = logs.skipped_lines(classified)
     if line_numbers:
@@ -79,9 +96,10 @@ def analyze(
     return LogAnalysis(
         kind=spec,
         rows=rows,
-        summary=logs.summarize_metrics(rows, spec, files),
+        summary=snapshot(logs.summarize_metrics(rows, spec, files), "summary"),
         skipped=skipped,
-        errors=file_errors(files, every_line),
+        errors=errors,
+        files=verdicts,
     )
 
 

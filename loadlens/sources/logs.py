@@ -1,32 +1,42 @@
-"""Log files as lines, with line numbers that hold for files of any size."""
+"""Log files as lines, with line numbers that hold for files of any size.
+
+A scan is strict: a file that cannot be read to its end fails it, so no line is ever lost
+in silence. :func:`store_sound` runs work over such a scan, finds the files whose content
+is damaged, and does the work again without them; any other fault ends the job.
+"""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable
+from urllib.parse import unquote
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from py4j.protocol import Py4JJavaError
 
 from loadlens.operators.joins import lookup_join
 from loadlens.session import snapshot
 
-_PLACE = ("file", "_start", "_length")
-# Compressed files whose end is checked, and all that a scan inflates.
-COMPRESSED = r"\.(gz|bz2|zst)$"
+# Files of these kinds are longer once read, so their length says nothing about lines.
 _INFLATED = r"\.(gz|bz2|zst|lz4|snappy|deflate)$"
-
-
-def read_lines(spark: SparkSession, path: str | list[str], pattern: str = "*.log") -> DataFrame:
-    """Lines of all matching files, read in splits.
-
-    ``_start`` and ``_length`` name the split a line lies in and ``_id`` grows
-    along it, which is what :func:`with_line_numbers` needs.
-    """
+# Kinds that consist of blocks with their length in front and have no mark at their end.
+_BLOCKS = r"\.(lz4|snappy)$"
+# The largest piece of a block that the writers of these kinds compress at once.
+_PIECE = 256 << 10
+# What a decompressor's own frames begin with in a stack trace.
+_CODECS = (
+    "org.apache.hadoop.io.compress.", "java.util.zip.", "com.github.luben.zstd.",
+    "net.jpountz.", "org.xerial.snappy.", "io.airlift.compress.",
+)
+
+
+def scan_lines(spark: SparkSession, path: str | list[str], pattern: str = "*.log") -> DataFrame:
+    """Lines of all matching files, read in splits, which ``_start`` and ``_length`` name."""
     lines = (
         spark.read.option("pathGlobFilter", pattern)
         .option("ignoreMissingFiles", "true")
-        .option("ignoreCorruptFiles", "true")
+        .option("ignoreCorruptFiles", "false")
         .text(path)
     )
     return lines.select(
@@ -35,10 +45,19 @@ def read_lines(spark: SparkSession, path: str | list[str], pattern: str = "*.log
         "value",
         F.col("_metadata.file_block_start").alias("_start"),
         F.col("_metadata.file_block_length").alias("_length"),
-        F.monotonically_increasing_id().alias("_id"),
     )
 
 
+def with_ids(lines: DataFrame) -> DataFrame:
+    """Add ``_id``, which grows along each split; filter files before, as none passes it."""
+    return lines.withColumn("_id", F.monotonically_increasing_id())
+
+
+def read_lines(spark: SparkSession, path: str | list[str], pattern: str = "*.log") -> DataFrame:
+    """The lines with what :func:`with_line_numbers` needs."""
+    return with_ids(scan_lines(spark, path, pattern))
+
+
 def with_line_numbers(chosen: DataFrame, lines: DataFrame) -> DataFrame:
     """Number the chosen lines as in their whole file.
 
@@ -97,65 +116,189 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*.log") -> DataFr
     )
 
 
-def damaged_files(files: DataFrame) -> DataFrame:
-    """(file, path) of compressed files that do not inflate to their end.
+def _plain(path: str) -> str:
+    """A path as Spark's messages and its metadata both spell it."""
+    return unquote(re.sub("^file:/+", "file:/", path))
+
+
+def broken_file(error: Exception) -> str | None:
+    """The path of the file whose content a decompressor refused, if that ended a scan.
 
-    A scan keeps the lines before the fault of such a file and says nothing. Each
-    listed file of a kind in ``COMPRESSED`` is inflated once, a stretch at a time, by
-    a task that keeps none of it.
+    The innermost cause decides by who threw it: only a codec's own frame means that
+    the content is damaged. A lost connection or a refused access is no such thing.
     """
+    text = str(error)
+    named = re.search(r"Encountered error while reading file (.+?)\.\s+SQLSTATE", text)
+    # Each cause is followed by its frames; the last one in the first trace is innermost.
+    causes = re.findall(r"Caused by: [^\n]*\n(?:[^\n]*\n)*?\s+at (?:[\w.]+/)?([\w.$]+)\(", text)
+    if named is None or not any(c.startswith(_CODECS) for c in causes):
+        return None
+    return _plain(named[1])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bad = pa.array([not _inflates(p) for p in batch.column(1).to_pylist()], pa.bool_())
-            yield batch.filter(bad)
 
-    # One file is one task's work, as it is when it is scanned.
-    return (
-        files.where(F.col("path").rlike(COMPRESSED)).select("file", "path")
-        .repartition("path").mapInArrow(run, "file STRING, path STRING")
-    )
+def _without(lines: DataFrame, paths: list[str]) -> DataFrame:
+    # On the file's metadata and before any row number, so that these files are not opened.
+    return lines.where(~_same(F.col("path")).isin(paths)) if paths else lines
+
 
+def _same(path: Column) -> Column:
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
-def _inflates(uri: str) -> bool:
-    from pyarrow import fs
 
-    system, path = fs.FileSystem.from_uri(uri)
+def damaged_paths(lines: DataFrame, found: list[str] | None = None) -> list[str]:
+    """Paths of all files of a strict scan that a decompressor refuses.
+
+    A scan names one such file when it fails. The files are then halved by a hash of
+    their path and each half is scanned without those already known, until all halves
+    succeed: about log2(damaged) + 2 times the folder is read, once if nothing is wrong.
+    """
+    known = list(found or [])
+    halves = [(1, 0)] if not known else [(2, 0), (2, 1)]
+    while halves:
+        parts, part = halves.pop()
+        share = F.pmod(F.xxhash64("path"), F.lit(parts)) == part
+        while True:
+            try:
+                _without(lines.where(share), known).agg(F.count("value")).first()
+            except (Py4JJavaError, PySparkException) as error:
+                path = broken_file(error)
+                if path is None or path in known:
+                    raise
+                known.append(path)
+                if parts < 1 << 20:
+                    halves += [(2 * parts, part), (2 * parts, part + parts)]
+                    break
+            else:
+                break
+    return known
+
+
+def store_sound(
+    lines: DataFrame, work: Callable[[DataFrame], DataFrame], name: str
+) -> tuple[DataFrame, list[str]]:
+    """Store ``work`` over the lines of all files that can be read to their end.
+
+    Returns the stored result and the paths of the damaged files, of which no line is
+    in it. Without damage this is one scan.
+    """
     try:
-        with system.open_input_stream(path, compression="detect") as stream:
-            while stream.read(1 << 20):
-                pass
-    except FileNotFoundError:
-        raise
-    except OSError:
-        return False
-    return True
+        return snapshot(work(lines), name), []
+    except (Py4JJavaError, PySparkException) as error:
+        first = broken_file(error)
+        if first is None:
+            raise
+    damaged = damaged_paths(lines, [first])
+    return snapshot(work(_without(lines, damaged)), name), damaged
 
 
-def without_damaged(lines: DataFrame, files: DataFrame) -> DataFrame:
-    """The lines of sound files: a damaged file counts in whole or not at all."""
-    damaged = snapshot(damaged_files(files), "damaged-files")
-    return lookup_join(lines, damaged.select("path"), "path", "left_anti", spread_by="row")
+def _int_at(content: Column, place: Column) -> Column:
+    """The four bytes at a 0-based place as an unsigned number."""
+    return F.conv(F.hex(F.substring(content, place + 1, F.lit(4))), 16, 10).cast("bigint")
 
 
-def file_errors(files: DataFrame, lines: DataFrame) -> DataFrame:
-    """(file, reason): ``breaks off`` if not all of it can be read, ``unreadable`` if no line.
+def cut_block_files(files: DataFrame) -> DataFrame:
+    """(path) of files of block kinds that end within a block.
 
-    A compressed file breaks off if it does not inflate to its end, another one if its
+    Reading such a file to its end raises nothing, it just ends with the last whole block.
+    Here the lengths in front of blocks and their pieces are followed to the end: a sound
+    file's last piece ends where the file does. As Spark hands a whole file over for this, a
+    file above its limit for one (2 GB) fails the job.
+    """
+    spark = files.sparkSession
+    listed = [r[0] for r in files.where(F.col("path").rlike(_BLOCKS)).select("path").collect()]
+    if not listed:
+        return files.select("path").limit(0)
+    content, length = F.col("content"), F.octet_length("content").cast("bigint")
+
+    def step(at: Column, _: Column) -> Column:
+        # ``due`` pieces are still to come in the block at hand.
+        head = at["due"] == 0
+        value = _int_at(content, at["place"])
+        moved = F.struct(
+            (at["place"] + 4 + F.when(head, 0).otherwise(value)).alias("place"),
+            F.when(head, F.ceil(value / _PIECE)).otherwise(at["due"] - 1).cast("bigint").alias("due"),
+        )
+        return F.when(at["place"] + 4 <= length, moved).otherwise(at)
+
+    # Every step is four bytes or more, in two loops so that neither is long.
+    side = F.ceil(F.sqrt(length / 4 + 1)).cast("int")
+    zero = F.lit(0).cast("bigint")
+    end = F.aggregate(
+        F.sequence(F.lit(1), side), F.struct(zero.alias("place"), zero.alias("due")),
+        lambda at, _: F.when(at["place"] + 4 > length, at).otherwise(
+            F.aggregate(F.sequence(F.lit(1), side), at, step)
+        ),
+    )
+    read = spark.read.format("binaryFile").load([unquote(p) for p in listed])
+    ended = read.select(F.col("path").alias("_path"), length.alias("_len"), end.alias("_end"))
+    # A piece that compresses a little longer than a block is split by some writers.
+    return ended.where("_end.place <> _len OR _end.due > 0").select(
+        F.regexp_replace("_path", "^file:/+", "file:/").alias("path")
+    )
+
+
+def completeness(
+    files: DataFrame, seen: DataFrame, damaged: list[str], truncated: DataFrame | None = None
+) -> DataFrame:
+    """(file, path, length, lines, bytes, verdict): one row per listed file.
+
+    ``seen`` is (path, lines, bytes) of what a scan read, without the damaged files. The
+    verdict is ``whole``; ``empty``; ``unreadable`` if not one line could be read; or
+    ``breaks off`` if the content is damaged, ends within a block, or if a plain file's
     lines, each with two bytes of line end, do not make up its length.
     """
-    seen = lines.groupBy("path").agg(
-        F.count("*").alias("_lines"), F.sum(F.octet_length("value") + 2).alias("_bytes")
+    spark = files.sparkSession
+    if truncated is None:
+        truncated = cut_block_files(files)
+    begun: set[str] = set()
+    if damaged:
+        # What of a damaged file lies before the fault tells the two verdicts apart.
+        lenient = spark.read.option("ignoreCorruptFiles", "true").text(damaged)
+        begun = {_plain(r[0]) for r in
+                 lenient.select(F.col("_metadata.file_path")).distinct().collect()}
+    marks = spark.createDataFrame(
+        [(p, "breaks off" if p in begun else "unreadable") for p in damaged],
+        "_damaged STRING, _mark STRING",
+    ).unionByName(truncated.select(
+        _same(F.col("path")).alias("_damaged"), F.lit("breaks off").alias("_mark")))
+    own = files.withColumn("_plain", _same(F.col("path")))
+    counted = lookup_join(
+        own, seen.select(_same(F.col("path")).alias("_seen"), "lines", "bytes"),
+        ("_plain", "_seen"), "left", even=True,
     )
-    damaged = damaged_files(files).select(F.col("path").alias("_damaged"))
-    found = lookup_join(files.where("length > 0"), seen, "path", "left", even=True)
-    marked = lookup_join(found, damaged, ("path", "_damaged"), "left", even=True)
+    marked = lookup_join(counted, marks, ("_plain", "_damaged"), "left", even=True)
     # The three bytes are those of a byte order mark.
-    short = ~F.col("path").rlike(_INFLATED) & (F.col("_bytes") + 3 < F.col("length"))
-    reason = F.when(F.col("_lines").isNull(), "unreadable").when(
-        F.col("_damaged").isNotNull() | short, "breaks off"
+    short = ~F.col("path").rlike(_INFLATED) & (F.col("bytes") + 2 * F.col("lines") + 3 < F.col("length"))
+    verdict = (
+        F.when(F.col("_mark").isNotNull(), F.col("_mark"))
+        .when(F.col("length") == 0, "empty")
+        .when(F.col("lines").isNull(), "unreadable")
+        .when(short, "breaks off")
+        .otherwise("whole")
+    )
+    none = F.lit(0).cast("bigint")
+    return marked.select(
+        "file", "path", "length", F.coalesce("lines", none).alias("lines"),
+        F.coalesce("bytes", none).alias("bytes"), verdict.alias("verdict"),
+    )
+
+
+def seen_per_file(lines: DataFrame, size: Column | None = None) -> DataFrame:
+    """(path, lines, bytes) of a scan; ``size`` is a line's bytes if its text is gone."""
+    size = F.octet_length("value") if size is None else size
+    return lines.groupBy("path").agg(F.count("*").alias("lines"), F.sum(size).alias("bytes"))
+
+
+def file_errors(files: DataFrame, lines: DataFrame) -> DataFrame:
+    """(file, reason) of listed files that are not whole, from a strict scan of them."""
+    seen, damaged = store_sound(lines, seen_per_file, "seen")
+    return bad_files(completeness(files, seen, damaged))
+
+
+def bad_files(verdicts: DataFrame) -> DataFrame:
+    return verdicts.where("verdict IN ('breaks off', 'unreadable')").select(
+        "file", F.col("verdict").alias("reason")
     )
-    return marked.select("file", reason.alias("reason")).where("reason IS NOT NULL")
 
 
 def _sample_lines(spark: SparkSession, path: str | list[str], pattern: str) -> DataFrame:

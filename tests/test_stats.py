@@ -4,6 +4,7 @@ import statistics
 
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from loadlens.operators import ranks, stats
 
@@ -64,11 +65,49 @@ def test_summary_of_skewed_groups(spark, slices):
     check(rows, stats.summarize(df, ["g"], "v", slices).collect())
 
 
-def test_summary_when_ranks_are_too_many_for_the_driver(spark, monkeypatch):
-    monkeypatch.setattr(ranks, "FEW_RANKS", 3)
+@pytest.mark.parametrize("slices,slice_rows", [(2, 1), (16, 10), (1024, 100), (5, 1600)])
+def test_summary_when_groups_are_cut(spark, slices, slice_rows):
     rows = skewed_rows()
     df = spark.createDataFrame(rows, "g string, v double")
-    check(rows, stats.summarize(df, ["g"], "v", 16).collect())
+    check(rows, stats.summarize(df, ["g"], "v", slices, slice_rows).collect())
+
+
+def test_cut_groups_that_are_too_many_to_broadcast(spark):
+    df = spark.createDataFrame(skewed_rows(), "g string, v double")
+    ranks_of = {"p50": lambda n: F.floor(n / 2), "last": lambda n: n - 1}
+    few = ranks.pick_ranks(ranks.slice_groups(df, ["g"], "v"), ranks_of)
+    many = ranks.pick_ranks(
+        ranks.slice_groups(df, ["g"], "v", 4, slice_rows=15, broadcast_rows=0), ranks_of
+    )
+    assert sorted(map(repr, few.collect())) == sorted(map(repr, many.collect()))
+
+
+@pytest.mark.parametrize("spread", ["rand(3)", "exp(40 * rand(3) - 20)", "-exp(300 * rand(3))",
+                                    "if(rand(3) < 0.5, 7D, 1e300 * rand(4))"])
+def test_no_window_outgrows_the_limit(spark, spread):
+    """Ten times the rows: more levels, but slices that are sorted stay below the limit."""
+    for count in (4_000, 40_000):
+        drawn = spark.range(count).selectExpr("'all' AS g", f"{spread} AS v")
+        df = spark.createDataFrame(drawn.collect())
+        groups = ranks.slice_groups(df, ["g"], "v", 8, slice_rows=200)
+        asks = F.array(*[
+            F.struct(F.lit(str(i)).alias("name"), F.lit(i * count // 10).cast("bigint").alias("rank"))
+            for i in range(10)
+        ])
+        levels, found = ranks.cut_slices(groups, groups.profile.withColumn("_asks", asks))
+        data = sorted(r.v for r in df.collect())
+        got = {int(r._name): r._value for f in found for r in f.collect()}
+        assert got == {i: data[i * count // 10] for i in range(10)}
+        # Only slices within the limit are sorted; the last level holds no other.
+        assert len(levels) > 1
+        assert all(r._size <= 200 or r._low == r._high for r in levels[-1].collect())
+
+
+def test_infinite_values_in_cut_groups(spark):
+    rows = [("g", math.inf)] * 30 + [("g", -math.inf)] * 30 + [("g", float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    row = stats.rank_percentiles(df, ["g"], "v", 4, slice_rows=5).first()
+    assert (row.n, row.p50, row.p90) == (100, 20.0, math.inf)
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
