@@ -17,7 +17,7 @@ from loadlens.functions.numbers import scatter32_sql, scatter63_sql
 from loadlens.operators import checks, keyed, logs, progress, stats
 from loadlens.operators.joins import lookup_join, null_safe_join
 from loadlens.plans import mixes, pipelines, reports
-from loadlens.plans.log_reports import setup_report
+from loadlens.plans.log_reports import analyze, setup_report
 from loadlens.session import scratch_path, snapshot
 from loadlens.sources import delimited, generated, logs as log_files, sinks
 from loadlens.sources.tables import DRIVER_TABLES, list_tables, read_table
@@ -623,6 +623,33 @@ def log_scan(spark, sf):
     return good.unionByName(skipped).groupBy("reason").agg(F.count("*").alias("lines"))
 
 
+_NUMBERED_LINES = 3000
+
+
+@query(
+    "log_lines_numbered",
+    f"""WITH l AS (SELECT event_id // {_NUMBERED_LINES} AS bucket, {_LINE_CLASS} AS class, {_REASON} AS reason,
+                      row_number() OVER (PARTITION BY event_id // {_NUMBERED_LINES} ORDER BY event_id) AS line
+               FROM events)
+        SELECT bucket, line, reason FROM l WHERE class NOT IN ('ok', 'blank')""",
+)
+def log_lines_numbered(spark, sf):
+    """Plain and compressed files of known lines, analysed as a folder: file, line, reason."""
+    folder = scratch_path(spark, "numbered")
+    lines = _log_lines(spark, sf).select(
+        F.expr(f"line DIV {_NUMBERED_LINES}").alias("bucket"), "line", "value"
+    )
+    # One task, and so one file, holds a bucket in order.
+    for rest, codec in ((0, "none"), (1, "gzip")):
+        part = lines.where(F.col("bucket") % 2 == rest).repartition("bucket")
+        part.sortWithinPartitions("bucket", "line").select("bucket", "value").write.mode(
+            "append"
+        ).option("compression", codec).partitionBy("bucket").text(folder)
+    found = analyze(spark, folder, "timer_jitter", pattern="part-*")
+    bucket = F.regexp_extract("path", "bucket=([0-9]+)/", 1).cast("bigint")
+    return found.skipped.select(bucket.alias("bucket"), "line", "reason")
+
+
 @query(
     "json_field",
     """SELECT event_type, count(json_extract(props, '$.k')) AS n,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -21,18 +21,23 @@ from loadlens.sources.logs import (
 
 @dataclass(frozen=True)
 class LogAnalysis:
-    """Results of a folder, all of them stored when it is analysed.
+    """Results of a folder, made from its lines as they were stored when it was analysed.
 
     ``files`` has a verdict for every listed file; those in ``errors`` count nowhere else.
     """
 
     kind: LogKind
     rows: DataFrame
-    summary: DataFrame
     skipped: DataFrame
     errors: DataFrame
     files: DataFrame
 
+    @cached_property
+    def summary(self) -> DataFrame:
+        """Every metric per file; files without a result row have n = 0."""
+        found = logs.summarize_metrics(self.rows, self.kind, self.files.select("file"))
+        return snapshot(found, "summary")
+
     def report(self, preferred: Sequence[str] = SETUP_ORDER) -> DataFrame:
         return setup_report(self.summary, self.kind, preferred)
 
@@ -96,7 +101,6 @@ def analyze(
     return LogAnalysis(
         kind=spec,
         rows=rows,
-        summary=snapshot(logs.summarize_metrics(rows, spec, files), "summary"),
         skipped=skipped,
         errors=errors,
         files=verdicts,

@@ -22,9 +22,16 @@ from loadlens.session import snapshot
 _INFLATED = r"\.(gz|bz2|zst|lz4|snappy|deflate)$"
 # Kinds that consist of blocks with their length in front and have no mark at their end.
 _BLOCKS = r"\.(lz4|snappy)$"
-# The largest piece of a block that the writers of these kinds compress at once.
-_PIECE = 256 << 10
-# What a decompressor's own frames begin with in a stack trace.
+# How much of a longer block Hadoop's writers of these kinds compress at
+# once, as its 256 KB buffer leaves room for what might not compress.
+_PIECES = {"lz4": 261_100, "snappy": 218_422}
+# Failures of the installation or the machine, also if a codec's frame reports them.
+_NO_DAMAGE = (
+    "java.lang.RuntimeException", "java.lang.UnsupportedOperationException",
+    "java.lang.OutOfMemoryError", "java.lang.UnsatisfiedLinkError", "java.lang.NoClassDefFoundError",
+    "java.lang.InterruptedException", "java.io.InterruptedIOException",
+)
+# What the frames of decompressors begin with: what they throw is about the content.
 _CODECS = (
     "org.apache.hadoop.io.compress.", "java.util.zip.", "com.github.luben.zstd.",
     "net.jpountz.", "org.xerial.snappy.", "io.airlift.compress.",
@@ -129,11 +136,14 @@ def broken_file(error: Exception) -> str | None:
     """
     text = str(error)
     named = re.search(r"Encountered error while reading file (.+?)\.\s+SQLSTATE", text)
-    # Each cause is followed by its frames; the last one in the first trace is innermost.
-    causes = re.findall(r"Caused by: [^\n]*\n(?:[^\n]*\n)*?\s+at (?:[\w.]+/)?([\w.$]+)\(", text)
-    if named is None or not any(c.startswith(_CODECS) for c in causes):
-        return None
-    return _plain(named[1])
+    # Each cause with the frame that threw it.
+    causes = re.findall(
+        r"Caused by: ([\w.$]+)[^\n]*\n(?:(?!Caused by)[^\n]*\n)*?\s+at (?:[\w.]+/)?([\w.$]+)\(", text
+    )
+    damage = any(
+        frame.startswith(_CODECS) and kind not in _NO_DAMAGE for kind, frame in causes
+    )
+    return _plain(named[1]) if named and damage else None
 
 
 def _without(lines: DataFrame, paths: list[str]) -> DataFrame:
@@ -209,6 +219,7 @@ def cut_block_files(files: DataFrame) -> DataFrame:
     if not listed:
         return files.select("path").limit(0)
     content, length = F.col("content"), F.octet_length("content").cast("bigint")
+    piece = F.when(F.col("path").endswith(".lz4"), _PIECES["lz4"]).otherwise(_PIECES["snappy"])
 
     def step(at: Column, _: Column) -> Column:
         # ``due`` pieces are still to come in the block at hand.
@@ -216,7 +227,7 @@ def cut_block_files(files: DataFrame) -> DataFrame:
         value = _int_at(content, at["place"])
         moved = F.struct(
             (at["place"] + 4 + F.when(head, 0).otherwise(value)).alias("place"),
-            F.when(head, F.ceil(value / _PIECE)).otherwise(at["due"] - 1).cast("bigint").alias("due"),
+            F.when(head, F.ceil(value / piece)).otherwise(at["due"] - 1).cast("bigint").alias("due"),
         )
         return F.when(at["place"] + 4 <= length, moved).otherwise(at)
 
@@ -230,11 +241,10 @@ def cut_block_files(files: DataFrame) -> DataFrame:
         ),
     )
     read = spark.read.format("binaryFile").load([unquote(p) for p in listed])
-    ended = read.select(F.col("path").alias("_path"), length.alias("_len"), end.alias("_end"))
-    # A piece that compresses a little longer than a block is split by some writers.
-    return ended.where("_end.place <> _len OR _end.due > 0").select(
-        F.regexp_replace("_path", "^file:/+", "file:/").alias("path")
+    ended = read.select(
+        F.col("_metadata.file_path").alias("path"), length.alias("_len"), end.alias("_end")
     )
+    return ended.where("_end.place <> _len OR _end.due > 0").select("path")
 
 
 def completeness(
