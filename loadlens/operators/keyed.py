@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loadlens.functions.numbers import scatter32, scatter63, uniform_int
 from loadlens.operators.joins import BROADCAST_ROWS, fits_broadcast, lookup_join
-from loadlens.operators.ranks import slice_bounds, slice_offsets, slices_for, with_slice
+from loadlens.operators.sorted_table import SortedTable, scan_ranges, sort_table
 from loadlens.session import snapshot
 
 # Share of each operation, in percent, per standard mix.
@@ -26,7 +26,6 @@ MIXES = {
     "f": {"read": 50, "rmw": 50},
 }
 MAX_SCAN = 100
-_SCAN_BLOCK = 128
 
 
 def op_log(
@@ -83,62 +82,18 @@ def point_lookup(
 
 def range_scan(
     requests: DataFrame,
-    table: DataFrame,
+    table: DataFrame | SortedTable,
     slices: int | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """For each ``req_id, start, scan_len``: the first rows from ``start`` on.
 
-    Keys and distinct starts are ranked together inside even slices of the key
-    range. A request then covers a run of ranks, which lies in one or two fixed
-    blocks, so rows are found by an equi-join on the block.
+    A :class:`SortedTable` is read where the requests need it. A plain table is sorted
+    and stored first, so sort it once where it is scanned again.
     """
-    row = F.struct(*[F.col(c) for c in table.columns])
-    starts = requests.select(F.col("start").alias("key")).distinct()
-    marks = table.select("key", row.alias("_row"), F.lit(1).alias("_stored")).unionByName(
-        starts.select("key", F.lit(0).alias("_stored")), allowMissingColumns=True
-    )
-    bounds = slice_bounds(marks, "key", slices or slices_for(table))
-    sliced = with_slice(marks, "key", bounds)
-    # A start sorts before the stored row of the same key, so the running count
-    # of stored rows is the start's own rank.
-    run = (
-        Window.partitionBy("_slice")
-        .orderBy("key", "_stored")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    offsets = slice_offsets(sliced, F.col("_stored"))
-    ranked = snapshot(
-        sliced.withColumn("_run", F.sum("_stored").over(run))
-        # one row per slice: at most `slices` rows
-        .join(F.broadcast(offsets), "_slice")
-        .withColumn("_rank", F.col("_before") + F.col("_run") - F.col("_stored")),
-        "ranked",
-    )
-    start_ranks = ranked.where("_stored = 0").select(
-        F.col("key").alias("start"), F.col("_rank").alias("_first")
-    )
-    stored = ranked.where("_stored = 1").select(
-        "_row", "_rank", F.floor(F.col("_rank") / _SCAN_BLOCK).alias("_block")
-    )
-
-    placed = lookup_join(requests, start_ranks, "start", broadcast_rows=broadcast_rows)
-    last = F.col("_first") + F.col("scan_len") - 1
-    spans = placed.withColumn(
-        "_block",
-        F.explode(
-            F.sequence(F.floor(F.col("_first") / _SCAN_BLOCK), F.floor(last / _SCAN_BLOCK))
-        ),
-    )
-    if fits_broadcast(requests, broadcast_rows):
-        # A request spans at most 1 + MAX_SCAN / _SCAN_BLOCK blocks, so the spans
-        # are as few as the requests and the table stays where it is.
-        found = stored.join(F.broadcast(spans), "_block")
-    else:
-        # `stored` holds at most _SCAN_BLOCK rows per block.
-        found = lookup_join(spans, stored, "_block", broadcast_rows=broadcast_rows)
-    found = found.where(F.col("_rank").between(F.col("_first"), last))
-    return found.select("req_id", (F.col("_rank") - F.col("_first")).alias("pos"), "_row.*")
+    if isinstance(table, DataFrame):
+        table = sort_table(table)
+    return scan_ranges(requests, table, slices, broadcast_rows)
 
 
 def read_latest(table: DataFrame, count: int, seq: str) -> DataFrame:

@@ -32,11 +32,6 @@ SALTS = 64
 _SMALLEST = float(1 << 40)
 
 
-def slices_for(df: DataFrame) -> int:
-    """Number of slices that keeps one slice a task's worth of rows."""
-    return max(1, min(MAX_SLICES, df.count() // SLICE_ROWS))
-
-
 def slice_bounds(df: DataFrame, value: str, slices: int = SLICES) -> list[float]:
     """Increasing cut points that split the column into even parts.
 
@@ -292,16 +287,3 @@ def _cut(groups: SlicedGroups, rows: DataFrame, wide: DataFrame, log: bool) -> D
         .where(F.size("_asks") > 0)
         .withColumn("_id", F.monotonically_increasing_id())
     )
-
-
-def slice_offsets(sliced: DataFrame, weight: Column | None = None) -> DataFrame:
-    """Rows that lie before each slice; one row per slice."""
-    size = F.count("*") if weight is None else F.sum(weight)
-    sizes = sliced.groupBy("_slice").agg(size.alias("_size"))
-    # One row per slice, so at most SLICES rows share this window.
-    run = (
-        Window.partitionBy(F.lit(0))
-        .orderBy("_slice")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return sizes.select("_slice", (F.sum("_size").over(run) - F.col("_size")).alias("_before"))

@@ -16,6 +16,7 @@ from loadlens.functions.dates import epoch_micros
 from loadlens.functions.numbers import scatter32_sql, scatter63_sql
 from loadlens.operators import checks, keyed, logs, progress, stats
 from loadlens.operators.joins import lookup_join, null_safe_join
+from loadlens.operators.sorted_table import sort_table
 from loadlens.plans import mixes, pipelines, reports
 from loadlens.plans.log_reports import analyze, setup_report
 from loadlens.session import scratch_path, snapshot
@@ -626,15 +627,11 @@ def log_scan(spark, sf):
 _NUMBERED_LINES = 3000
 
 
-@query(
-    "log_lines_numbered",
-    f"""WITH l AS (SELECT event_id // {_NUMBERED_LINES} AS bucket, {_LINE_CLASS} AS class, {_REASON} AS reason,
-                      row_number() OVER (PARTITION BY event_id // {_NUMBERED_LINES} ORDER BY event_id) AS line
-               FROM events)
-        SELECT bucket, line, reason FROM l WHERE class NOT IN ('ok', 'blank')""",
-)
-def log_lines_numbered(spark, sf):
-    """Plain and compressed files of known lines, analysed as a folder: file, line, reason."""
+def _bucket() -> Column:
+    return F.regexp_extract("path", "bucket=([0-9]+)/", 1).cast("bigint").alias("bucket")
+
+
+def _numbered_folder(spark: SparkSession, sf: str) -> str:
     folder = scratch_path(spark, "numbered")
     lines = _log_lines(spark, sf).select(
         F.expr(f"line DIV {_NUMBERED_LINES}").alias("bucket"), "line", "value"
@@ -645,9 +642,28 @@ def log_lines_numbered(spark, sf):
         part.sortWithinPartitions("bucket", "line").select("bucket", "value").write.mode(
             "append"
         ).option("compression", codec).partitionBy("bucket").text(folder)
-    found = analyze(spark, folder, "timer_jitter", pattern="part-*")
-    bucket = F.regexp_extract("path", "bucket=([0-9]+)/", 1).cast("bigint")
-    return found.skipped.select(bucket.alias("bucket"), "line", "reason")
+    return folder
+
+
+@query(
+    "log_lines_numbered",
+    f"""WITH l AS (SELECT event_id // {_NUMBERED_LINES} AS bucket, {_LINE_CLASS} AS class, {_REASON} AS reason,
+                      row_number() OVER (PARTITION BY event_id // {_NUMBERED_LINES} ORDER BY event_id) AS line
+               FROM events)
+        SELECT bucket, line, reason FROM l WHERE class NOT IN ('ok', 'blank')""",
+)
+def log_lines_numbered(spark, sf):
+    """Plain and compressed files of known lines, analysed as a folder: file, line, reason."""
+    found = analyze(spark, _numbered_folder(spark, sf), "timer_jitter", pattern="part-*")
+    return found.skipped.select(_bucket(), "line", "reason")
+
+
+@query("stream_log_lines", ORACLE["log_lines_numbered"])
+def stream_log_lines(spark, sf):
+    """The same files as a stream, two in a micro-batch."""
+    lines = jobs.read_log_stream(spark, _numbered_folder(spark, sf), "part-*", files_per_batch=2)
+    _, skipped = jobs.ingest_logs(lines, _TIMER, scratch_path(spark, "ingest"))
+    return skipped.select(_bucket(), "line", "reason")
 
 
 @query(
@@ -982,6 +998,16 @@ def range_scan_shuffled(spark, sf):
     )
 
 
+@query("range_scan_stored", _SCAN)
+def range_scan_stored(spark, sf):
+    """Two batches of requests on one sorted table."""
+    table, requests = sort_table(_customers(spark, sf)), _requests(spark, sf, "start")
+    batches = [
+        keyed.range_scan(requests.where(F.col("req_id") % 2 == rest), table) for rest in (0, 1)
+    ]
+    return batches[0].unionByName(batches[1])
+
+
 # Events as an operation log: the type of an event decides the operation.
 _OPS = {
     "click": "update", "view": "read", "purchase": "insert", "signup": "rmw", "error": "delete",

@@ -14,6 +14,10 @@ from pyspark.sql import types as T
 
 from loadlens.functions.dates import instant, wall_time
 from loadlens.operators.logs import LogKind, classify, result_rows, skipped_lines
+from loadlens.sources.logs import with_ids, with_line_numbers
+
+# Micro-batches whose changes are merged into one snapshot.
+COMPACT_EVERY = 16
 
 
 def read_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -31,7 +35,11 @@ def read_log_stream(
     reader = spark.readStream.option("pathGlobFilter", pattern)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+    meta = F.col("_metadata")
+    return reader.text(path).select(
+        meta["file_name"].alias("file"), meta["file_path"].alias("path"), "value",
+        meta["file_block_start"].alias("_start"), meta["file_block_length"].alias("_length"),
+    )
 
 
 def copy_stream(rows: DataFrame, folder: str) -> DataFrame:
@@ -75,24 +83,48 @@ def tumbling_sum(
 
 
 def ingest_logs(lines: DataFrame, kind: LogKind, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Parse lines as they come; returns the tables of result rows and skipped lines."""
-    classified = classify(lines, kind)
+    """Parse lines as they come; returns the tables of result rows and skipped lines.
 
-    def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_ok", F.col("reason").isNull()).write.mode("overwrite").partitionBy(
-            "_ok"
-        ).parquet(f"{folder}/lines/batch={number}")
+    A file belongs to one micro-batch as a whole, so a batch numbers its skipped lines as
+    a scan of these files does: ``line`` is the line's number in its file. Without the
+    columns of :func:`read_log_stream` that tell a line's place it is NULL.
+    """
+    numbered = {"path", "_start", "_length"} <= set(lines.columns)
+
+    def classed(rows: DataFrame) -> DataFrame:
+        return classify(with_ids(rows) if numbered else rows, kind, blank=True)
+
+    def split(stored: DataFrame) -> DataFrame:
+        told = stored.where("reason IS NULL OR reason <> 'blank'")
+        good, bad = (told.where(f"reason IS {null} NULL") for null in ("", "NOT"))
+        none = F.lit(None).cast("bigint")
+        bad = with_line_numbers(bad, stored) if numbered else bad.withColumn("line", none)
+        good = good.drop("_start", "_length", "_id").withColumn("line", none)
+        return good.unionByName(bad)
 
-    _start_empty(classified, f"{folder}/lines/batch=-1/_ok=true")
-    _run(classified, "append", folder, write)
-    schema = T.StructType([*classified.schema.fields, T.StructField("_ok", T.BooleanType())])
+    def write(batch: DataFrame, number: int) -> None:
+        # Each line is parsed once; the second pass is over what was stored.
+        path = f"{folder}/classed/batch={number}"
+        parsed = classed(batch)
+        parsed.write.mode("overwrite").parquet(path)
+        stored = batch.sparkSession.read.schema(parsed.schema).parquet(path)
+        split(stored).withColumn("_ok", F.col("reason").isNull()).write.mode(
+            "overwrite"
+        ).partitionBy("_ok").parquet(f"{folder}/lines/batch={number}")
+
+    plain = classify(lines, kind, blank=True).drop("_start", "_length")
+    schema = T.StructType([*plain.schema.fields, T.StructField("line", T.LongType())])
+    spark = lines.sparkSession
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(
+        f"{folder}/lines/batch=-1/_ok=true"
+    )
+    _run(lines, "append", folder, write)
+    schema.add("_ok", T.BooleanType())
     stored = (
-        classified.sparkSession.read.schema(schema)
-        .option("basePath", f"{folder}/lines")
-        .parquet(f"{folder}/lines")
+        spark.read.schema(schema).option("basePath", f"{folder}/lines").parquet(f"{folder}/lines")
     )
     return (
-        result_rows(stored.where("_ok").drop("_ok")),
+        result_rows(stored.where("_ok").drop("_ok", "line")),
         skipped_lines(stored.where("NOT _ok").drop("_ok")),
     )
 
@@ -113,16 +145,60 @@ def _run(rows: DataFrame, mode: str, folder: str, write) -> None:
     query.awaitTermination()
 
 
-def _latest(updates: DataFrame, keys: Sequence[str], folder: str) -> DataFrame:
-    """Store each micro-batch's changed groups; the newest of each group counts."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/changes/batch={number}")
+def _latest(
+    updates: DataFrame, keys: Sequence[str], folder: str, every: int = COMPACT_EVERY
+) -> DataFrame:
+    """Store each micro-batch's changed groups; the newest of each group counts.
 
-    _start_empty(updates, f"{folder}/changes/batch=-1")
-    _run(updates, "update", folder, write)
+    Changes lie in epochs of ``every`` batches. The last batch of an epoch merges them
+    with the snapshot before into a new one; only then the new version is published, by
+    one committed file. So a read touches one snapshot and the changes of one epoch,
+    however long the job has run. A batch that is repeated after a fault overwrites its
+    own changes, and a published version is never written again.
+    """
+    spark = updates.sparkSession
     schema = T.StructType([*updates.schema.fields, T.StructField("batch", T.LongType())])
-    stored = updates.sparkSession.read.schema(schema).parquet(f"{folder}/changes")
     values = [c for c in updates.columns if c not in keys]
-    newest = stored.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v"))
-    return newest.select(*keys, "_v.*")
+
+    def published(session: SparkSession) -> int:
+        versions = session.read.schema("epoch BIGINT").parquet(f"{folder}/published")
+        return versions.agg(F.max("epoch")).first()[0]
+
+    def merged(session: SparkSession, epoch: int) -> DataFrame:
+        """Everything up to the changes of the epoch after a published one."""
+        read = session.read.schema(schema)
+        stored = read.parquet(f"{folder}/snapshots/epoch={epoch}").unionByName(
+            read.parquet(f"{folder}/changes/epoch={epoch + 1}")
+        )
+        newest = stored.groupBy(*keys).agg(
+            F.max_by(F.struct(*values), "batch").alias("_v"), F.max("batch").alias("batch")
+        )
+        return newest.select(*keys, "_v.*", "batch").select(*schema.names)
+
+    def publish(session: SparkSession, epoch: int) -> None:
+        session.createDataFrame([(epoch,)], "epoch BIGINT").coalesce(1).write.mode(
+            "append"
+        ).parquet(f"{folder}/published")
+
+    def open_epoch(session: SparkSession, epoch: int) -> None:
+        session.createDataFrame([], updates.schema).write.mode("overwrite").parquet(
+            f"{folder}/changes/epoch={epoch}/batch=-1"
+        )
+
+    def write(batch: DataFrame, number: int) -> None:
+        session, epoch = batch.sparkSession, number // every
+        batch.write.mode("overwrite").parquet(f"{folder}/changes/epoch={epoch}/batch={number}")
+        if number % every == every - 1 and published(session) < epoch:
+            merged(session, epoch - 1).write.mode("overwrite").parquet(
+                f"{folder}/snapshots/epoch={epoch}"
+            )
+            open_epoch(session, epoch + 1)
+            publish(session, epoch)
+
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{folder}/snapshots/epoch=-1")
+    _start_empty(updates, f"{folder}/changes/epoch=0/batch=-1")
+    spark.createDataFrame([(-1,)], "epoch BIGINT").coalesce(1).write.mode("ignore").parquet(
+        f"{folder}/published"
+    )
+    _run(updates, "update", folder, write)
+    return merged(spark, published(spark)).drop("batch")

@@ -1,9 +1,11 @@
 import random
+import re
 from collections import Counter
 
 import pytest
 
 from loadlens.operators import keyed
+from loadlens.operators.sorted_table import sort_table
 from loadlens.plans import mixes
 from loadlens.sources import generated
 
@@ -72,6 +74,46 @@ def test_range_scan(spark, rows, slices):
         assert sorted(found.get(req, [])) == list(enumerate(wanted))
 
 
+def scanned(found):
+    rows = {}
+    for r in found.collect():
+        rows.setdefault(r.req_id, []).append((r.pos, r.key))
+    return {q: sorted(v) for q, v in rows.items()}
+
+
+def test_a_sorted_table_is_read_where_it_is_asked(spark):
+    keys = list(range(0, 60_000, 3))
+    table = spark.createDataFrame([(k, k / 2) for k in keys], "key bigint, val double")
+    stored = sort_table(table.repartition(5), parts=20)
+    assert stored.parts.count() == 20
+    requests = spark.createDataFrame([(1, 30_001, 150)], "req_id bigint, start bigint, scan_len int")
+    found = keyed.range_scan(requests, stored)
+    assert scanned(found) == {1: list(enumerate(k for k in keys if k >= 30_001))[:150]}
+    plan = found._jdf.queryExecution().toString()
+    parts = re.search(r"PartitionFilters: \[_part#\d+ IN \(([\d,]+)\)", plan) or re.search(
+        r"PartitionFilters: \[isnotnull\(_part#\d+\), \(_part#\d+ = (\d+)\)", plan)
+    assert parts and len(parts[1].split(",")) <= 2
+    assert "GreaterThanOrEqual(key" in plan and "LessThan(key" in plan
+    # Blocks that this read covers, of 160 in the table.
+    low, high = (int(re.search(rf"{op}\(key,(\d+)\)", plan)[1]) for op in ("GreaterThanOrEqual", "LessThan"))
+    assert (high - low) // 3 <= 4 * 128
+
+
+def test_scans_at_the_edges_of_a_sorted_table(spark):
+    keys = [k * 7 for k in range(1000)]
+    stored = sort_table(spark.createDataFrame([(k, 0.0) for k in keys], "key bigint, val double"), 9)
+    asked = [(1, -50, 3), (2, 0, 2), (3, 6993, 5), (4, 6994, 5), (5, 6900, 5000), (6, 5, 0), (7, None, 3)]
+    df = spark.createDataFrame(asked, "req_id bigint, start bigint, scan_len int")
+    for rows in (0, 1000):
+        found = scanned(keyed.range_scan(df, stored, slices=4, broadcast_rows=rows))
+        for req, start, length in asked:
+            wanted = [k for k in keys if start is not None and k >= start][:length]
+            assert found.get(req, []) == list(enumerate(wanted))
+    assert keyed.range_scan(df.limit(0), stored).columns == ["req_id", "pos", "key", "val"]
+    nothing = sort_table(spark.createDataFrame([], "key bigint, val double"))
+    assert keyed.range_scan(df, nothing).count() == 0
+
+
 def test_rmw_adds_up(spark):
     table = spark.createDataFrame([(1, 1.0), (2, 2.0)], "key bigint, val double")
     log = spark.createDataFrame(

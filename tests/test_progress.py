@@ -1,7 +1,9 @@
 import json
 import math
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from loadlens.operators import progress
 from loadlens.sources import progress as source
@@ -56,6 +58,51 @@ def test_summary_leaves_the_warm_up_out(spark):
     assert row.steady_min_jain_index <= row.final_jain_index
 
 
+def brute_align(rows, step):
+    cells, ends = {}, {}
+    for run, e, t, n in rows:
+        cell = -(-t // step)
+        cells.setdefault((run, e), []).append((t, cell, n))
+        ends[run] = max(ends.get(run, cell), cell)
+    found = set()
+    for (run, e), samples in cells.items():
+        samples.sort()
+        for cell in range(samples[0][1], ends[run] + 1):
+            found.add((run, e, cell, [n for _, c, n in samples if c <= cell][-1], samples[0][0]))
+    return found
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 4096])
+def test_alignment_over_chunks_with_and_without_samples(spark, monkeypatch, chunk):
+    monkeypatch.setattr(progress, "CHUNK", chunk)
+    rng = random.Random(chunk)
+    rows = [(f"r{n % 2}", f"e{n % 5}", rng.randrange(-500, 9000) if n % 7 else rng.randrange(40), n)
+            for n in range(60)]
+    rows = list({r[:3]: r for r in rows}.values())
+    found = progress.align(frame(spark, rows), 100)
+    assert {(r.run, r.entity, r.cell, r.ticks, r.first_t) for r in found.collect()} == brute_align(rows, 100)
+    some = progress.align(frame(spark, rows), 100, between=(10, 20)).collect()
+    assert {(r.run, r.entity, r.cell, r.ticks, r.first_t) for r in some} == {
+        x for x in brute_align(rows, 100) if 10 <= x[2] <= 20}
+    parts = spark.createDataFrame(
+        [(r, e, t, 1) for r, e, t, _ in rows], "run string, entity string, t bigint, amount bigint")
+    sums = {(r.run, r.entity, r.t): r.ticks for r in progress.cumulate(parts, 1).collect()}
+    assert sums == {(r, e, t): sum(1 for x in rows if x[:2] == (r, e) and x[2] <= t) for r, e, t, _ in rows}
+
+
+def test_a_gap_of_any_length_needs_no_list_of_its_cells(spark):
+    rows = [("r", "a", 0, 1), ("r", "a", 10**10, 2), ("r", "b", 5, 7)]
+    ends = progress.align(frame(spark, rows), 1, between=(10**10 - 3, 10**12))
+    assert {(r.entity, r.cell, r.ticks) for r in ends.collect()} == {
+        ("a", 10**10 - i, 1) for i in (1, 2, 3)} | {("a", 10**10, 2)} | {
+        ("b", 10**10 - i, 7) for i in range(4)}
+    # Every cell of a long gap, dealt to several tasks.
+    whole = progress.align(frame(spark, [("r", "a", 0, 1), ("r", "a", 3 * 10**7, 2)]), 1)
+    row = whole.agg(F.count("*").alias("n"), F.sum("cell").alias("s"), F.max("ticks").alias("m")).first()
+    assert (row.n, row.s, row.m) == (3 * 10**7 + 1, 3 * 10**7 * (3 * 10**7 + 1) // 2, 2)
+    assert whole.groupBy(F.spark_partition_id()).count().count() > 1
+
+
 def test_cumulate(spark):
     df = spark.createDataFrame(
         [("r", "a", 10, 2), ("r", "a", 20, 3), ("r", "a", 150, 4), ("r", "b", 10, 1)],

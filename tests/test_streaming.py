@@ -1,9 +1,13 @@
 import datetime as dt
 import json
+import re
+import shutil
 
 import pytest
+from pyspark.sql import functions as F
 
 from loadlens.operators.logs import KINDS
+from loadlens.plans import log_reports
 from loadlens.session import scratch_path
 from loadlens.streaming import jobs
 from tests.test_logs import TIMER
@@ -91,3 +95,62 @@ def test_feeds_without_input_read_as_empty(spark, tmp_path):
     lines = spark.readStream.schema("file STRING, value STRING").parquet(str(tmp_path / "in"))
     ok, skipped = jobs.ingest_logs(lines, KINDS["timer_jitter"], str(tmp_path / "logs"))
     assert ok.count() == 0 and skipped.count() == 0
+
+
+def test_changes_are_merged_every_few_batches(spark, feed, tmp_path):
+    path, add = feed
+    folder = str(tmp_path / "job")
+
+    def run(folder=folder):
+        counts = jobs.read_stream(spark, path, files_per_batch=1).groupBy("k").agg(F.count("*").alias("n"))
+        found = jobs._latest(counts, ["k"], folder, every=3)
+        return {r.k: r.n for r in found.collect()}, found.inputFiles()
+
+    wanted = {}
+    for n in range(8):
+        key = "abc"[n % 3]
+        add([(n, key, 1.0)])
+        wanted[key] = wanted.get(key, 0) + 1
+        if n % 2:
+            counted, read = run()
+            assert counted == wanted
+            # One snapshot and the changes of one epoch.
+            assert len({re.search("/snapshots/epoch=(-?[0-9]+)", f)[1] for f in read if "/snapshots/" in f}) == 1
+            assert len({f.split("/batch=")[1].split("/")[0] for f in read if "/changes/" in f}) <= 1 + 3
+    published = sorted(r.epoch for r in spark.read.parquet(f"{folder}/published").collect())
+    assert published == [-1, 0, 1]
+    # A batch repeated after a fault: what is published stays, what is not is done again.
+    newest = max(int(p.name) for p in (tmp_path / "job/state/commits").iterdir() if p.name.isdigit())
+    uncommitted = shutil.ignore_patterns(f"{newest}", f".{newest}.crc")
+    again = tmp_path / "again"
+    shutil.copytree(folder, again, ignore=lambda at, names: uncommitted(at, names)
+                    if at.endswith("/commits") else set())
+    assert run(str(again))[0] == wanted
+    # The ninth batch ends an epoch; a fault before it was published repeats the merge.
+    add([(9, "a", 1.0)])
+    wanted["a"] += 1
+    once = tmp_path / "once"
+    shutil.copytree(folder, once)
+    assert run(str(once))[0] == wanted
+    twice = tmp_path / "twice"
+    shutil.copytree(once, twice, ignore=lambda at, names: {
+        n for n in names if n in ("8", ".8.crc")} if at.endswith("/commits") else set())
+    spark.createDataFrame([(-1,), (0,), (1,)], "epoch BIGINT").coalesce(1).write.mode(
+        "overwrite").parquet(f"{twice}/published")
+    counted, read = run(str(twice))
+    assert counted == wanted and any("/snapshots/epoch=2/" in f for f in read)
+
+
+def test_streamed_line_numbers_are_those_of_a_scan(spark, tmp_path):
+    feed = tmp_path / "logs"
+    feed.mkdir()
+    good = json.dumps(TIMER)
+    for name, count in (("a", 40), ("b", 3), ("c", 0), ("d", 17)):
+        text = "".join(("", "noise", good, "{", "  ")[n % 5] + "\n" for n in range(count))
+        (feed / f"{name}.log").write_text(text)
+    lines = jobs.read_log_stream(spark, str(feed), files_per_batch=1)
+    rows, skipped = jobs.ingest_logs(lines, KINDS["timer_jitter"], scratch_path(spark, "ingest"))
+    scan = log_reports.analyze(spark, str(feed), "timer_jitter")
+    told = lambda df: sorted((r.file, r.line, r.reason) for r in df.collect())
+    assert told(skipped) == told(scan.skipped) and skipped.count() > 10
+    assert rows.count() == scan.rows.count()
