@@ -7,7 +7,7 @@ of the table are the parts and the key range that hold the blocks asked for.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
@@ -27,14 +27,21 @@ _SLICE_LINES = 100_000
 class SortedTable:
     """Stored rows with ``_part`` and ``_at``, their part and place there, and the directory.
 
-    ``parts`` has the number of rows before each part and is as small as the number of
-    tasks that sorted the table.
+    ``parts`` has (part, rows before it, its rows) of each task that sorted the table.
     """
 
     columns: tuple[str, ...]
     rows: DataFrame
     directory: DataFrame
-    parts: DataFrame
+    parts: tuple[tuple[int, int, int], ...]
+
+    def offsets(self) -> DataFrame:
+        return self.rows.sparkSession.createDataFrame(
+            [(part, before) for part, before, _ in self.parts], "_part INT, _offset BIGINT"
+        )
+
+    def size(self) -> int:
+        return sum(rows for _, _, rows in self.parts)
 
 
 def sort_table(table: DataFrame, parts: int | None = None, path: str | None = None) -> SortedTable:
@@ -49,24 +56,23 @@ def sort_table(table: DataFrame, parts: int | None = None, path: str | None = No
     placed.write.mode("overwrite").partitionBy("_part").parquet(path)
     order = [c for c in placed.columns if c != "_part"] + ["_part"]
     rows = spark.read.schema(placed.select(*order).schema).parquet(path)
-    lines = snapshot(
+    directory = snapshot(
         rows.groupBy("_part", block_in_part().alias("_block")).agg(
             F.min("key").alias("_first"), F.count("*").alias("_rows")
         ),
         "blocks",
     )
-    # One line per part.
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = snapshot(
-        lines.groupBy("_part").agg(F.sum("_rows").alias("_rows")).select(
-            "_part", "_rows", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")
-        ),
-        "parts",
-    )
-    directory = lines.join(F.broadcast(offsets.drop("_rows")), "_part").select(
+    # One line per task that sorted the table.
+    held = directory.groupBy("_part").agg(F.sum("_rows")).orderBy("_part").collect()
+    before, counted = 0, []
+    for part, count in held:
+        counted.append((part, before, count))
+        before += count
+    found = SortedTable(tuple(table.columns), rows, directory, tuple(counted))
+    lines = directory.join(F.broadcast(found.offsets()), "_part").select(
         "_part", "_block", "_first", (F.col("_offset") + F.col("_block") * BLOCK).alias("_rank")
     )
-    return SortedTable(tuple(table.columns), rows, snapshot(directory, "directory"), offsets)
+    return replace(found, directory=lines)
 
 
 def block_in_part() -> Column:
@@ -74,15 +80,16 @@ def block_in_part() -> Column:
 
 
 def _home_blocks(starts: DataFrame, table: SortedTable, slices: int | None) -> DataFrame:
-    """(start, _part, _block, _rank): the last block that does not begin after the start.
+    """(start, _rank, _part, _block, _begin): the last block that does not begin after the start.
 
     Starts and directory are merged in even slices of the key range; what the slices
     before hold is one line each. A start before every key has no block.
     """
     lines = table.directory.select(
-        F.col("_first").alias("key"), F.struct("_rank", "_part", "_block").alias("_home")
+        F.col("_first").alias("key"),
+        F.struct("_rank", "_part", "_block", F.col("_first").alias("_begin")).alias("_home"),
     )
-    slices = slices or max(1, min(MAX_SLICES, lines.count() // _SLICE_LINES))
+    slices = slices or max(1, min(MAX_SLICES, table.size() // BLOCK // _SLICE_LINES))
     bounds = slice_bounds(lines, "key", slices)
     both = with_slice(
         lines.withColumn("_asked", F.lit(0)).unionByName(
@@ -95,6 +102,9 @@ def _home_blocks(starts: DataFrame, table: SortedTable, slices: int | None) -> D
         Window.partitionBy("_slice").orderBy("key", "_asked")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    found = both.withColumn("_home", F.max("_home").over(run)).where("_asked = 1")
+    if not bounds:
+        return found.select(F.col("key").alias("start"), "_home.*")
     # At most MAX_SLICES lines, so one window and a broadcast hold them.
     earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = with_slice(lines, "key", bounds).groupBy("_slice").agg(F.max("_home").alias("_last"))
@@ -104,7 +114,6 @@ def _home_blocks(starts: DataFrame, table: SortedTable, slices: int | None) -> D
     carried = all_slices.join(carried, "_slice", "left").select(
         "_slice", F.max("_last").over(earlier).alias("_carried")
     )
-    found = both.withColumn("_home", F.max("_home").over(run)).where("_asked = 1")
     return found.join(F.broadcast(carried), "_slice").select(
         F.col("key").alias("start"), F.coalesce("_home", "_carried").alias("_home")
     ).select("start", "_home.*")
@@ -131,45 +140,47 @@ def scan_ranges(
     starts = snapshot(
         _home_blocks(asked.select("start").distinct(), table, slices), "starts"
     )
-    # One list of part numbers at most.
-    homes = [r[0] for r in starts.where("_part IS NOT NULL").select("_part").distinct().collect()]
-    least = starts.agg(F.min("start")).first()[0]
+    # The set is one of part numbers.
+    homes, lowest, least, top = starts.agg(
+        F.collect_set("_part"), F.min("_begin"), F.min("start"), F.max("start")
+    ).first()
     if least is None:
         return _nothing(requests, table)
-    lowest = table.directory.where(F.col("_first") <= F.lit(least)).agg(F.max("_first")).first()[0]
-    top = starts.agg(F.max("start")).first()[0]
     held = _read(table, homes, lowest, None).where(F.col("key") < F.lit(top)).select(
-        F.col("_part").alias("_p"), block_in_part().alias("_b"), F.col("key").alias("_key")
-    )
-    home = F.concat_ws(":", "_part", "_block")
-    inside = lookup_join(
-        starts.where("_part IS NOT NULL").withColumn("_where", home),
-        held.withColumn("_place", F.concat_ws(":", "_p", "_b")),
-        ("_where", "_place"), broadcast_rows=broadcast_rows,
-    ).where("_key < start").groupBy("start").agg(F.count("*").alias("_below"))
-    ranked = lookup_join(
-        starts.select("start", F.coalesce("_rank", F.lit(0)).alias("_rank")),
-        inside.withColumnRenamed("start", "_s"), ("start", "_s"), "left",
-        even=True, broadcast_rows=broadcast_rows,
+        F.concat_ws(":", "_part", block_in_part()).alias("_place"), F.col("key").alias("_key")
     )
-    ranked = snapshot(
-        ranked.select("start", (F.col("_rank") + F.coalesce("_below", F.lit(0))).alias("_first")),
-        "ranks",
+    home = starts.where("_part IS NOT NULL").select(
+        F.col("start").alias("_s"), "_rank", F.concat_ws(":", "_part", "_block").alias("_home")
     )
-    placed = snapshot(
-        lookup_join(asked, ranked, "start", broadcast_rows=broadcast_rows)
-        .withColumn("_last", F.col("_first") + F.col("scan_len") - 1),
-        "requests",
+    few = fits_broadcast(starts, broadcast_rows)
+    if few:
+        inside = held.join(F.broadcast(home), F.col("_place") == F.col("_home"))
+    else:
+        # `held` has at most BLOCK rows per block; many starts may share one.
+        inside = lookup_join(home, held, ("_home", "_place"), broadcast_rows=0)
+    counted = inside.where("_key < _s").groupBy("_s", "_rank").agg(F.count("*").alias("_below"))
+    ranked = starts.select(
+        F.col("start").alias("_s"), F.coalesce("_rank", F.lit(0)).alias("_rank"),
+        F.lit(0).cast("bigint").alias("_below"),
+    ).unionByName(counted).groupBy("_s").agg(F.max(F.col("_rank")) + F.sum("_below"))
+    ranked = snapshot(ranked.toDF("_s", "_first"), "ranks")
+    met = (
+        _known_join(asked, F.broadcast(ranked)) if few
+        else lookup_join(asked, ranked, ("start", "_s"), broadcast_rows=0).drop("_s")
     )
-    first, last = placed.agg(F.min("_first"), F.max("_last")).first()
-    parts = [r[0] for r in table.parts.where(
-        (F.col("_offset") <= last) & (F.col("_offset") + F.col("_rows") > first)
-    ).select("_part").collect()]
-    beyond = table.directory.where(F.col("_rank") > last).agg(F.min("_first")).first()[0]
-    from_block = table.directory.where(F.col("_rank") <= first).agg(F.max("_first")).first()[0]
+    placed = snapshot(met.withColumn("_last", F.col("_first") + F.col("scan_len") - 1), "requests")
+    first, last, blocks = placed.agg(
+        F.min("_first"), F.max("_last"),
+        F.sum(F.floor(F.col("_last") / BLOCK) - F.floor(F.col("_first") / BLOCK) + 1),
+    ).first()
+    parts = [part for part, before, rows in table.parts if before <= last and before + rows > first]
+    from_block, beyond = table.directory.agg(
+        F.max(F.when(F.col("_rank") <= first, F.col("_first"))),
+        F.min(F.when(F.col("_rank") > last, F.col("_first"))),
+    ).first()
     stored = (
         _read(table, parts, from_block, beyond)
-        .join(F.broadcast(table.parts.select("_part", "_offset")), "_part")
+        .join(F.broadcast(table.offsets()), "_part")
         .withColumn("_rank", F.col("_offset") + F.col("_at"))
         .withColumn("_block", F.floor(F.col("_rank") / BLOCK))
         .select("_rank", "_block", F.struct(*[F.col(c) for c in table.columns]).alias("_row"))
@@ -177,7 +188,8 @@ def scan_ranges(
     spans = placed.select("req_id", "_first", "_last", F.explode(
         F.sequence(F.floor(F.col("_first") / BLOCK), F.floor(F.col("_last") / BLOCK))
     ).alias("_block"))
-    if fits_broadcast(spans, broadcast_rows):
+    # A span is as many numbers as a request, so their count is their measure.
+    if blocks <= broadcast_rows and fits_broadcast(placed, broadcast_rows):
         found = stored.join(F.broadcast(spans), "_block")
     else:
         # `stored` holds at most BLOCK rows per block.
@@ -186,6 +198,10 @@ def scan_ranges(
     return found.select("req_id", (F.col("_rank") - F.col("_first")).alias("pos"), "_row.*")
 
 
+def _known_join(asked: DataFrame, ranked: DataFrame) -> DataFrame:
+    return asked.join(ranked, F.col("start") == F.col("_s")).drop("_s")
+
+
 def _nothing(requests: DataFrame, table: SortedTable) -> DataFrame:
     named = {f.name: f for f in [*requests.schema, *table.rows.schema]}
     columns = [named["req_id"], T.StructField("pos", T.LongType()), *[named[c] for c in table.columns]]
