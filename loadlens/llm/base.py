@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from loadlens.operators.joins import lookup_join
+from loadlens.operators.joins import BROADCAST_ROWS, lookup_join
 from loadlens.session import snapshot
 
 # Rows of one key that a task compares at once; a key with more is dealt out in
@@ -149,14 +149,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if state == before or state["n"] == 0:
             break
         before = state
-        edges = snapshot(_star(_star(edges, larger=True), larger=False), "links")
+        few = 2 * state["n"] <= BROADCAST_ROWS
+        edges = snapshot(_star(_star(edges, True, few), False, few), "links")
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(
         roots.select(F.col("root").alias("node"), "root").distinct()
     ).distinct()
 
 
-def _star(edges: DataFrame, larger: bool) -> DataFrame:
+def _star(edges: DataFrame, larger: bool, few: bool) -> DataFrame:
     if larger:
         around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
@@ -164,7 +165,12 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
     least = around.groupBy("u").agg(F.min("v").alias("_m")).select(
         F.col("u").alias("_c"), F.least("u", "_m").alias("m")
     )
-    met = around.join(least, around["u"] == least["_c"])
+    if few:
+        # Two numbers per node, and there are at most two nodes to a link.
+        met = around.join(F.broadcast(least), F.col("u") == F.col("_c"))
+    else:
+        # The smallest node of a component meets most of its links.
+        met = lookup_join(around, least, ("u", "_c"), broadcast_rows=0)
     if larger:
         pairs = met.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

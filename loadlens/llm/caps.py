@@ -258,11 +258,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     )
     roots = components(met.where(F.col("b").isNotNull()))
     linked = met.where(F.col("b").isNull()).groupBy("a").agg(F.sum("linked").alias("linked"))
+    roots = snapshot(roots, "roots")
     firsts = (
         distinct.select("node", "first_id").join(roots, "node")
         .groupBy("root").agg(F.min("first_id").alias("component_id"))
     )
-    rooted = roots.join(firsts, "root").select("node", "component_id")
+    # A component may hold a third of all vectors.
+    rooted = lookup_join(roots, snapshot(firsts, "firsts"), "root").select("node", "component_id")
     facts = snapshot(
         distinct.select("print", "node", "first_id", "copies")
         .join(rooted, "node", "left")

@@ -236,8 +236,10 @@ def fp_components(marked: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         "fp", "first_id", F.coalesce("root", "fp").alias("root")
     )
     firsts = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # A component may hold a third of all fingerprints.
     return snapshot(
-        rooted.join(firsts, "root").select("fp", "root", "component_id"), "fp-components"
+        lookup_join(snapshot(rooted, "rooted"), firsts, "root").select("fp", "root", "component_id"),
+        "fp-components",
     )
 
 
@@ -248,31 +250,43 @@ def with_components(marked: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """One document of each group of near-duplicates, with all its columns.
+    """One row of each group of near-duplicates, with all its columns.
 
-    It is the one with the smallest id. Of several rows with that id one stays, and
-    of a group without any id one row.
+    It is the row with the smallest id, a null id coming last; of several such rows in
+    the group the first as they were stored. An id that repeats in other groups stays
+    there, too. An empty table gives an empty one.
     """
-    marked = snapshot(fingerprints(docs, shingle), "fingerprints")
-    found = fp_components(marked, max_bits)
-    kept = found.where(F.col("component_id").isNotNull()).select(
-        F.col("component_id").alias("doc_id")
-    ).distinct()
-    named = lookup_join(docs, kept, "doc_id", "left_semi", even=True).dropDuplicates(["doc_id"])
+    own = {"fp": "_fp", "row": "_row"}
+    for name in own:
+        while own[name] in docs.columns:
+            own[name] += "_"
     text_at = docs.columns.index("text")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [fingerprint(t, shingle) for t in batch.column(text_at).to_pylist()]
-            own = pa.array(np.array(values, dtype=np.uint64).view(np.int64))
+            marks = pa.array(np.array(values, dtype=np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, own], names=[*batch.schema.names, "_fp"]
+                [*batch.columns, marks], names=[*batch.schema.names, own["fp"]]
             )
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())])
-    unnamed = docs.where(F.col("doc_id").isNull()).mapInArrow(mark, schema)
-    groups = found.where(F.col("component_id").isNull()).select(
-        F.col("fp").alias("_fp"), F.col("root").alias("_root")
+    schema = T.StructType([*docs.schema.fields, T.StructField(own["fp"], T.LongType())])
+    stored = snapshot(
+        docs.mapInArrow(mark, schema).withColumn(own["row"], F.monotonically_increasing_id()),
+        "marked-documents",
+    )
+    slim = stored.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.col(own["fp"]).alias("fp"),
+        F.col(own["row"]).alias("row"),
+    )
+    groups = fp_components(slim, max_bits).select("fp", "root")
+    # Copies are one line each before their group is looked up.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    copies = slim.groupBy("fp").agg(first)
+    kept = lookup_join(copies, groups, "fp", even=True).groupBy("root").agg(
+        F.min("first").alias("first")
+    )
+    rows = snapshot(kept.select(F.col("first.row").alias("_kept")), "kept-rows")
+    return lookup_join(stored, rows, (own["row"], "_kept"), "left_semi", even=True).select(
+        *docs.columns
     )
-    alone = unnamed.join(groups, "_fp").dropDuplicates(["_root"]).select(*docs.columns)
-    return named.unionByName(alone)
