@@ -16,7 +16,9 @@ blocks returns at most k rows per query, and those are ranked.
 
 Vectors that are null or hold null or non-finite components take no part, nor do
 rows with a null id. Rows that repeat id and vector count once. A candidate with the
-query's own id is the query's own row. Where lengths differ, missing components count
+query's own id is the query's own row; where an id repeats with different vectors, its
+rows are candidates of their own, and as queries they share one ranking of their scores.
+An empty table gives an empty result. Where lengths differ, missing components count
 as zero. Components are clipped to 23 bits, so that scores fit a long. An empty
 vector scores zero. Extra columns are ignored.
 """
@@ -81,7 +83,7 @@ def packed(rows: DataFrame, block_rows: int) -> tuple[DataFrame, int]:
                               ("matrix", pa.binary()), ("width", pa.int32())]),
         )
 
-    by_block = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    by_block = rows.withColumn("block", F.pmod(F.xxhash64("id", "values"), F.lit(blocks)).cast("int"))
     out = by_block.groupBy("block").applyInArrow(
         run, "block INT, ids BINARY, matrix BINARY, width INT"
     )
@@ -164,7 +166,7 @@ class ImpactIndex:
             rest = int(np.minimum(unopened[~opened], level).sum())
             most = gained + rest + level * (int(opened.sum()) - reached)
             known = self._kth(weights, own_id, k, gained, known)
-            possible = most >= known
+            possible = most >= known if known is not None else np.ones(count, dtype=bool)
             if level == 0 or np.count_nonzero(possible) <= enough:
                 return np.flatnonzero(possible)
         return np.arange(count)
@@ -173,6 +175,9 @@ class ImpactIndex:
         """The k-th best exact score among the rows that lead now: none of the k best is lower."""
         lead = np.argpartition(-gained, 4 * k - 1)[:4 * k]
         lead = lead[self.ids[lead] != own_id]
+        if len(lead) < k:
+            # Too many rows share the query's id to know a bound yet.
+            return known
         exact = np.sort(self.matrix[lead] @ weights)[-k]
         return exact if known is None else max(exact, known)
 
