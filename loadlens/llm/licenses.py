@@ -7,7 +7,8 @@ over the text, locate all candidates. Each candidate's surroundings go to the re
 library, whose bounded-error matching verifies the edits and gives the span.
 
 Texts are used whole. Null and empty texts have no words and no labels. Rows are
-scanned one by one, so repeated rows and null ids stay. Extra columns are ignored.
+scanned one by one, so repeated rows and null ids stay. Extra columns are ignored. An
+empty table gives an empty result.
 """
 
 import re
@@ -33,24 +34,46 @@ PHRASES = {
 
 @dataclass(frozen=True)
 class Notice:
-    """A short notice as words with single spaces, and how many edits it may have."""
+    """A short notice as words with single spaces, in parts with the edits each may have.
+
+    A part without a space at either end is a naming word, which tells the notice from
+    others; it must stand as a whole word, a short one exactly.
+    """
 
     label: str
-    text: str
-    edits: int
+    parts: tuple[tuple[str, int], ...]
+
+    @property
+    def text(self) -> str:
+        return "".join(text for text, _ in self.parts)
+
+    @property
+    def edits(self) -> int:
+        return sum(edits for _, edits in self.parts)
+
+    @property
+    def pattern(self) -> str:
+        found = []
+        for text, edits in self.parts:
+            part = rf"(?:{regex.escape(text, literal_spaces=True)}){{e<={edits}}}"
+            names = not text.startswith(" ") and not text.endswith(" ")
+            found.append(rf"(?<![^ ]){part}(?![^ ])" if names else part)
+        return "".join(found)
 
 
 NOTICES = (
-    Notice("mit", "released under the mit license", 3),
-    Notice("mit", "permission is hereby granted free of charge to any person obtaining a copy", 6),
-    Notice("apache", "licensed under the apache license version", 4),
-    Notice("gpl", "under the gnu general public license", 4),
-    Notice("lgpl", "gnu lesser general public license", 3),
-    Notice("agpl", "gnu affero general public license", 3),
-    Notice("cc-by-nc", "licensed under cc by nc", 2),
-    Notice("cc-by", "creative commons attribution license", 3),
-    Notice("bsd", "redistribution and use in source and binary forms", 5),
-    Notice("mpl", "subject to the terms of the mozilla public license", 5),
+    Notice("mit", (("released under the ", 2), ("mit", 0), (" license", 1))),
+    Notice("mit", (("permission is hereby ", 2), ("granted", 1), (" free of ", 1), ("charge", 1),
+                   (" to any person obtaining a copy", 2))),
+    Notice("apache", (("licensed under the ", 2), ("apache", 1), (" license version", 1))),
+    Notice("gpl", (("under the ", 1), ("gnu", 0), (" ", 0), ("general", 1), (" public license", 2))),
+    Notice("lgpl", (("gnu ", 0), ("lesser", 1), (" general public license", 2))),
+    Notice("agpl", (("gnu ", 0), ("affero", 1), (" general public license", 2))),
+    Notice("cc-by-nc", (("licensed under ", 2), ("cc by nc", 0))),
+    Notice("cc-by", (("creative ", 1), ("commons", 1), (" ", 0), ("attribution", 1), (" license", 1))),
+    Notice("bsd", (("redistribution", 1), (" and use in ", 1), ("source", 1), (" and ", 1),
+                   ("binary", 1), (" forms", 1))),
+    Notice("mpl", (("subject to the terms of the ", 3), ("mozilla", 1), (" public license", 2))),
 )
 
 
@@ -69,7 +92,7 @@ class Scanner:
         # The first match from the left, its edits then made as few as can be: the best
         # match of a window would hide others before it.
         self.patterns = [
-            regex.compile(rf"(?e)(?:{regex.escape(n.text, literal_spaces=True)}){{e<={n.edits}}}")
+            regex.compile(rf"(?e){n.pattern}")
             for n in notices
         ]
         seeds: dict[str, list[tuple[int, int]]] = {}
