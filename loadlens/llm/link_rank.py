@@ -20,6 +20,7 @@ repeated rows and null page ids stay. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -30,7 +31,6 @@ from loadlens.session import snapshot
 
 ALLOW, BLOCK = "allow", "block"
 DAMPING = 0.85
-ROUNDS = 40
 SNAPSHOT_EVERY = 5
 TOLERANCE = 1e-6
 MIN_SCORE = 0.01
@@ -104,12 +104,12 @@ def judged(pages: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
 def host_links(pages: DataFrame) -> DataFrame:
     """(src, dst, links): how often pages of one host link to another host."""
     host, _ = url_parts(F.col("url"))
-    targets = F.array_distinct(F.regexp_extract_all(F.col("html"), F.lit(_HREF), F.lit(1)))
+    found = F.regexp_extract_all(F.col("html"), F.lit(_HREF), F.lit(1))
+    targets = F.array_distinct(F.transform(found, lower_ascii))
     return (
         pages.where(F.col("html").isNotNull()).select(
             host.alias("src"), F.explode(targets).alias("dst")
         )
-        .withColumn("dst", lower_ascii(F.col("dst")))
         .where((F.col("src") != "") & (F.col("src") != F.col("dst")))
         .groupBy("src", "dst").agg(F.count("*").alias("links"))
     )
@@ -131,16 +131,18 @@ def host_seeds(rows: DataFrame) -> DataFrame:
 
 
 def propagate(
-    seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS,
-    tolerance: float = TOLERANCE,
+    seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE,
 ) -> DataFrame:
     """(node, score) by personalised PageRank from (node, seed) over (src, dst, share).
 
     ``share`` is the part of a node's score that an edge carries. Scores are
     s = (1 - damping) * seed + damping * (what the edges bring), which is linear in
-    the seeds, so trust and distrust stay comparable. Each few rounds are one table
-    in the shared folder.
+    the seeds, so trust and distrust stay comparable. A round adds at most ``damping``
+    to its power times the seeds, so after as many rounds as bring that below
+    ``tolerance`` no score lacks more than that share of all seeds; it ends before if the
+    sum has settled. Each few rounds are one table in the shared folder.
     """
+    rounds = math.ceil(math.log(tolerance * (1 - damping)) / math.log(damping))
     base = seeds.select("node", "seed")
     now = base.select("node", ((1 - damping) * F.col("seed")).alias("score"))
     before = None
