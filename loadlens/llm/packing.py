@@ -212,7 +212,9 @@ def _round(items: DataFrame, groups: int, number: int, capacity: int) -> DataFra
             "members": pa.ListArray.from_arrays(pa.array(offsets), members.flatten()),
         })
 
-    dealt = items.withColumn("tie", F.xxhash64("members")).withColumn(
+    # Equal pieces differ by their place, so that they are dealt out like any others.
+    place = F.monotonically_increasing_id()
+    dealt = items.withColumn("tie", F.xxhash64("members", place)).withColumn(
         "_group", F.pmod(F.xxhash64("tie", F.lit(number)), F.lit(groups)).cast("int")
     )
     return dealt.groupBy("_group").applyInArrow(
