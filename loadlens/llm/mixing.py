@@ -259,8 +259,11 @@ def mixed(docs: DataFrame) -> DataFrame:
     """The mix: a row per draw of a document, with ``_mix_shard`` and ``_mix_order``.
 
     A draw that takes only some words has the text's first so many. ``n_chars``, if
-    there, counts the text's characters.
+    there, counts the text's characters. Other columns keep their names and values.
     """
+    names, plain = docs.columns, {"doc_id", "source", "text", "n_chars"}
+    # Names that cannot clash with those used on the way.
+    docs = docs.toDF(*[c if c in plain else f"_mix_own_{n}" for n, c in enumerate(names)])
     kept = docs.withColumns({
         "_mix_size": size_of(F.col("text")), "_mix_hash": _hash("doc_id"),
     })
@@ -311,7 +314,8 @@ def mixed(docs: DataFrame) -> DataFrame:
             .otherwise(F.col("n_chars")),
         )
     return shaped.select(
-        *docs.columns, F.col("shard").alias("_mix_shard"),
+        *[F.col(own).alias(name) for own, name in zip(docs.columns, names)],
+        F.col("shard").alias("_mix_shard"),
         _hash("shard", "_pass", "doc_id").alias("_mix_order"),
     )
 
