@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -333,3 +334,90 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark, tmp_path, label
     assert all(i % 3 for i in kept if i is not None and i < 400)
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in out.collect()} == kept
+
+
+# --- repeated ids, clashing names, hostile cases --------------------------------------
+
+
+@pytest.mark.parametrize("text", [
+    "released under the bsd license", "released under the isc license",
+    "released under the gpl license", "released under the old license",
+    "licensed under cc by sa", "licensed under cc by nd", "licensed under cc by 4.0",
+    "gnu lesser general public license here", "creative commons share alike license",
+    "subject to the terms of the eclipse public license", "licensed under the artistic license version",
+    "under the new general purpose license", "released under the bit license",
+])
+def test_other_licenses_are_not_taken_for_a_known_one(text):
+    found = {label for label, *_ in licenses.Scanner().fuzzy(licenses._GAPS.sub(" ", text))}
+    assert found <= ({"lgpl"} if "lesser" in text else set())
+
+
+def test_every_notice_is_told_from_every_other():
+    scanner = licenses.Scanner()
+    for notice in licenses.NOTICES:
+        for wrong in (notice.text, notice.text.replace("license", "licence"), notice.text.replace("e ", " ", 1)):
+            assert {label for label, *_ in scanner.fuzzy(wrong)} == {notice.label}
+
+
+def test_base_places_match_brute_force(spark):
+    rng = np.random.default_rng(12)
+    words = ["mit", "license", "apache", "general", "public", "MIT", "License", "licenses", "x", "xmit"]
+    gaps = [" ", "  ", "-", "\n", ".", " (", "\u00a0"]
+    rows = [(i, "".join(words[rng.integers(10)] + gaps[rng.integers(7)] for _ in range(rng.integers(60))))
+            for i in range(300)]
+    phrases = [(p.split(" "), label) for p, label in licenses.PHRASES.items()]
+    for r in licenses.scan(documents(spark, [(i, t, "a") for i, t in rows])).collect():
+        own = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(dict(rows)[r.doc_id]))
+        at = [(i, label) for p, label in phrases for i in range(len(own)) if own[i:i + len(p)] == p]
+        places = sorted(i for i, _ in at)
+        assert (r.n_words, r.n_base) == (len(own), len(at))
+        assert (r.first_word, r.last_word) == ((places[0], places[-1]) if places else (None, None))
+        assert r.base_labels == ",".join(sorted({label for _, label in at}))
+
+
+def lower(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+
+
+CLASHING = ("_quality", "_fp", "_row", "_take", "shard", "_block", "root", "length", "_n", "score")
+
+
+def clashing(spark, rows):
+    """Rows (doc_id, text) with columns named like those used on the way."""
+    schema = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT, " + ", ".join(
+        f"`{c}` STRING" for c in CLASHING)
+    return spark.createDataFrame(
+        [(i, t, "en", "s", len(t or "")) + tuple(f"{c}{i}" for c in CLASHING) for i, t in rows], schema)
+
+
+NEAR = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+OTHER = "completely different words stand here and nothing of it is like the rest at all"
+
+
+def test_one_of_each_group_stays_where_ids_repeat(spark):
+    df = clashing(spark, [(1, NEAR), (3, NEAR), (3, OTHER), (None, OTHER), (None, "alone " * 9)])
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [
+        (0, "alone " * 9), (1, NEAR), (3, OTHER)]
+    assert simhash.keep_one(df.limit(0)).count() == 0
+
+
+def test_stages_take_columns_of_any_name(spark):
+    rows = [(i, f"{NEAR} {i} " + " ".join(f"w{(i * 7 + n * n) % 50}" for n in range(60))) for i in range(40)]
+    df = clashing(spark, rows)
+    drawn = mixing.shuffled(mixing.mixed(df))
+    assert drawn.columns == df.columns
+    for r in drawn.collect():
+        assert all(r[c] == f"{c}{r.doc_id}" for c in CLASHING)
+    assert simhash.keep_one(df).schema == df.schema
+
+
+def test_equal_pieces_are_dealt_to_all_groups(spark, monkeypatch):
+    parts = spark.createDataFrame(
+        [(None, 0, 0, 10, 7)] * 4000, "doc_id BIGINT, piece INT, start BIGINT, length BIGINT, ids_crc32 BIGINT")
+    packed = packing.pack(snapshot(parts, "pieces"), capacity=100, group=200)
+    sizes = [r["n"] for r in packed.groupBy("sequence_id").agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 4000 and max(sizes) == 10 and len(sizes) <= 400 + 20
+    groups = packed.select((F.shiftright("sequence_id", 24) % (1 << 30)).alias("g")).distinct().count()
+    assert groups > 10

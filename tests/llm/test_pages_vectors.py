@@ -224,3 +224,39 @@ def test_extract_rows(spark):
     got = extract.extract(pages(spark, [(1, "u", "<p>é x</p>"), (1, "u", "<p>é x</p>"), (None, None, None)])).collect()
     assert sorted((str(r.page_id), r.text, r.n_chars) for r in got) == [("1", "é x", 3)] * 2 + [("None", "", 0)]
     assert extract.extract(pages(spark, [])).count() == 0
+
+
+# --- repeated ids, cycles ---------------------------------------------------------------
+
+
+def test_top_k_where_an_id_repeats_with_other_vectors(spark):
+    rng = np.random.default_rng(2)
+    rows = [(50, rng.normal(size=8).tolist()) for _ in range(40)] + [
+        (i, rng.normal(size=8).tolist()) for i in range(100, 130)]
+    df = topk.quantised(vectors(spark, rows))
+    got = topk.top_k(df, df.where("id = 50"), 5).collect()
+    whole = [(i, np.floor(np.array(v, dtype=np.float32).astype(float) * 256).astype(np.int64)) for i, v in rows]
+    wanted = sorted((-int(q @ v), i) for n, q in whole if n == 50 for i, v in whole if i != 50)[:5]
+    assert [(r["rank"], -r.score) for r in got] == [(n + 1, s) for n, (s, _) in enumerate(wanted)]
+
+
+def test_propagation_on_a_cyclic_graph_meets_brute_force(spark):
+    rng = np.random.default_rng(1)
+    count = 30
+    shares = rng.random((count, count)) * (rng.random((count, count)) < 0.15)
+    shares[np.arange(count), (np.arange(count) + 1) % count] = 1.0
+    shares /= shares.sum(axis=1, keepdims=True)
+    seed = (rng.random(count) < 0.2).astype(float)
+    edges = spark.createDataFrame(
+        [(str(a), str(b), float(shares[a, b])) for a, b in zip(*np.nonzero(shares))],
+        "src STRING, dst STRING, share DOUBLE")
+    seeds = spark.createDataFrame([(str(i), float(s)) for i, s in enumerate(seed)], "node STRING, seed DOUBLE")
+    exact = np.linalg.solve(np.eye(count) - 0.85 * shares.T, 0.15 * seed)
+    found = {r.node: r.score for r in link_rank.propagate(seeds, edges).collect()}
+    assert max(abs(found[str(i)] - exact[i]) for i in range(count)) < 1e-5
+
+
+def test_a_host_counts_once_however_a_page_spells_it(spark):
+    html = '<a href="http://BAD.com/x"></a><a href="https://bad.com/y"></a>'
+    pages = spark.createDataFrame([(1, "http://good.org/", html)], "page_id BIGINT, url STRING, html STRING")
+    assert [tuple(r) for r in link_rank.host_links(pages).collect()] == [("good.org", "bad.com", 1)]
