@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, functions as F
 
 _WRAP = 1 << 64
@@ -151,6 +153,62 @@ def scatter63_sql(ident: str, seed: int = 0) -> str:
     return f"((({scatter32_sql(ident, seed, 1)}) >> 1) * {_HALF} + {scatter32_sql(ident, seed)})"
 
 
+SKEW = 0.99
+
+
+def _octaves(count: int, skew: float) -> list[tuple[int, int, int]]:
+    """(threshold, first rank, ranks) of the ranges of ranks [2**k - 1, 2**(k + 1) - 1).
+
+    A range's share of 2**32 is that of the law rank ** -skew over it; the threshold is
+    the shares' sum so far.
+    """
+
+    def below(x: float) -> float:
+        return math.log(x) if skew == 1 else x ** (1 - skew) / (1 - skew)
+
+    ranges, first = [], 0
+    while first < count:
+        ranks = min(first + 1, count - first)
+        ranges.append((first, ranks, below(first + ranks + 0.5) - below(first + 0.5)))
+        first += ranks
+    total, upto, found = sum(w for *_, w in ranges), 0.0, []
+    for first, ranks, weight in ranges:
+        upto += weight
+        found.append((round(upto / total * _HALF), first, ranks))
+    found[-1] = (_HALF, *found[-1][1:])
+    return found
+
+
+def skewed_rank(die: Column, draw: Column, count: int, skew: float = SKEW) -> Column:
+    """A rank in [0, count), small ones the more often: P(rank) ~ (rank + 1) ** -skew.
+
+    The inverse distribution by integers alone, so that any engine draws the same: ``die``,
+    of :func:`scatter32`, picks a range of ranks that doubles in length, ``draw``, of
+    :func:`scatter63`, a rank in it. Both should be plain columns, as they are used often.
+    """
+    rank = F.lit(0)
+    for threshold, first, ranks in reversed(_octaves(count, skew)):
+        rank = F.when(die < threshold, F.lit(first) + draw % F.lit(ranks)).otherwise(rank)
+    return rank.cast("bigint")
+
+
+def skewed_rank_sql(ident: str, seed: int, draw_seed: int, count: str, most: int = 40,
+                    skew: float = SKEW) -> str:
+    """:func:`skewed_rank` as SQL text; ``count`` is an expression below 2**``most``.
+
+    A table of ranges is made from the count, with the rounding of the Python form.
+    """
+    below = (lambda x: f"ln({x})") if skew == 1 else (lambda x: f"pow({x}, {1 - skew}) / {1 - skew}")
+    return f"""(SELECT first + ({scatter63_sql(ident, seed)}) % ranks FROM (
+        SELECT first, ranks, CASE WHEN first + ranks = n THEN {_HALF} ELSE
+                   round(sum(w) OVER (ORDER BY first) / sum(w) OVER () * {_HALF}) END AS threshold
+        FROM (SELECT *, {below('first + ranks + 0.5')} - {below('first + 0.5')} AS w
+              FROM (SELECT n, (1::BIGINT << k) - 1 AS first, least(1::BIGINT << k, n - (1::BIGINT << k) + 1) AS ranks
+                    FROM (SELECT {count} AS n) c, generate_series(0, {most}) g(k)
+                    WHERE (1::BIGINT << k) - 1 < n)))
+        WHERE {scatter32_sql(ident, draw_seed)} < threshold ORDER BY first LIMIT 1)"""
+
+
 def uniform_int(ident: Column, seed: int, low: int, high: int) -> Column:
     return F.lit(low) + scatter63(ident, seed) % F.lit(high - low + 1)
 

@@ -11,7 +11,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from loadlens.functions.numbers import scatter32, scatter63, uniform_int
+from loadlens.functions.numbers import scatter32, scatter63, skewed_rank, uniform_int
 from loadlens.operators.joins import BROADCAST_ROWS, fits_broadcast, lookup_join
 from loadlens.operators.sorted_table import SortedTable, scan_ranges, sort_table
 from loadlens.session import snapshot
@@ -26,6 +26,9 @@ MIXES = {
     "f": {"read": 50, "rmw": 50},
 }
 MAX_SCAN = 100
+# How keys are drawn, and the standard mixes that do not draw them uniformly.
+CHOICES = ("uniform", "skewed", "latest")
+MIX_CHOICE = {"d": "latest"}
 
 
 def op_log(
@@ -36,8 +39,15 @@ def op_log(
     seed: int = 0,
     ident: str = "id",
     next_key: int | Column | None = None,
+    choice: str = "uniform",
+    newest: int | None = None,
 ) -> DataFrame:
-    """One operation per id (0 or more), drawn from a mix in percent; keys are uniform.
+    """One operation per id (0 or more), drawn from a mix in percent.
+
+    ``choice`` says how keys are drawn: ``uniform``; ``skewed``, where few keys scattered
+    over the range take most operations; or ``latest``, where the keys up to ``newest``
+    (by default the last one) are the more likely the newer they are. The last two need
+    ``records`` as a number.
 
     Inserts take the key ``next_key`` plus id, which must lie above every existing
     one (by default: above the drawn keys); the rest fall on the ``records`` keys
@@ -45,6 +55,8 @@ def op_log(
     amount to add.
     """
     seq = F.col(ident).cast("bigint")
+    if choice not in CHOICES or (choice != "uniform" and isinstance(records, Column)):
+        raise ValueError(f"choose keys by one of {CHOICES}, and skewed ones from a known number")
     first, count = (F.lit(x) if not isinstance(x, Column) else x for x in (first_key, records))
     if next_key is None:
         above = first + count
@@ -57,11 +69,23 @@ def op_log(
         op = F.when(die < upto, name) if op is None else op.when(die < upto, name)
     if upto != 100:
         raise ValueError("a mix must add up to 100")
-    return ids.select(seq.alias("seq"), op.alias("op")).select(
+    drawn = ids.select(
+        seq.alias("seq"), op.alias("op"), scatter63(seq, seed + 1).alias("_draw"),
+        scatter32(seq, seed + 4).alias("_die"),
+    )
+    key = first + F.col("_draw") % count
+    if choice != "uniform":
+        rank = skewed_rank(F.col("_die"), F.col("_draw"), records)
+        drawn = drawn.withColumn("_rank", rank)
+        last = newest if newest is not None else first_key + records - 1
+        key = F.lit(last) - F.col("_rank")
+    if choice == "skewed":
+        key = first + scatter63(F.col("_rank"), seed + 5) % count
+    return drawn.select(
         "seq",
         "op",
         F.when(F.col("op") == "insert", above + F.col("seq"))
-        .otherwise(first + scatter63(F.col("seq"), seed + 1) % count)
+        .otherwise(key)
         .cast("bigint")
         .alias("key"),
         (uniform_int(F.col("seq"), seed + 2, 0, 99_999) / 100).alias("val"),

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from loadlens import schemas
 from loadlens.functions import numbers
 from loadlens.functions.dates import epoch_micros
-from loadlens.functions.numbers import scatter32_sql, scatter63_sql
+from loadlens.functions.numbers import scatter32_sql, scatter63_sql, skewed_rank_sql
 from loadlens.operators import checks, keyed, logs, progress, stats
 from loadlens.operators.joins import lookup_join, null_safe_join
 from loadlens.operators.sorted_table import sort_table
@@ -1102,22 +1102,32 @@ def read_latest(spark, sf):
     return keyed.read_latest(orders, 50, "o_orderkey")
 
 
-def _op_log_sql(mix: str, seed: int, inserted: int = 0) -> str:
+def _op_log_sql(
+    mix: str, seed: int, inserted: int = 0, choice: str = "uniform", newest: str = "lo + cnt - 1"
+) -> str:
     """:func:`keyed.op_log` over the order ids and the customer keys, as SQL.
 
     ``inserted`` earlier mixes took a range of keys as long as that of the ids each.
     """
+    count = "SELECT max(c_custkey) - min(c_custkey) + 1 FROM customer"
+    pick = scatter63_sql("o_orderkey", seed + 1)
+    key = "lo + pick % cnt"
+    if choice != "uniform":
+        pick = skewed_rank_sql("o_orderkey", seed + 1, seed + 4, f"({count})")
+        key = f"({newest}) - pick"
+    if choice == "skewed":
+        key = f"lo + {scatter63_sql('pick', seed + 5)} % cnt"
     cases, upto = [], 0
     for op, share in keyed.MIXES[mix].items():
         upto += share
         cases.append(f"WHEN die < {upto} THEN '{op}'")
     return f"""
         SELECT seq, op, CASE WHEN op = 'insert' THEN lo + cnt + {inserted} * span + seq
-                             ELSE lo + pick % cnt END AS key, draw % 100000 / 100.0::DOUBLE AS val,
+                             ELSE {key} END AS key, draw % 100000 / 100.0::DOUBLE AS val,
                CASE WHEN op = 'scan' THEN 1 + reach % {keyed.MAX_SCAN} END AS scan_len
         FROM (SELECT o_orderkey AS seq, CASE {' '.join(cases)} END AS op, pick, draw, reach, lo, cnt, span
               FROM (SELECT o_orderkey, {scatter32_sql('o_orderkey', seed)} % 100 AS die,
-                           {scatter63_sql('o_orderkey', seed + 1)} AS pick,
+                           {pick} AS pick,
                            {scatter63_sql('o_orderkey', seed + 2)} AS draw,
                            {scatter63_sql('o_orderkey', seed + 3)} AS reach, lo, cnt, span
                     FROM orders, (SELECT max(o_orderkey) + 1 AS span FROM orders), (SELECT min(c_custkey) AS lo,
@@ -1147,13 +1157,32 @@ def op_mix(spark, sf):
     return keyed.op_report(log, table)
 
 
+@query(
+    "op_mix_skewed",
+    f"""WITH l AS ({_op_log_sql('f', 100, choice='skewed')}), t AS (SELECT c_custkey AS key FROM customer)
+        SELECT op, key, count(*) AS ops, CAST(max(seq) AS BIGINT) AS last FROM l GROUP BY op, key""",
+)
+def op_mix_skewed(spark, sf):
+    """How often each key is drawn where few keys take most operations."""
+    first, last = _customers(spark, sf).agg(F.min("key"), F.max("key")).first()
+    log = keyed.op_log(
+        read_table(spark, sf, "orders"), keyed.MIXES["f"], first, last - first + 1, seed=100,
+        ident="o_orderkey", choice="skewed",
+    )
+    return log.groupBy("op", "key").agg(F.count("*").alias("ops"), F.max("seq").alias("last"))
+
+
 def _mix_steps() -> tuple[str, str, str]:
     """CTEs of all mixes in turn, the name of the last table, and the reports."""
     steps, table, found = ["t AS (SELECT c_custkey AS key, c_acctbal AS val FROM customer)"], "t", []
     inserted = 0
     for number, mix in enumerate(keyed.MIXES):
         log, after = f"l_{mix}", f"t_{mix}"
-        steps.append(f"{log} AS MATERIALIZED ({_op_log_sql(mix, 10 * number, inserted)})")
+        drawn = _op_log_sql(
+            mix, 10 * number, inserted, keyed.MIX_CHOICE.get(mix, "uniform"),
+            f"SELECT max(key) FROM {table}",
+        )
+        steps.append(f"{log} AS MATERIALIZED ({drawn})")
         inserted += "insert" in keyed.MIXES[mix]
         scanned = f"""(SELECT CAST(coalesce(sum(least(scan_len, total - rank)), 0) AS BIGINT)
                        FROM (SELECT * FROM {log} WHERE op = 'scan') s ASOF JOIN
@@ -1399,6 +1428,42 @@ def _accounts(spark: SparkSession, sf: str) -> DataFrame:
 _ACCOUNT_DDL = "c_custkey BIGINT, c_nationkey INT, c_acctbal DOUBLE"
 
 
+_BROKEN = """CASE WHEN c_custkey % 97 = 0 THEN 'a value of another type'
+                       WHEN c_custkey % 89 = 0 THEN '2 of 3 fields'
+                       WHEN c_custkey % 83 = 0 THEN '4 of 3 fields' END"""
+
+
+@query(
+    "bulk_load",
+    f"""WITH l AS (SELECT *, {_BROKEN} AS reason FROM customer)
+        SELECT 'loaded' AS kind, CAST(c_nationkey AS VARCHAR) AS what, count(*) AS n,
+               round(sum(c_acctbal), 2) AS total FROM l WHERE reason IS NULL GROUP BY ALL
+        UNION ALL SELECT 'rejected', reason, count(*), NULL FROM l WHERE reason IS NOT NULL GROUP BY ALL""",
+)
+def bulk_load(spark, sf):
+    """Text with broken lines, loaded as a whole; the rows and what was kept apart."""
+    folder, target = scratch_path(spark, "text"), scratch_path(spark, "loaded")
+    parts = {"key": "c_custkey", "nation": "c_nationkey", "total": "c_acctbal"}
+    text = {n: F.col(c).cast("string") for n, c in parts.items()}
+    key = F.col("c_custkey")
+    line = F.concat_ws("|", *text.values(), F.lit(""))
+    broken = (
+        F.when(key % 97 == 0, F.concat_ws("|", text["key"], F.lit("none"), text["total"], F.lit("")))
+        .when(key % 89 == 0, F.concat_ws("|", text["key"], text["nation"], F.lit("")))
+        .when(key % 83 == 0, F.concat(line, F.lit("more|")))
+        .otherwise(line)
+    )
+    _accounts(spark, sf).select(broken.alias("value")).write.text(f"{folder}/account.tbl")
+    delimited.bulk_load(spark, folder, target, {"account": _ACCOUNT_DDL}, most_rejected=None)
+    loaded = delimited.loaded_table(spark, target, "account", _ACCOUNT_DDL).groupBy(
+        F.lit("loaded").alias("kind"), F.col("c_nationkey").cast("string").alias("what")
+    ).agg(F.count("*").alias("n"), F.sum("c_acctbal").alias("total"))
+    rejected = delimited.rejected_lines(spark, target, "account").groupBy(
+        F.lit("rejected").alias("kind"), F.col("reason").alias("what")
+    ).agg(F.count("*").alias("n"), F.lit(None).cast("double").alias("total"))
+    return rounded(loaded, 2, "total").unionByName(rejected)
+
+
 @query(
     "external_scan",
     f"""SELECT true AS listed, CAST(c_nationkey AS INTEGER) AS {_BALANCES}""",

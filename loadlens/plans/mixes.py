@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from loadlens.operators.keyed import (
+    MIX_CHOICE,
     MIXES,
     apply_rmw,
     apply_writes,
@@ -57,7 +58,8 @@ def run_mixes(
 
     Every log and snapshot is written to shared storage before the next mix reads it, so
     plans stay short and a lost executor costs one step at most. Keys drawn are
-    those of the table as loaded; every mix inserts above the keys of those before it.
+    those of the table as loaded, in a mix that reads the latest ones those up to the
+    newest key there is; every mix inserts above the keys of those before it.
     """
     spark = table.sparkSession
     folder = scratch_path(spark, "mixes")
@@ -69,9 +71,11 @@ def run_mixes(
     next_key = last + 1
     reports = []
     for number, name in enumerate(mixes):
+        choice = MIX_CHOICE.get(name, "uniform")
+        newest = current.agg(F.max("key")).first()[0] if choice == "latest" else None
         drawn = op_log(
             ids, MIXES[name], first, last - first + 1,
-            seed=10 * number, ident=ident, next_key=next_key,
+            seed=10 * number, ident=ident, next_key=next_key, choice=choice, newest=newest,
         )
         log = load_table(drawn, f"{folder}/log_{name}")
         reports.append(_report(name, log, current))

@@ -120,18 +120,19 @@ def late_shipments(
 ) -> DataFrame:
     """Shipments per delay class, warehouse, ship mode and call centre.
 
-    Sales are counted up by their dimension keys before the names are looked up.
+    Sales are counted up by day and dimension keys before the month is looked up, so that
+    equal sales of one day are one row, and by dimension keys before the names are.
     """
     shipped = date_dim.where(
         F.col("d_month_seq").between(month_seq, month_seq + months - 1)
     ).select("d_date_sk")
     places = ["cs_warehouse_sk", "cs_ship_mode_sk", "cs_call_center_sk"]
-    used = sales.select("cs_sold_date_sk", "cs_ship_date_sk", *places)
     delay = F.col("cs_ship_date_sk") - F.col("cs_sold_date_sk")
+    by_day = sales.groupBy("cs_ship_date_sk", *places).agg(*delay_counts(delay))
     by_key = (
-        lookup_join(used, shipped, ("cs_ship_date_sk", "d_date_sk"))
+        lookup_join(by_day, shipped, ("cs_ship_date_sk", "d_date_sk"))
         .groupBy(*places)
-        .agg(*delay_counts(delay))
+        .agg(*delay_totals())
     )
     named = by_key
     for keys, dim in (

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
@@ -59,6 +61,114 @@ def drop_tables(spark: SparkSession, names: Iterable[str]) -> None:
         spark.sql(f"DROP TABLE IF EXISTS `{name}`")
 
 
+def bulk_load(
+    spark: SparkSession,
+    folder: str,
+    target: str,
+    tables: dict[str, str],
+    suffix: str = ".tbl",
+    required: Iterable[str] | None = None,
+    most_rejected: int | None = 0,
+) -> DataFrame:
+    """Load text tables as typed Parquet, all of them or none; returns the new manifest.
+
+    All ``required`` files (by default every table's) must be there before a line is
+    read; a table that need not be there may be missing. Lines are parsed once. Malformed
+    ones are kept apart with their file and the reason. Only when every table has at most
+    ``most_rejected`` of them (None: any number) is the load published, by one committed
+    file: until then :func:`loaded_table` reads what was loaded before.
+    """
+    paths = {name: f"{folder.rstrip('/')}/{name}{suffix}" for name in tables}
+    present = {name for name, path in paths.items() if _has_files(spark, path)}
+    missing = sorted(set(tables if required is None else required) - present)
+    if missing:
+        raise FileNotFoundError(f"missing tables: {', '.join(missing)}")
+    number = 1 + (_manifests(spark, target).agg(F.max("load")).first()[0] or 0)
+    lines = []
+    for name in sorted(present):
+        staged = f"{target.rstrip('/')}/loads/{number}-{uuid.uuid4().hex}/{name}"
+        _parsed(spark, paths[name], tables[name]).write.partitionBy("_ok").parquet(staged)
+        known = spark.read.schema("_ok BOOLEAN").parquet(staged)
+        counts = dict(known.groupBy("_ok").agg(F.count("*")).collect())
+        good, bad = counts.get(True, 0), counts.get(False, 0)
+        if most_rejected is not None and bad > most_rejected:
+            raise ValueError(f"{name}: {bad} malformed lines of {good + bad}, kept in {staged}")
+        lines.append((number, name, staged, good, bad))
+    spark.createDataFrame(lines, _MANIFEST).coalesce(1).write.mode("append").parquet(
+        f"{target.rstrip('/')}/manifest"
+    )
+    return _manifests(spark, target).where(F.col("load") == number)
+
+
+_MANIFEST = "load BIGINT, name STRING, path STRING, loaded BIGINT, rejected BIGINT"
+_BAD = "_malformed"
+
+
+def _has_files(spark: SparkSession, path: str) -> bool:
+    """Whether a path or pattern names anything, asked of Spark's own reader."""
+    try:
+        spark.read.format("binaryFile").load(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
+
+
+def _manifests(spark: SparkSession, target: str) -> DataFrame:
+    path = f"{target.rstrip('/')}/manifest"
+    if not _has_files(spark, path):
+        return spark.createDataFrame([], _MANIFEST)
+    return spark.read.schema(_MANIFEST).parquet(path)
+
+
+def _parsed(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """Every line: its values, or the line itself with file and reason; ``_ok`` tells which."""
+    fields = schemas.schema(ddl).fields
+    declared = T.StructType(
+        [*fields, T.StructField(_TAIL, T.StringType()), T.StructField(_BAD, T.StringType())]
+    )
+    rows = (
+        spark.read.schema(declared).option("sep", "|").option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", _BAD)
+        # Without the line's end too few or too many fields would pass.
+        .option("columnPruning", "false").csv(path)
+    )
+    found = F.size(F.split(_BAD, r"\|")) - 1
+    reason = F.when(
+        found != len(fields),
+        F.concat(found.cast("string"), F.lit(f" of {len(fields)} fields")),
+    ).otherwise("a value of another type")
+    bad = F.col(_BAD).isNotNull()
+    return rows.select(
+        *[f.name for f in fields], _BAD,
+        F.when(bad, F.col("_metadata.file_name")).alias("_file"),
+        F.when(bad, reason).alias("_reason"), (~bad).alias("_ok"),
+    )
+
+
+def _newest(spark: SparkSession, target: str, name: str) -> str:
+    row = _manifests(spark, target).where(F.col("name") == name).orderBy(F.desc("load")).first()
+    if row is None:
+        raise FileNotFoundError(f"{name} was never loaded to {target}")
+    return row["path"]
+
+
+def loaded_table(spark: SparkSession, target: str, name: str, ddl: str) -> DataFrame:
+    """The rows of a table as of the newest load that was published."""
+    declared = T.StructType([*schemas.schema(ddl).fields, T.StructField("_ok", T.BooleanType())])
+    return spark.read.schema(declared).parquet(_newest(spark, target, name)).where("_ok").drop("_ok")
+
+
+def rejected_lines(spark: SparkSession, target: str, name: str) -> DataFrame:
+    """(file, reason, line) of the malformed lines of that load."""
+    declared = f"{_BAD} STRING, _file STRING, _reason STRING, _ok BOOLEAN"
+    rows = spark.read.schema(declared).parquet(_newest(spark, target, name)).where("NOT _ok")
+    return rows.select(
+        F.col("_file").alias("file"), F.col("_reason").alias("reason"), F.col(_BAD).alias("line")
+    )
+
+
 def load_tables(
     spark: SparkSession, folder: str, target: str, tables: dict[str, str], suffix: str = ".tbl"
 ) -> list[str]:

@@ -164,6 +164,24 @@ def test_keys_beyond_32_bits_are_drawn(spark):
     assert abs(upper / 20000 - 0.5) < 0.02
 
 
+def test_skewed_and_latest_keys_are_drawn_as_often_as_stated(spark):
+    count, draws = 1000, 60_000
+    weights = [(r + 1) ** -0.99 for r in range(count)]
+    latest = Counter(r.key for r in keyed.op_log(
+        spark.range(draws), {"read": 100}, 1, count, choice="latest", newest=5000).collect())
+    assert max(latest) == 5000 and min(latest) > 4000
+    for low, high in ((0, 1), (1, 3), (3, 15), (15, 127), (127, 511), (511, 1000)):
+        share = sum(weights[low:high]) / sum(weights)
+        assert abs(sum(latest[5000 - r] for r in range(low, high)) / draws - share) < 0.03
+    skewed = Counter(r.key for r in keyed.op_log(
+        spark.range(draws), {"read": 100}, 1, count, choice="skewed").collect())
+    assert all(1 <= k <= count for k in skewed)
+    (hot, most), (_, second) = skewed.most_common(2)
+    assert hot != 1 and most / draws > 0.09 and second < most
+    with pytest.raises(ValueError):
+        keyed.op_log(spark.range(3), {"read": 100}, 1, 10, choice="newest")
+
+
 def test_running_all_mixes(spark):
     table = spark.createDataFrame([(k, float(k)) for k in range(1, 101)], "key bigint, val double")
     report, last = mixes.run_mixes(table, generated.sequence_ids(spark, 1000))

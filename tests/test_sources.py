@@ -128,3 +128,33 @@ def test_rejected_samples_are_reported(spark, tmp_path):
     found = logs.rejected_samples(spark, str(tmp_path)).orderBy("pos").collect()
     number = "not an unsigned 64-bit number"
     assert [r.reason for r in found] == ["not a number", number, number, number]
+
+
+def test_bulk_load_is_all_or_none_and_keeps_broken_lines(spark, tmp_path):
+    ddl, target = {"a": "k INT, v DOUBLE", "b": "k INT"}, str(tmp_path / "out")
+    (tmp_path / "a.tbl").write_text("1|2.5|\n2|x|\n3|\n4|1|2|\n5||\n")
+    with pytest.raises(FileNotFoundError, match="b"):
+        delimited.bulk_load(spark, str(tmp_path), target, ddl)
+    (tmp_path / "b.tbl").write_text("7|\n")
+    with pytest.raises(ValueError, match="3 malformed lines of 5"):
+        delimited.bulk_load(spark, str(tmp_path), target, ddl)
+    with pytest.raises(FileNotFoundError):
+        delimited.loaded_table(spark, target, "b", ddl["b"])
+    found = delimited.bulk_load(spark, str(tmp_path), target, ddl, most_rejected=3).collect()
+    assert {(r.name, r.loaded, r.rejected) for r in found} == {("a", 2, 3), ("b", 1, 0)}
+    assert sorted(map(tuple, delimited.loaded_table(spark, target, "a", ddl["a"]).collect())) == [
+        (1, 2.5), (5, None)]
+    assert sorted(map(tuple, delimited.rejected_lines(spark, target, "a").collect())) == [
+        ("a.tbl", "1 of 2 fields", "3|"), ("a.tbl", "3 of 2 fields", "4|1|2|"),
+        ("a.tbl", "a value of another type", "2|x|")]
+    # A later load that fails leaves the one before in place; one that is whole replaces it.
+    (tmp_path / "b.tbl").write_text("8|\n9|y|z|\n")
+    with pytest.raises(ValueError):
+        delimited.bulk_load(spark, str(tmp_path), target, {"b": "k INT"})
+    assert delimited.loaded_table(spark, target, "b", "k INT").collect()[0].k == 7
+    (tmp_path / "b.tbl").write_text("8|\n9|\n")
+    delimited.bulk_load(spark, str(tmp_path), target, {"b": "k INT", "c": "k INT"}, required=["b"])
+    assert sorted(r.k for r in delimited.loaded_table(spark, target, "b", "k INT").collect()) == [8, 9]
+    (tmp_path / "b.tbl").write_text("")
+    delimited.bulk_load(spark, str(tmp_path), target, {"b": "k INT"})
+    assert delimited.loaded_table(spark, target, "b", "k INT").count() == 0
