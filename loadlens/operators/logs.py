@@ -28,6 +28,8 @@ class LogKind:
     metrics: dict[str, str] = field(default_factory=dict)
     latency: str | None = None
     headline: str = ""
+    # Shown beside the headline where setups are compared.
+    beside: str = ""
 
     @property
     def row_type(self) -> T.StructType:
@@ -67,6 +69,7 @@ KINDS = {
         },
         latency="wake_latency_ns",
         headline="lat_p50_ns",
+        beside="lat_p99_ns",
     ),
     "smp_barrier": LogKind(
         "smp_barrier",
@@ -93,6 +96,7 @@ KINDS = {
         },
         latency="round_trip_ns",
         headline="lat_p50_ns",
+        beside="lat_p99_ns",
     ),
     "simple_compute": LogKind(
         "simple_compute",

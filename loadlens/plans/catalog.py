@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loadlens import schemas
-from loadlens.functions import numbers
+from loadlens.functions import numbers, text
 from loadlens.functions.dates import epoch_micros
 from loadlens.functions.numbers import scatter32_sql, scatter63_sql, skewed_rank_sql
 from loadlens.operators import checks, keyed, logs, progress, stats
@@ -20,8 +20,8 @@ from loadlens.operators.sorted_table import sort_table
 from loadlens.plans import mixes, pipelines, reports
 from loadlens.plans.log_reports import analyze, setup_report
 from loadlens.session import scratch_path, snapshot
-from loadlens.sources import delimited, generated, logs as log_files, sinks
-from loadlens.sources.tables import DRIVER_TABLES, list_tables, read_table
+from loadlens.sources import delimited, generated, logs as log_files, progress as results, sinks
+from loadlens.sources.tables import DRIVER_TABLES, list_tables, present, read_table, register
 from loadlens.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -658,6 +658,17 @@ def log_lines_numbered(spark, sf):
     return found.skipped.select(_bucket(), "line", "reason")
 
 
+@query(
+    "log_files",
+    f"""SELECT event_id // {_NUMBERED_LINES} AS bucket, count(*) AS lines, 'whole' AS verdict
+        FROM events GROUP BY ALL""",
+)
+def log_files_query(spark, sf):
+    """The verdict on each of these files, with the lines that were read of it."""
+    found = analyze(spark, _numbered_folder(spark, sf), "timer_jitter", False, "part-*")
+    return found.files.select(_bucket(), "lines", "verdict")
+
+
 @query("stream_log_lines", ORACLE["log_lines_numbered"])
 def stream_log_lines(spark, sf):
     """The same files as a stream, two in a micro-batch."""
@@ -1343,6 +1354,75 @@ def log_unreadable(spark, sf):
     return skipped.groupBy("file", "reason").agg(F.count("*").alias("lines"))
 
 
+def _kind_summary(spark: SparkSession, sf: str, kind: str, line: str, values: dict[str, str],
+                  shown: dict[str, str]) -> DataFrame:
+    """Lines of a kind made from the events, parsed and summarised."""
+    text_of = F.format_string(line, *[F.expr(e).cast("string") for e in values.values()])
+    lines = read_table(spark, sf, "events").select(
+        F.concat("event_type", F.lit(".log")).alias("file"), F.explode(F.array(text_of)).alias("value")
+    )
+    rows = logs.result_rows(logs.classify(lines, logs.KINDS[kind]))
+    summary = logs.summarize_metrics(rows, logs.KINDS[kind])
+    kept = summary.where(F.col("metric").isin(*shown))
+    return rounded(kept, 6, *_SUMMARY_ROUNDED, "min", "max")
+
+
+_ROUNDED_SUMMARY = f"""s AS (SELECT file, metric, {_SUMMARY.format(v='v')} FROM vals GROUP BY file, metric)
+        SELECT * REPLACE (round(min, 6) AS min, round(max, 6) AS max) FROM s"""
+_BARRIER_SQL = {
+    "rps": "value", "cpu_first": "user_id % 4", "cpu_last": "7",
+    "elapsed_signed_ms": "CASE WHEN event_id % 10 = 0 THEN -event_id - 1 ELSE event_id * 1000 END / 1e6::DOUBLE",
+    "wait_mean_ns": "value / 2", "wait_p50_ns": "event_id % 100", "wait_p90_ns": "200",
+    "wait_p99_ns": "300", "wait_max_ns": "event_id", "tail_zero": "event_id % 3",
+    "tail_gt_10ms": "event_id % 5", "tail_gt_100ms": "NULL",
+}
+
+
+@query(
+    "log_barrier",
+    f"WITH vals AS ({_metric_rows_sql(_BARRIER_SQL)}), {_ROUNDED_SUMMARY}",
+)
+def log_barrier(spark, sf):
+    line = (
+        '{"bench": "smp_barrier", "cpu_first": %s, "cpu_last": 7, "elapsed_ns": %s, '
+        '"rounds_per_sec": %s, "t0_wait_ns": {"mean": %s, "p50": %s, "p90": 200, "p99": 300, "max": %s}, '
+        '"tail_counts": {"zero": %s, "gt_10ms": %s}}'
+    )
+    values = {
+        "cpu": "user_id % 4",
+        "elapsed": """if(event_id % 10 = 0, CAST(18446744073709551615 - event_id AS DECIMAL(20,0)),
+                         CAST(event_id * 1000 AS DECIMAL(20,0)))""",
+        "rps": "value", "mean": "value / 2", "p50": "event_id % 100", "max": "event_id",
+        "zero": "event_id % 3", "gt": "event_id % 5",
+    }
+    return _kind_summary(spark, sf, "smp_barrier", line, values, _BARRIER_SQL)
+
+
+_PINGPONG_SQL = {
+    "lat_mean_ns": "value", "lat_p50_ns": "event_id % 50 + 0.5", "lat_p90_ns": "90",
+    "lat_p99_ns": "event_id % 1000", "lat_min_ns": "1", "lat_max_ns": "event_id",
+    "iters": "512", "tail_zero": "0", "tail_gt_10ms": "event_id % 3", "tail_gt_100ms": "event_id % 2",
+    "tail_gt_1s": "NULL",
+}
+
+
+@query(
+    "log_pingpong",
+    f"WITH vals AS ({_metric_rows_sql(_PINGPONG_SQL)}), {_ROUNDED_SUMMARY}",
+)
+def log_pingpong(spark, sf):
+    line = (
+        '{"bench": "smp_pingpong", "cpu_a": 3, "cpu_b": 9, "iters": 512, "mode": "futex", '
+        '"round_trip_ns": {"mean": %s, "p50": %s.5, "p90": 90, "p99": %s, "min": 1, "max": %s}, '
+        '"tail_counts": {"zero": 0, "gt_10ms": %s, "gt_100ms": %s}}'
+    )
+    values = {
+        "mean": "value", "p50": "event_id % 50", "p99": "event_id % 1000", "max": "event_id",
+        "ten": "event_id % 3", "hundred": "event_id % 2",
+    }
+    return _kind_summary(spark, sf, "smp_pingpong", line, values, _PINGPONG_SQL)
+
+
 _COMPUTE = logs.KINDS["simple_compute"]
 
 
@@ -1464,6 +1544,123 @@ def bulk_load(spark, sf):
     return rounded(loaded, 2, "total").unionByName(rejected)
 
 
+@query(
+    "web_sales_scan",
+    """SELECT CAST(l_partkey AS INTEGER) AS ws_item_sk, CAST(l_orderkey AS INTEGER) AS ws_order_number,
+              n_name AS w_warehouse_name
+       FROM lineitem JOIN nation ON l_suppkey % 30 = n_nationkey
+       WHERE l_linenumber % 5 <> 0 ORDER BY ws_item_sk, ws_order_number, w_warehouse_name LIMIT 100""",
+)
+def web_sales_scan(spark, sf):
+    """Sales and warehouses as text under their declared schemas, joined."""
+    folder = scratch_path(spark, "web")
+    sold = F.when(F.col("l_linenumber") % 5 != 0, F.col("l_orderkey"))
+    values = {
+        "web_sales": ("lineitem", {
+            "ws_sold_date_sk": sold, "ws_item_sk": F.col("l_partkey"),
+            "ws_order_number": F.col("l_orderkey"), "ws_warehouse_sk": F.col("l_suppkey") % 30,
+        }),
+        "warehouse": ("nation", {
+            "w_warehouse_sk": F.col("n_nationkey"), "w_warehouse_name": F.col("n_name"),
+        }),
+    }
+    read = {}
+    for name, (source, known) in values.items():
+        ddl = schemas.TPCDS[name]
+        columns = [
+            known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.schema(ddl)
+        ]
+        delimited.write_delimited(read_table(spark, sf, source).select(*columns), f"{folder}/{name}")
+        read[name] = delimited.read_delimited(spark, f"{folder}/{name}", ddl)
+    return reports.fact_lookup(
+        read["web_sales"], read["warehouse"], ("ws_warehouse_sk", "w_warehouse_sk"),
+        ["ws_item_sk", "ws_order_number", "w_warehouse_name"], "ws_sold_date_sk",
+    )
+
+
+@query(
+    "view_sql",
+    "SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer GROUP BY ALL",
+)
+def view_sql(spark, sf):
+    """A table registered as a view, asked in SQL."""
+    name = f"accounts_{uuid.uuid4().hex}"
+    register({name: read_table(spark, sf, "customer")})
+    totals = spark.sql(
+        f"SELECT c_mktsegment, count(*) AS n, sum(c_acctbal) AS total FROM `{name}` GROUP BY c_mktsegment"
+    )
+    return rounded(totals, 2, "total")
+
+
+_REQUIRED = (*DRIVER_TABLES, "partsupp", "line")
+
+
+@query(
+    "required_tables",
+    "SELECT * FROM (VALUES " + ", ".join(
+        f"('{name}', {str(name in DRIVER_TABLES).lower()})" for name in _REQUIRED
+    ) + ") v(table_name, present)",
+)
+def required_tables(spark, sf):
+    return present(spark, sf, _REQUIRED)
+
+
+@query("discard_rows", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def discard_rows(spark, sf):
+    """All rows run into the sink that keeps nothing; their counts come from the same plan."""
+    rows = pipelines.identity(read_table(spark, sf, "events"))
+    sinks.discard(rows)
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query(
+    "preview_rows",
+    "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25",
+)
+def preview_rows(spark, sf):
+    """What a user would see first, never more than asked for."""
+    orders = read_table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    rows = sinks.preview(orders.orderBy(F.desc("o_totalprice"), "o_orderkey"), 25)
+    return spark.createDataFrame(rows, orders.schema)
+
+
+_PHASES = ("clean.nosync", "clean.sync", "perturbed.nosync", "perturbed.sync")
+
+
+@query(
+    "result_files",
+    f"""WITH r AS (SELECT user_id % 4 AS n, event_type, event_id FROM events)
+        SELECT replace(phase, '.', '_') AS phase,
+               CASE WHEN phase LIKE '%.sync' THEN 'sync' ELSE 'disabled' END AS mode,
+               phase LIKE 'perturbed%' AS perturbed, '2026-06-0' || (n + 1) || ' 03:25:48' AS started,
+               count(DISTINCT event_type) AS entities, count(*) AS samples,
+               CAST(sum(event_id) AS BIGINT) AS ticks
+        FROM r JOIN (VALUES {', '.join(f"({n}, '{p}')" for n, p in enumerate(_PHASES))}) p(n, phase) USING (n)
+        GROUP BY ALL""",
+)
+def result_files(spark, sf):
+    """Result documents, one per run and entity, in folders named by phase and time."""
+    folder = scratch_path(spark, "results")
+    sample = F.struct(epoch_micros(F.col("ts")).alias("mono_ns"), F.col("event_id").alias("ticks"))
+    docs = read_table(spark, sf, "events").groupBy(
+        (F.col("user_id") % 4).alias("run"), "event_type"
+    ).agg(F.sort_array(F.collect_list(sample)).alias("samples"))
+    docs = snapshot(docs, "documents")
+    for n, phase in enumerate(_PHASES):
+        one = docs.where(F.col("run") == n).select("samples")
+        one.write.option("maxRecordsPerFile", 1).json(f"{folder}/{phase}_2026-06-0{n + 1}_03-25-48")
+    samples = results.read_samples(spark, folder, "part-*")
+    phase = F.col("phase")
+    return samples.groupBy(
+        text.phase_label(phase).alias("phase"), text.is_synced(phase).alias("mode"),
+        text.is_perturbed(phase).alias("perturbed"),
+        F.date_format("started", "yyyy-MM-dd HH:mm:ss").alias("started"),
+    ).agg(
+        F.count_distinct("entity").alias("entities"), F.count("*").alias("samples"),
+        F.sum("ticks").alias("ticks"),
+    )
+
+
 @query(
     "external_scan",
     f"""SELECT true AS listed, CAST(c_nationkey AS INTEGER) AS {_BALANCES}""",

@@ -39,15 +39,33 @@ class LogAnalysis:
         return snapshot(found, "summary")
 
     def report(self, preferred: Sequence[str] = SETUP_ORDER) -> DataFrame:
-        return setup_report(self.summary, self.kind, preferred)
+        """One line per setup; with wrapped times of a barrier, mode and CPUs of a ping-pong."""
+        found = setup_report(self.summary, self.kind, preferred)
+        more = None
+        if self.kind.name == "smp_barrier":
+            counts = logs.wrapped_counts(self.rows, "elapsed_ns")
+            more = counts.select("file", F.col("wrapped_count").alias("wrapped"))
+        if self.kind.name == "smp_pingpong":
+            more = pair_labels(self.rows)
+        if more is None:
+            return found
+        # One line per setup on both sides.
+        met = lookup_join(found, more, ("setup", "file"), "left", even=True).drop("file")
+        return met.orderBy(logs.setup_rank(F.col("setup"), preferred), "setup")
 
     def comparison(self, preferred: Sequence[str] = SETUP_ORDER) -> DataFrame:
         """Readable setups relative to the base; NULL where a median is missing."""
         head = self.summary.where(F.col("metric") == self.kind.headline)
         read = lookup_join(head, self.errors, "file", "left_anti", even=True)
-        return logs.compare_setups(
+        compared = logs.compare_setups(
             read.withColumnRenamed("median", "value"), "file", "value", preferred
         )
+        if not self.kind.beside:
+            return compared
+        beside = self.summary.where(F.col("metric") == self.kind.beside).select(
+            F.col("file").alias("_file"), F.col("median").alias(self.kind.beside)
+        )
+        return lookup_join(compared, beside, ("file", "_file"), "left", even=True).drop("_file")
 
     def warnings(self) -> DataFrame:
         """What a reader should know before trusting a setup's figures."""

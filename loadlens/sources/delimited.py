@@ -5,11 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from loadlens import schemas
+from loadlens.sources.tables import has_files
 
 _TAIL = "_line_end"
 
@@ -79,7 +79,7 @@ def bulk_load(
     file: until then :func:`loaded_table` reads what was loaded before.
     """
     paths = {name: f"{folder.rstrip('/')}/{name}{suffix}" for name in tables}
-    present = {name for name, path in paths.items() if _has_files(spark, path)}
+    present = {name for name, path in paths.items() if has_files(spark, path)}
     missing = sorted(set(tables if required is None else required) - present)
     if missing:
         raise FileNotFoundError(f"missing tables: {', '.join(missing)}")
@@ -104,20 +104,9 @@ _MANIFEST = "load BIGINT, name STRING, path STRING, loaded BIGINT, rejected BIGI
 _BAD = "_malformed"
 
 
-def _has_files(spark: SparkSession, path: str) -> bool:
-    """Whether a path or pattern names anything, asked of Spark's own reader."""
-    try:
-        spark.read.format("binaryFile").load(path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return False
-        raise
-    return True
-
-
 def _manifests(spark: SparkSession, target: str) -> DataFrame:
     path = f"{target.rstrip('/')}/manifest"
-    if not _has_files(spark, path):
+    if not has_files(spark, path):
         return spark.createDataFrame([], _MANIFEST)
     return spark.read.schema(_MANIFEST).parquet(path)
 
@@ -173,12 +162,9 @@ def load_tables(
     spark: SparkSession, folder: str, target: str, tables: dict[str, str], suffix: str = ".tbl"
 ) -> list[str]:
     """Turn the text files at hand into typed Parquet tables; names what it loaded."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     loaded = []
     for name, ddl in tables.items():
-        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}{suffix}")
-        if not path.getFileSystem(conf).exists(path):
+        if not has_files(spark, f"{folder}/{name}{suffix}"):
             continue
         rows = read_delimited(spark, f"{folder}/{name}{suffix}", ddl)
         rows.write.mode("overwrite").parquet(f"{target}/{name}.parquet")

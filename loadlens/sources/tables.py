@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 DRIVER_TABLES = (
@@ -26,22 +27,22 @@ def list_tables(spark: SparkSession) -> list[str]:
     return sorted(t.name for t in spark.catalog.listTables())
 
 
+def has_files(spark: SparkSession, path: str | list[str]) -> bool:
+    """Whether paths or patterns name anything; asked of Spark's own listing, nothing is read."""
+    try:
+        spark.read.format("binaryFile").load(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
+
+
 def present(spark: SparkSession, folder: str, names: Iterable[str]) -> DataFrame:
-    """Each required name with whether the folder holds files for it.
-
-    Asks the file system once per name, so that nothing is listed or read.
-    """
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(folder)
-    system = root.getFileSystem(conf)
-    rows = [
-        (name, any(
-            system.globStatus(jvm.org.apache.hadoop.fs.Path(root, pattern)) or []
-            for pattern in (name, f"{name}.*")
-        ))
-        for name in names
-    ]
+    """Each required name with whether the folder holds files for it."""
+    root = folder.rstrip("/")
+    # As braces, so that the one or the other is enough.
+    rows = [(name, has_files(spark, f"{root}/{{{name},{name}.*}}")) for name in names]
     return spark.createDataFrame(rows, "table_name STRING, present BOOLEAN").orderBy("table_name")
 
 
