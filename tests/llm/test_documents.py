@@ -421,3 +421,28 @@ def test_equal_pieces_are_dealt_to_all_groups(spark, monkeypatch):
     assert sum(sizes) == 4000 and max(sizes) == 10 and len(sizes) <= 400 + 20
     groups = packed.select((F.shiftright("sequence_id", 24) % (1 << 30)).alias("g")).distinct().count()
     assert groups > 10
+
+
+def test_the_pipeline_takes_empty_tables_and_clashing_names(spark, tmp_path):
+    empty = tmp_path / "empty"
+    clashing(spark, []).write.parquet(str(empty / "documents.parquet"))
+    spark.createDataFrame([], "doc_id BIGINT, quality INT, toxic INT").write.parquet(
+        str(empty / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
+    rows = [(i, f"{NEAR} {i} " + " ".join(f"w{(i * 7 + n * n) % 50}" for n in range(60))) for i in range(40)]
+    clashing(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id BIGINT, quality INT, toxic INT").write.parquet(
+        str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).columns == [
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def test_very_long_texts_are_scored_and_scanned_whole(spark):
+    long = " ".join(f"word{n % 977}" for n in range(200_000))
+    rows = [(i, long if i == 1 else f"short {i} text", "a") for i in range(12)]
+    df = documents(spark, [*rows, (12, long + " mit license", "a")])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id BIGINT, quality INT")
+    scored = {r.doc_id: r.score for r in quality.classify(df, labels).collect()}
+    assert len(scored) == 13 and all(0 <= s <= 1 for s in scored.values())
+    scanned = {r.doc_id: r for r in licenses.scan(df).collect()}
+    assert (scanned[12].n_words, scanned[12].first_word, scanned[12].labels) == (200_002, 200_000, "mit")
