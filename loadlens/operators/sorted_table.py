@@ -12,7 +12,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
-from loadlens.operators.joins import BROADCAST_ROWS, fits_broadcast, lookup_join
+from loadlens.operators.joins import BROADCAST_BYTES, BROADCAST_ROWS, lookup_join
 from loadlens.operators.ranks import MAX_SLICES, slice_bounds, with_slice
 from loadlens.session import scratch_path, snapshot
 
@@ -141,8 +141,8 @@ def scan_ranges(
         _home_blocks(asked.select("start").distinct(), table, slices), "starts"
     )
     # The set is one of part numbers.
-    homes, lowest, least, top = starts.agg(
-        F.collect_set("_part"), F.min("_begin"), F.min("start"), F.max("start")
+    homes, lowest, least, top, count = starts.agg(
+        F.collect_set("_part"), F.min("_begin"), F.min("start"), F.max("start"), F.count("*")
     ).first()
     if least is None:
         return _nothing(requests, table)
@@ -152,7 +152,8 @@ def scan_ranges(
     home = starts.where("_part IS NOT NULL").select(
         F.col("start").alias("_s"), "_rank", F.concat_ws(":", "_part", "_block").alias("_home")
     )
-    few = fits_broadcast(starts, broadcast_rows)
+    # Few numbers a start.
+    few = count <= broadcast_rows
     if few:
         inside = held.join(F.broadcast(home), F.col("_place") == F.col("_home"))
     else:
@@ -168,10 +169,11 @@ def scan_ranges(
         _known_join(asked, F.broadcast(ranked)) if few
         else lookup_join(asked, ranked, ("start", "_s"), broadcast_rows=0).drop("_s")
     )
-    placed = snapshot(met.withColumn("_last", F.col("_first") + F.col("scan_len") - 1), "requests")
-    first, last, blocks = placed.agg(
-        F.min("_first"), F.max("_last"),
-        F.sum(F.floor(F.col("_last") / BLOCK) - F.floor(F.col("_first") / BLOCK) + 1),
+    placed = met.withColumn("_last", F.col("_first") + F.col("scan_len") - 1)
+    blocks = F.floor(F.col("_last") / BLOCK) - F.floor(F.col("_first") / BLOCK) + 1
+    width = F.octet_length(F.coalesce(F.col("req_id").cast("string"), F.lit(""))) + 32
+    first, last, lines, size = placed.agg(
+        F.min("_first"), F.max("_last"), F.sum(blocks), F.sum(blocks * width)
     ).first()
     parts = [part for part, before, rows in table.parts if before <= last and before + rows > first]
     from_block, beyond = table.directory.agg(
@@ -188,8 +190,7 @@ def scan_ranges(
     spans = placed.select("req_id", "_first", "_last", F.explode(
         F.sequence(F.floor(F.col("_first") / BLOCK), F.floor(F.col("_last") / BLOCK))
     ).alias("_block"))
-    # A span is as many numbers as a request, so their count is their measure.
-    if blocks <= broadcast_rows and fits_broadcast(placed, broadcast_rows):
+    if lines <= broadcast_rows and size <= BROADCAST_BYTES:
         found = stored.join(F.broadcast(spans), "_block")
     else:
         # `stored` holds at most BLOCK rows per block.
