@@ -1592,17 +1592,17 @@ def view_sql(spark, sf):
     return rounded(totals, 2, "total")
 
 
-_REQUIRED = (*DRIVER_TABLES, "partsupp", "line")
+_ASKED_TABLES = (*DRIVER_TABLES, "partsupp", "line")
 
 
 @query(
     "required_tables",
     "SELECT * FROM (VALUES " + ", ".join(
-        f"('{name}', {str(name in DRIVER_TABLES).lower()})" for name in _REQUIRED
+        f"('{name}', {str(name in DRIVER_TABLES).lower()})" for name in _ASKED_TABLES
     ) + ") v(table_name, present)",
 )
 def required_tables(spark, sf):
-    return present(spark, sf, _REQUIRED)
+    return present(spark, sf, _ASKED_TABLES)
 
 
 @query("discard_rows", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
