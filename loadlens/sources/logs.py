@@ -143,7 +143,10 @@ def broken_file(error: Exception) -> str | None:
     damage = any(
         frame.startswith(_CODECS) and kind not in _NO_DAMAGE for kind, frame in causes
     )
-    return _plain(named[1]) if named and damage else None
+    # Compiled code throws these without a trace once they are frequent; while a file is
+    # read only a decoder walks arrays by what it finds there.
+    bare = re.search(r"Caused by: java\.lang\.ArrayIndexOutOfBoundsException[^\n]*(?:\n(?!\s*at )|$)", text)
+    return _plain(named[1]) if named and (damage or bare) else None
 
 
 def _without(lines: DataFrame, paths: list[str]) -> DataFrame:
