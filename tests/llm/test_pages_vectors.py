@@ -215,6 +215,47 @@ def test_ratio_decides_without_markup():
     assert text == "\n".join(["A long paragraph of the main text. " * 5 + "A long paragraph of the main text."] * 5)
 
 
+PROSE = "A long paragraph of the main text. " * 6
+
+
+def test_ratio_decides_within_an_article():
+    links = "".join(f"<li><a href=/{n}>A linked title of another page {n}</a></li>" for n in range(8))
+    html = f"<article><h1><a href=/>T</a></h1><p>{PROSE}</p><p>To.</p><ul>{links}</ul><p>{PROSE}</p></article>"
+    lines = extract.main_text(html).split("\n")
+    assert lines[0] == "T" and "To." in lines and lines.count(PROSE.strip()) == 2
+    assert not any("another page" in line for line in lines)
+    buttons = f"<article><p>{PROSE}</p><div class=share><a href=/t>Post</a> <a href=/m>Mail</a></div></article>"
+    assert extract.main_text(buttons) == PROSE.strip()
+
+
+def test_smoothing_carries_a_linked_line_between_paragraphs():
+    html = f"<article><p>{PROSE}</p><p><a href=/s>The linked source</a></p><p>{PROSE}</p></article>"
+    parser = extract.LineParser()
+    parser.feed(html)
+    parser.close()
+    assert extract.content_lines(parser.lines) == [0, 1, 2]
+    assert extract.content_lines(parser.lines, sigma=0) == [0, 2]
+
+
+def test_an_article_loses_none_of_its_short_lines():
+    rng = np.random.default_rng(11)
+    for _ in range(60):
+        lines = ["w" * int(n) for n in rng.choice([1, 2, 3, 9, 400, 5000], 30)]
+        body = "".join(f"<{tag}>{line}</{tag}>" for tag, line in zip(rng.choice(["p", "h2", "blockquote"], 30), lines))
+        html = f"<nav><a href=/>Home</a></nav><article>{body}</article><footer>{PROSE}</footer>"
+        assert extract.main_text(html) == "\n".join(lines)
+
+
+@pytest.mark.parametrize("name, kept", [
+    ("content no-sidebar", True), ("post-header", True), ("share price", True), ("padding", True),
+    ("commentary", True), ("has-ads", True), ("", True), ("sidebar", False), ("left-sidebar", False),
+    ("comment-list", False), ("cookie_notice", False), ("box ad", False)])
+def test_class_names_are_compared_word_by_word(name, kept):
+    inner = f"<p>{PROSE}</p><div class='{name}'><p>Kept or not, as its class says it, at some length.</p></div><p>{PROSE}</p>"
+    text = extract.main_text(f"<article>{inner}</article>")
+    assert ("Kept or not" in text) == kept and text.count(PROSE.strip()) == 2
+
+
 @pytest.mark.parametrize("html", [None, "", "<br><p></p>", "<script>only</script>", "<", "&amp", "<p"])
 def test_pages_without_text(html):
     assert extract.main_text(html) in ("", "&", "<", "<p")
