@@ -96,6 +96,31 @@ def test_cap_recall_at_the_limit():
     assert np.mean([bool(a & b) for a, b in zip(*sets)]) > 0.95
 
 
+@pytest.mark.parametrize("rows", [300, 1 << 14, 1 << 36])
+@pytest.mark.parametrize("dim", [2, 3, 4, 8, 16, 32, 96, 384, 1024])
+def test_cap_recall_in_any_dimension(dim, rows):
+    rng = np.random.default_rng(dim)
+    x = caps._unit(rng.normal(size=(400, dim)))
+    y = rng.normal(size=x.shape)
+    y = caps._unit(y - (y * x).sum(axis=1, keepdims=True) * x)
+    y = 0.9 * x + np.sqrt(1 - 0.81) * y
+    sets = []
+    for side in (x, y):
+        row, key = caps.filters_of(side, rows)
+        assert len(row) <= 1.2 * caps.MOST_FILTERS * len(side)
+        sets.append(set(zip(row.tolist(), key.tolist())))
+    assert len({row for row, _ in sets[0] & sets[1]}) >= 0.95 * len(x)
+
+
+def test_cap_areas():
+    rng = np.random.default_rng(8)
+    for dim, limit in ((2, 0.7), (3, 0.5), (16, 0.3), (64, 0.2)):
+        f = caps._unit(rng.normal(size=(200_000, dim)))
+        one, both = caps.cap_shares(dim, limit, 0.9)
+        x, y = f[:, 0] >= limit, 0.9 * f[:, 0] + np.sqrt(0.19) * f[:, 1] >= limit
+        assert abs(x.mean() - one) < 0.005 and abs((x & y).mean() - both) < 0.005
+
+
 def test_caps_of_nothing(spark):
     assert caps.near_duplicates(vectors(spark, [])).count() == 0
 
