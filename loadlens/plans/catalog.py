@@ -1640,16 +1640,7 @@ _PHASES = ("clean.nosync", "clean.sync", "perturbed.nosync", "perturbed.sync")
 )
 def result_files(spark, sf):
     """Result documents, one per run and entity, in folders named by phase and time."""
-    folder = scratch_path(spark, "results")
-    sample = F.struct(epoch_micros(F.col("ts")).alias("mono_ns"), F.col("event_id").alias("ticks"))
-    docs = read_table(spark, sf, "events").groupBy(
-        (F.col("user_id") % 4).alias("run"), "event_type"
-    ).agg(F.sort_array(F.collect_list(sample)).alias("samples"))
-    docs = snapshot(docs, "documents")
-    for n, phase in enumerate(_PHASES):
-        one = docs.where(F.col("run") == n).select("samples")
-        one.write.option("maxRecordsPerFile", 1).json(f"{folder}/{phase}_2026-06-0{n + 1}_03-25-48")
-    samples = results.read_samples(spark, folder, "part-*")
+    samples = results.read_samples(spark, _result_folder(spark, sf), "part-*")
     phase = F.col("phase")
     return samples.groupBy(
         text.phase_label(phase).alias("phase"), text.is_synced(phase).alias("mode"),
@@ -1661,6 +1652,39 @@ def result_files(spark, sf):
     )
 
 
+def _result_folder(spark, sf):
+    folder = scratch_path(spark, "results")
+    sample = F.struct(epoch_micros(F.col("ts")).alias("mono_ns"), F.col("event_id").alias("ticks"))
+    docs = read_table(spark, sf, "events").groupBy(
+        (F.col("user_id") % 4).alias("run"), "event_type"
+    ).agg(
+        F.min(sample["mono_ns"]).alias("mono_start"),
+        F.sort_array(F.collect_list(sample)).alias("samples"),
+        F.max(sample["mono_ns"]).alias("mono_end"),
+    )
+    docs = snapshot(docs, "documents")
+    for n, phase in enumerate(_PHASES):
+        one = docs.where(F.col("run") == n).drop("run", "event_type")
+        one.write.option("maxRecordsPerFile", 1).json(f"{folder}/{phase}_2026-06-0{n + 1}_03-25-48")
+    return folder
+
+
+@query(
+    "result_documents",
+    f"""SELECT replace(p.phase, '.', '_') AS phase, epoch_us(min(ts)) AS mono_start,
+               epoch_us(max(ts)) AS mono_end, count(*) AS samples, true AS closed
+        FROM (SELECT *, user_id % 4 AS n FROM events) e
+        JOIN (VALUES {', '.join(f"({n}, '{p}')" for n, p in enumerate(_PHASES))}) p(n, phase) USING (n)
+        GROUP BY p.phase, event_type""",
+)
+def result_documents(spark, sf):
+    """Time brackets and completeness of each result document."""
+    found = results.read_documents(spark, _result_folder(spark, sf), "part-*")
+    return found.select(
+        text.phase_label(F.col("phase")).alias("phase"), "mono_start", "mono_end", "samples", "closed"
+    )
+
+
 @query(
     "external_scan",
     f"""SELECT true AS listed, CAST(c_nationkey AS INTEGER) AS {_BALANCES}""",

@@ -45,11 +45,18 @@ def write_delimited(df: DataFrame, path: str) -> None:
 def declare_external(spark: SparkSession, name: str, ddl: str, location: str) -> None:
     """Declare a table over delimited text that stays where it is.
 
-    A malformed row fails the query that reads it, as in :func:`read_delimited`.
+    A malformed row fails the query that reads it, as in :func:`read_delimited`. An
+    earlier declaration of the name is replaced; the text of an external table stays. A
+    view or a table that owns its rows is not replaced.
     """
     columns = f"{schemas.column_ddl(ddl)}, {_TAIL} STRING"
+    if spark.catalog.tableExists(name):
+        kind = spark.catalog.getTable(name).tableType
+        if kind != "EXTERNAL":
+            raise ValueError(f"{name} is there and is no external table: {kind}")
+        spark.sql(f"DROP TABLE `{name}`")
     spark.sql(
-        f"CREATE TABLE IF NOT EXISTS `{name}` ({columns}) USING csv "
+        f"CREATE TABLE `{name}` ({columns}) USING csv "
         f"OPTIONS (sep '|', mode 'FAILFAST') LOCATION '{location}'"
     )
 

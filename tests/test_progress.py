@@ -151,3 +151,35 @@ def test_result_files_rates_and_phases(spark, tmp_path):
     ).first()
     assert wide.ratio == pytest.approx(50 / 95)
     assert not math.isnan(wide.clean_nosync)
+
+
+def test_a_long_document_is_read_by_several_tasks(spark, tmp_path):
+    run = tmp_path / "clean_sync_2026-06-09_03-25-48"
+    run.mkdir()
+    samples = [{"mono_ns": 10 * n, "ticks": n} for n in range(20_000)]
+    document = {"metadata": {"label": 'a}{"mono_ns": 7}'}, "mono_start": -1, "samples": samples, "mono_end": 9}
+    (run / "cpu_a.json").write_text(json.dumps(document))
+    (run / "cpu_b.json").write_text(json.dumps({"samples": [], "mono_start": 3}))
+    (run / "cpu_c.json").write_text('{"samples": [{"ticks": 5, "mono_ns": 6}, {"mono_ns": 8, "ti')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        rows = source.read_samples(spark, str(tmp_path))
+        assert rows.where("entity = 'cpu_a'").groupBy(F.spark_partition_id()).count().count() > 4
+        found = rows.where("entity = 'cpu_a'").orderBy("t").collect()
+        documents = {r.entity: r for r in source.read_documents(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(r.t, r.ticks) for r in found] == [(s["mono_ns"], s["ticks"]) for s in samples]
+    assert found[0].run == run.name
+    assert [documents[n].closed for n in ("cpu_a", "cpu_b", "cpu_c")] == [True, True, False]
+    a, b = documents["cpu_a"], documents["cpu_b"]
+    assert (a.mono_start, a.mono_end, a.samples) == (-1, 9, 20_000)
+    assert (b.mono_start, b.mono_end, b.samples) == (3, None, 0)
+    assert rows.where("entity = 'cpu_c' and t = 6").first().ticks == 5
+
+
+def test_an_object_nested_in_a_sample_fails_the_read(spark, tmp_path):
+    (tmp_path / "cpu_a.json").write_text('{"samples": [{"mono_ns": 1, "ticks": 2, "more": {"x": 1}}]}')
+    with pytest.raises(Exception, match="nested object"):
+        source.read_samples(spark, str(tmp_path)).collect()

@@ -158,3 +158,18 @@ def test_bulk_load_is_all_or_none_and_keeps_broken_lines(spark, tmp_path):
     (tmp_path / "b.tbl").write_text("")
     delimited.bulk_load(spark, str(tmp_path), target, {"b": "k INT"})
     assert delimited.loaded_table(spark, target, "b", "k INT").count() == 0
+
+
+def test_a_new_declaration_replaces_an_external_one(spark, tmp_path):
+    for n, text in enumerate(("1|a|\n", "2|b|c|\n")):
+        (tmp_path / str(n)).mkdir()
+        (tmp_path / str(n) / "x.dat").write_text(text)
+    delimited.declare_external(spark, "declared", "k INT, v STRING", str(tmp_path / "0"))
+    delimited.declare_external(spark, "declared", "k INT, v STRING, w STRING", str(tmp_path / "1"))
+    assert [tuple(r) for r in spark.table("declared").collect()] == [(2, "b", "c")]
+    delimited.drop_tables(spark, ["declared"])
+    assert (tmp_path / "0" / "x.dat").exists()
+    spark.range(3).createOrReplaceTempView("declared")
+    with pytest.raises(ValueError, match="no external table"):
+        delimited.declare_external(spark, "declared", "k INT", str(tmp_path / "0"))
+    delimited.drop_tables(spark, ["declared"])
