@@ -3,14 +3,18 @@
 ``write_archives`` writes each record of a table into ``.warc.gz`` files that are one
 gzip stream from end to end, as many tools do. ``normalise`` inflates each such
 stream once, from its first byte to its last, rewrites every record as a gzip member
-of its own and returns the sidecar index: file, record number, offset and length of
-each member. ``read_records`` fetches members by the index.
+of its own and writes the sidecar index: file, record number, offset and length of
+each member. The index lies beside the members, in the folder's ``index``, so the
+folder alone can be read: ``archive_index`` opens it and ``read_records`` fetches
+members by it. A folder that has an index is not written to again.
 
 Spark's own reader inflates the streams, line by line, so a task holds one record and
 not a file, whatever the size of the archive. A record ends where its content length
 says; a stream that breaks off or does not parse fails the job with the file's name.
 Normalised files go to the folder that is given, which all executors must reach, by
-way of pyarrow's file systems. A task writes to names of its own, so one that is run
+way of pyarrow's file systems; Hadoop's names of S3 (``s3a``, ``s3n``) are translated,
+and a scheme that pyarrow cannot open fails on the driver before any task starts. Only
+``.gz`` files are read as archives. A task writes to names of its own, so one that is run
 again never meets half a file; files that the index does not name can be deleted.
 
 Null html is an empty payload. A null url is written as an empty target. Of equal
@@ -152,6 +156,22 @@ def parse_record(whole: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[:int(fields["content-length"])]
 
 
+INDEX_FOLDER = "index"
+
+
+def member_uri(folder: str) -> str:
+    """The folder as pyarrow names it; fails if pyarrow cannot open it."""
+    from pyarrow import fs
+
+    scheme, mark, rest = folder.partition("://")
+    if mark and scheme in ("s3a", "s3n"):
+        folder = f"s3://{rest}"
+    elif not mark and not folder.startswith("file:"):
+        folder = f"file://{folder}"
+    fs.FileSystem.from_uri(folder)
+    return folder
+
+
 class MemberWriter:
     """A normalised archive in the making: each record is a gzip member."""
 
@@ -180,8 +200,9 @@ INDEX = (
 
 def normalise(spark: SparkSession, archives: str, folder: str) -> DataFrame:
     """Rewrite all archives of a folder; the index of what was written, stored beside it."""
-    uri = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
-    lines = spark.read.option("lineSep", "\n").text(archives).select(
+    uri = member_uri(folder)
+    streams = spark.read.option("lineSep", "\n").option("pathGlobFilter", "*.gz").text(archives)
+    lines = streams.select(
         F.col("_metadata.file_path").alias("source"), F.col("value").cast("binary").alias("line")
     )
 
@@ -222,7 +243,8 @@ def normalise(spark: SparkSession, archives: str, folder: str) -> DataFrame:
                 )
         close()
 
-    return snapshot(lines.mapInArrow(run, INDEX), "warc-index")
+    lines.mapInArrow(run, INDEX).write.parquet(f"{folder.rstrip('/')}/{INDEX_FOLDER}")
+    return archive_index(spark, folder)
 
 
 # --- reading back ---------------------------------------------------------------------
@@ -238,12 +260,17 @@ def _page(value: str | None) -> int | None:
     return int(value.rpartition(":")[2].rstrip(">")) if value else None
 
 
+def archive_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The sidecar index of a folder of normalised archives."""
+    return spark.read.schema(INDEX).parquet(f"{folder.rstrip('/')}/{INDEX_FOLDER}")
+
+
 def read_records(index: DataFrame, folder: str) -> DataFrame:
     """One row per index row, from its member alone; a response's payload is hashed anew.
 
     A revisit holds no payload; its size and digest are those of its header.
     """
-    uri = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    uri = member_uri(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs

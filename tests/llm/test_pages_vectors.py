@@ -206,6 +206,28 @@ def test_index_points_at_members(spark):
             assert gzip.decompress(f.read(r.length)).startswith(b"WARC/1.1\r\n")
 
 
+def test_a_folder_of_members_is_read_without_more(spark):
+    folder, members = scratch_path(spark, "w"), scratch_path(spark, "m")
+    warc.write_archives(warc.records(pages(spark, [(i, "u", "text %d" % i) for i in range(30)])), folder, 7)
+    with open(f"{folder}/other.warc", "w") as f:
+        f.write("WARC/1.1\r\nnot an archive of gzip")
+    warc.normalise(spark, folder, members)
+    index = warc.archive_index(spark, members)
+    found = warc.read_records(index, members).collect()
+    assert sorted(r.page_id for r in found) == list(range(30))
+    # An archive is not written over.
+    with pytest.raises(Exception, match="(?i)already exists"):
+        warc.normalise(spark, folder, members)
+    assert warc.read_records(warc.archive_index(spark, members), members).count() == 30
+
+
+def test_folders_are_named_as_the_file_system_wants():
+    assert warc.member_uri("/data/x") == "file:///data/x"
+    assert warc.member_uri("file:///data/x") == "file:///data/x"
+    with pytest.raises(Exception):
+        warc.member_uri("unknown://data/x")
+
+
 def test_broken_stream_fails(spark, tmp_path):
     with gzip.open(tmp_path / "cut.warc.gz", "wb") as f:
         f.write(b"WARC/1.1\r\nContent-Length: 50\r\n\r\nabc\r\n")
