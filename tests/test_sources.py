@@ -12,7 +12,7 @@ from loadlens.sources import delimited, sinks, tables
 MODE = "1|AAAA|EXPRESS||UPS||\n2|BBBB|REGULAR|SEA|DHL|x|\n"
 
 
-def test_declared_columns_are_complete():
+def test_declared_columns_are_complete(spark):
     counts = {t: len(schemas.columns(d)) for t, d in schemas.TPCDS.items()}
     assert counts == {"catalog_sales": 34, "warehouse": 14, "ship_mode": 6, "call_center": 31,
                       "date_dim": 28, "web_sales": 34}
@@ -166,7 +166,7 @@ def test_a_new_declaration_replaces_an_external_one(spark, tmp_path):
         (tmp_path / str(n) / "x.dat").write_text(text)
     delimited.declare_external(spark, "declared", "k INT, v STRING", str(tmp_path / "0"))
     delimited.declare_external(spark, "declared", "k INT, v STRING, w STRING", str(tmp_path / "1"))
-    assert [tuple(r) for r in spark.table("declared").collect()] == [(2, "b", "c")]
+    assert [tuple(r) for r in spark.sql("SELECT k, v, w FROM declared").collect()] == [(2, "b", "c")]
     delimited.drop_tables(spark, ["declared"])
     assert (tmp_path / "0" / "x.dat").exists()
     spark.range(3).createOrReplaceTempView("declared")
