@@ -18,6 +18,8 @@ from loadlens.sources.logs import with_ids, with_line_numbers
 
 # Micro-batches whose changes are merged into one snapshot.
 COMPACT_EVERY = 16
+# Micro-batches whose skipped lines are numbered together.
+NUMBER_EVERY = 64
 
 
 def read_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -82,51 +84,60 @@ def tumbling_sum(
     return _latest(sums, ["window_start", key], folder)
 
 
-def ingest_logs(lines: DataFrame, kind: LogKind, folder: str) -> tuple[DataFrame, DataFrame]:
+def ingest_logs(
+    lines: DataFrame, kind: LogKind, folder: str, every: int = NUMBER_EVERY
+) -> tuple[DataFrame, DataFrame]:
     """Parse lines as they come; returns the tables of result rows and skipped lines.
 
-    A file belongs to one micro-batch as a whole, so a batch numbers its skipped lines as
-    a scan of these files does: ``line`` is the line's number in its file. Without the
-    columns of :func:`read_log_stream` that tell a line's place it is NULL.
+    A file belongs to one micro-batch as a whole, so the skipped lines of any batches can be
+    numbered together as a scan of these files does: ``line`` is the line's number in its
+    file. Without the columns of :func:`read_log_stream` that tell a line's place it is NULL.
+
+    A micro-batch is one job, which parses its lines and stores them. Lines are numbered by
+    epochs of ``every`` batches, which are published as in :func:`_latest`; those of the
+    open epoch are numbered when they are read.
     """
     numbered = {"path", "_start", "_length"} <= set(lines.columns)
-
-    def classed(rows: DataFrame) -> DataFrame:
-        return classify(with_ids(rows) if numbered else rows, kind, blank=True)
-
-    def split(stored: DataFrame) -> DataFrame:
-        told = stored.where("reason IS NULL OR reason <> 'blank'")
-        good, bad = (told.where(f"reason IS {null} NULL") for null in ("", "NOT"))
+    spark = lines.sparkSession
+    classed = classify(lines, kind, blank=True)
+    plain = classed.drop("_start", "_length")
+    ids = [T.StructField("_id", T.LongType())] if numbered else []
+    parsed = T.StructType([*classed.schema.fields, *ids])
+    told = T.StructType([*plain.schema.fields, T.StructField("line", T.LongType())])
+
+    def skipped(session: SparkSession, epoch: int) -> DataFrame:
+        stored = session.read.schema(parsed).parquet(f"{folder}/classed/epoch={epoch}")
+        bad = stored.where("reason <> 'blank'")
         none = F.lit(None).cast("bigint")
         bad = with_line_numbers(bad, stored) if numbered else bad.withColumn("line", none)
-        good = good.drop("_start", "_length", "_id").withColumn("line", none)
-        return good.unionByName(bad)
+        return bad.select(*told.names)
+
+    def open_epoch(session: SparkSession, epoch: int) -> None:
+        session.createDataFrame([], parsed).write.mode("ignore").parquet(
+            f"{folder}/classed/epoch={epoch}/batch=-1"
+        )
 
     def write(batch: DataFrame, number: int) -> None:
-        # Each line is parsed once; the second pass is over what was stored.
-        path = f"{folder}/classed/batch={number}"
-        parsed = classed(batch)
-        parsed.write.mode("overwrite").parquet(path)
-        stored = batch.sparkSession.read.schema(parsed.schema).parquet(path)
-        split(stored).withColumn("_ok", F.col("reason").isNull()).write.mode(
-            "overwrite"
-        ).partitionBy("_ok").parquet(f"{folder}/lines/batch={number}")
-
-    plain = classify(lines, kind, blank=True).drop("_start", "_length")
-    schema = T.StructType([*plain.schema.fields, T.StructField("line", T.LongType())])
-    spark = lines.sparkSession
-    spark.createDataFrame([], schema).write.mode("ignore").parquet(
-        f"{folder}/lines/batch=-1/_ok=true"
-    )
-    _run(lines, "append", folder, write)
-    schema.add("_ok", T.BooleanType())
-    stored = (
-        spark.read.schema(schema).option("basePath", f"{folder}/lines").parquet(f"{folder}/lines")
-    )
-    return (
-        result_rows(stored.where("_ok").drop("_ok", "line")),
-        skipped_lines(stored.where("NOT _ok").drop("_ok")),
-    )
+        # Parsing gives one row a line, so ids given after it grow along each split too.
+        session, epoch = batch.sparkSession, number // every
+        stored = with_ids(batch) if numbered else batch
+        stored.write.mode("overwrite").parquet(f"{folder}/classed/epoch={epoch}/batch={number}")
+        if number % every == every - 1 and _published(session, folder) < epoch:
+            skipped(session, epoch).write.mode("overwrite").parquet(
+                f"{folder}/skipped/epoch={epoch}"
+            )
+            open_epoch(session, epoch + 1)
+            _publish(session, folder, epoch)
+
+    spark.createDataFrame([], told).write.mode("ignore").parquet(f"{folder}/skipped/epoch=-1")
+    open_epoch(spark, 0)
+    _publish(spark, folder, -1, "ignore")
+    _run(classed, "append", folder, write)
+    stored = spark.read.schema(parsed).parquet(f"{folder}/classed").select(*plain.columns)
+    newest = _published(spark, folder)
+    closed = spark.read.schema(told).parquet(f"{folder}/skipped").where(F.col("epoch") <= newest)
+    bad = closed.select(*told.names).unionByName(skipped(spark, newest + 1))
+    return result_rows(stored), skipped_lines(bad)
 
 
 def _start_empty(rows: DataFrame, path: str) -> None:
@@ -134,6 +145,18 @@ def _start_empty(rows: DataFrame, path: str) -> None:
     rows.sparkSession.createDataFrame([], rows.schema).write.mode("ignore").parquet(path)
 
 
+def _published(spark: SparkSession, folder: str) -> int:
+    """The newest epoch that is published, -1 before the first."""
+    versions = spark.read.schema("epoch BIGINT").parquet(f"{folder}/published")
+    return versions.agg(F.max("epoch")).first()[0]
+
+
+def _publish(spark: SparkSession, folder: str, epoch: int, mode: str = "append") -> None:
+    spark.createDataFrame([(epoch,)], "epoch BIGINT").coalesce(1).write.mode(mode).parquet(
+        f"{folder}/published"
+    )
+
+
 def _run(rows: DataFrame, mode: str, folder: str, write) -> None:
     query = (
         rows.writeStream.outputMode(mode)
@@ -160,10 +183,6 @@ def _latest(
     schema = T.StructType([*updates.schema.fields, T.StructField("batch", T.LongType())])
     values = [c for c in updates.columns if c not in keys]
 
-    def published(session: SparkSession) -> int:
-        versions = session.read.schema("epoch BIGINT").parquet(f"{folder}/published")
-        return versions.agg(F.max("epoch")).first()[0]
-
     def merged(session: SparkSession, epoch: int) -> DataFrame:
         """Everything up to the changes of the epoch after a published one."""
         read = session.read.schema(schema)
@@ -175,11 +194,6 @@ def _latest(
         )
         return newest.select(*keys, "_v.*", "batch").select(*schema.names)
 
-    def publish(session: SparkSession, epoch: int) -> None:
-        session.createDataFrame([(epoch,)], "epoch BIGINT").coalesce(1).write.mode(
-            "append"
-        ).parquet(f"{folder}/published")
-
     def open_epoch(session: SparkSession, epoch: int) -> None:
         session.createDataFrame([], updates.schema).write.mode("overwrite").parquet(
             f"{folder}/changes/epoch={epoch}/batch=-1"
@@ -188,17 +202,15 @@ def _latest(
     def write(batch: DataFrame, number: int) -> None:
         session, epoch = batch.sparkSession, number // every
         batch.write.mode("overwrite").parquet(f"{folder}/changes/epoch={epoch}/batch={number}")
-        if number % every == every - 1 and published(session) < epoch:
+        if number % every == every - 1 and _published(session, folder) < epoch:
             merged(session, epoch - 1).write.mode("overwrite").parquet(
                 f"{folder}/snapshots/epoch={epoch}"
             )
             open_epoch(session, epoch + 1)
-            publish(session, epoch)
+            _publish(session, folder, epoch)
 
     spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{folder}/snapshots/epoch=-1")
     _start_empty(updates, f"{folder}/changes/epoch=0/batch=-1")
-    spark.createDataFrame([(-1,)], "epoch BIGINT").coalesce(1).write.mode("ignore").parquet(
-        f"{folder}/published"
-    )
+    _publish(spark, folder, -1, "ignore")
     _run(updates, "update", folder, write)
-    return merged(spark, published(spark)).drop("batch")
+    return merged(spark, _published(spark, folder)).drop("batch")

@@ -154,3 +154,57 @@ def test_streamed_line_numbers_are_those_of_a_scan(spark, tmp_path):
     told = lambda df: sorted((r.file, r.line, r.reason) for r in df.collect())
     assert told(skipped) == told(scan.skipped) and skipped.count() > 10
     assert rows.count() == scan.rows.count()
+
+
+def test_lines_numbered_by_epochs_are_those_of_a_scan(spark, tmp_path):
+    feed, folder = tmp_path / "logs", tmp_path / "ingest"
+    feed.mkdir()
+    good = json.dumps(TIMER)
+
+    def add(*numbers):
+        for n in numbers:
+            text = "".join(("noise", good, "", "{")[(i + n) % 4] + "\n" for i in range(2 * n + 3))
+            (feed / f"{n}.log").write_text(text)
+
+    def run(folder=folder):
+        lines = jobs.read_log_stream(spark, str(feed), files_per_batch=1)
+        rows, skipped = jobs.ingest_logs(lines, KINDS["timer_jitter"], str(folder), every=2)
+        scan = log_reports.analyze(spark, str(feed), "timer_jitter")
+        told = sorted((r.file, r.line, r.reason) for r in skipped.collect())
+        assert told == sorted((r.file, r.line, r.reason) for r in scan.skipped.collect())
+        assert rows.count() == scan.rows.count()
+        return skipped, told
+
+    add(0, 1, 2, 3)
+    before, told = run()
+    # A fault after the second epoch was published repeats its last batch, one before also its numbers.
+    again = tmp_path / "again"
+    shutil.copytree(folder, again, ignore=lambda at, names: {
+        n for n in names if n in ("3", ".3.crc")} if at.endswith("/commits") else set())
+    spark.createDataFrame([(-1,), (0,)], "epoch BIGINT").coalesce(1).write.mode("overwrite").parquet(
+        f"{again}/published")
+    run(again)
+    add(4, 5, 6)
+    run()
+    # What an earlier run returned still stands.
+    assert told == sorted((r.file, r.line, r.reason) for r in before.collect())
+    assert sorted(r.epoch for r in spark.read.parquet(f"{folder}/published").collect()) == [-1, 0, 1, 2]
+
+
+def test_a_micro_batch_of_lines_is_one_job(spark, tmp_path):
+    feed = tmp_path / "logs"
+    feed.mkdir()
+    files = 12
+    for n in range(files):
+        (feed / f"{n}.log").write_text(json.dumps(TIMER) + "\nnoise\n")
+
+    def jobs_so_far():
+        spark.range(1).collect()
+        return max(spark.sparkContext.statusTracker().getJobIdsForGroup())
+
+    before = jobs_so_far()
+    lines = jobs.read_log_stream(spark, str(feed), files_per_batch=1)
+    _, skipped = jobs.ingest_logs(lines, KINDS["timer_jitter"], scratch_path(spark, "ingest"))
+    # All else is done once for the whole run.
+    assert jobs_so_far() - before < files + 20
+    assert [r.line for r in skipped.collect()] == [2] * files
