@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loadlens.functions.dates import until_days_before, within_month_seq, within_months
-from loadlens.operators.joins import BROADCAST_ROWS, lookup_join
+from loadlens.operators.joins import BROADCAST_ROWS, fits_broadcast, lookup_join
 
 MONEY = "decimal(15,2)"
 
@@ -117,23 +117,30 @@ def late_shipments(
     month_seq: int = 1200,
     months: int = 12,
     rows: int = 100,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Shipments per delay class, warehouse, ship mode and call centre.
 
-    Sales are counted up by day and dimension keys before the month is looked up, so that
-    equal sales of one day are one row, and by dimension keys before the names are.
+    Sales are counted up by dimension keys before the names are looked up. If the days asked
+    for are few, sales of other days are dropped before that. Else sales are first counted up
+    by day and dimension keys, so that equal sales of one day are one row when the day is
+    looked up.
     """
     shipped = date_dim.where(
         F.col("d_month_seq").between(month_seq, month_seq + months - 1)
     ).select("d_date_sk")
     places = ["cs_warehouse_sk", "cs_ship_mode_sk", "cs_call_center_sk"]
     delay = F.col("cs_ship_date_sk") - F.col("cs_sold_date_sk")
-    by_day = sales.groupBy("cs_ship_date_sk", *places).agg(*delay_counts(delay))
-    by_key = (
-        lookup_join(by_day, shipped, ("cs_ship_date_sk", "d_date_sk"))
-        .groupBy(*places)
-        .agg(*delay_totals())
-    )
+    if fits_broadcast(shipped, broadcast_rows):
+        dated = sales.join(F.broadcast(shipped), F.col("cs_ship_date_sk") == F.col("d_date_sk"))
+        by_key = dated.groupBy(*places).agg(*delay_counts(delay))
+    else:
+        by_day = sales.groupBy("cs_ship_date_sk", *places).agg(*delay_counts(delay))
+        by_key = (
+            lookup_join(by_day, shipped, ("cs_ship_date_sk", "d_date_sk"), broadcast_rows=0)
+            .groupBy(*places)
+            .agg(*delay_totals())
+        )
     named = by_key
     for keys, dim in (
         (("cs_warehouse_sk", "w_warehouse_sk"), warehouse.select("w_warehouse_sk", "w_warehouse_name")),

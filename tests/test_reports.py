@@ -34,6 +34,24 @@ def test_delay_classes_at_their_edges(spark):
     ]
 
 
+def test_sales_of_other_days_are_dropped_before_they_are_counted(spark, capsys):
+    sales = [(1500 - n, 900 + 7 * n % 1200, 1 + n % 2, 1, 1) for n in range(400)] * 2
+    sales += [(None, 1500, 1, 2, 1), (1490, None, 1, 1, 1)]
+    found, by_day = {}, {}
+    *dims, days = star(spark, sales)
+    # A day that comes twice counts twice.
+    days = days.unionByName(days.where("d_date_sk = 1502"))
+    for limit in (2000, 0):
+        report = reports.late_shipments(*dims, days, broadcast_rows=limit)
+        report.explain("simple")
+        by_day[limit] = "HashAggregate(keys=[cs_ship_date_sk" in capsys.readouterr().out
+        found[limit] = [tuple(r) for r in report.collect()]
+    assert found[2000] == found[0] and len(found[0]) == 2
+    assert by_day == {2000: False, 0: True}
+    reports.late_shipments(*dims, days).explain("simple")
+    assert "HashAggregate(keys=[cs_ship_date_sk" not in capsys.readouterr().out
+
+
 def test_report_keeps_the_first_hundred(spark):
     _, _, mode, centre, days = star(spark, [])
     warehouse = spark.range(150).select(
