@@ -7,10 +7,11 @@ stopped and a repeated micro-batch overwrites its own output.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from loadlens.functions.dates import instant, wall_time
 from loadlens.operators.logs import LogKind, classify, result_rows, skipped_lines
@@ -85,7 +86,7 @@ def tumbling_sum(
 
 
 def ingest_logs(
-    lines: DataFrame, kind: LogKind, folder: str, every: int = NUMBER_EVERY
+    lines: DataFrame | Sequence[DataFrame], kind: LogKind, folder: str, every: int = NUMBER_EVERY
 ) -> tuple[DataFrame, DataFrame]:
     """Parse lines as they come; returns the tables of result rows and skipped lines.
 
@@ -96,47 +97,67 @@ def ingest_logs(
     A micro-batch is one job, which parses its lines and stores them. Lines are numbered by
     epochs of ``every`` batches, which are published as in :func:`_latest`; those of the
     open epoch are numbered when they are read.
+
+    Several streams, of equal columns and of which no two read a file, run side by side into
+    one table: a stream's batches come one after the other, which leaves most of a cluster
+    idle if they are small. Each has its own state; pass them in the same order again.
     """
-    numbered = {"path", "_start", "_length"} <= set(lines.columns)
-    spark = lines.sparkSession
-    classed = classify(lines, kind, blank=True)
-    plain = classed.drop("_start", "_length")
+    streams = [lines] if isinstance(lines, DataFrame) else list(lines)
+    parts = [""] if isinstance(lines, DataFrame) else [f"/stream={n}" for n in range(len(streams))]
+    numbered = {"path", "_start", "_length"} <= set(streams[0].columns)
+    spark = streams[0].sparkSession
+    schema = classify(streams[0], kind, blank=True).schema
+    plain = [f for f in schema if f.name not in ("_start", "_length")]
     ids = [T.StructField("_id", T.LongType())] if numbered else []
-    parsed = T.StructType([*classed.schema.fields, *ids])
-    told = T.StructType([*plain.schema.fields, T.StructField("line", T.LongType())])
+    parsed = T.StructType([*schema.fields, *ids])
+    told = T.StructType([*plain, T.StructField("line", T.LongType())])
 
-    def skipped(session: SparkSession, epoch: int) -> DataFrame:
-        stored = session.read.schema(parsed).parquet(f"{folder}/classed/epoch={epoch}")
+    def skipped(session: SparkSession, epochs: Sequence[str]) -> DataFrame:
+        base = f"{folder}/classed"
+        stored = session.read.schema(parsed).option("basePath", base).parquet(
+            *[f"{base}{epoch}" for epoch in epochs]
+        )
         bad = stored.where("reason <> 'blank'")
         none = F.lit(None).cast("bigint")
         bad = with_line_numbers(bad, stored) if numbered else bad.withColumn("line", none)
         return bad.select(*told.names)
 
-    def open_epoch(session: SparkSession, epoch: int) -> None:
+    def open_epoch(session: SparkSession, part: str, epoch: int) -> None:
         session.createDataFrame([], parsed).write.mode("ignore").parquet(
-            f"{folder}/classed/epoch={epoch}/batch=-1"
+            f"{folder}/classed{part}/epoch={epoch}/batch=-1"
         )
 
-    def write(batch: DataFrame, number: int) -> None:
-        # Parsing gives one row a line, so ids given after it grow along each split too.
-        session, epoch = batch.sparkSession, number // every
-        stored = with_ids(batch) if numbered else batch
-        stored.write.mode("overwrite").parquet(f"{folder}/classed/epoch={epoch}/batch={number}")
-        if number % every == every - 1 and _published(session, folder) < epoch:
-            skipped(session, epoch).write.mode("overwrite").parquet(
-                f"{folder}/skipped/epoch={epoch}"
+    def start(stream: DataFrame, part: str) -> StreamingQuery:
+        published = f"{folder}/published{part}"
+
+        def write(batch: DataFrame, number: int) -> None:
+            # Parsing gives one row a line, so ids given after it grow along each split too.
+            session, epoch = batch.sparkSession, number // every
+            stored = with_ids(batch) if numbered else batch
+            stored.write.mode("overwrite").parquet(
+                f"{folder}/classed{part}/epoch={epoch}/batch={number}"
             )
-            open_epoch(session, epoch + 1)
-            _publish(session, folder, epoch)
-
-    spark.createDataFrame([], told).write.mode("ignore").parquet(f"{folder}/skipped/epoch=-1")
-    open_epoch(spark, 0)
-    _publish(spark, folder, -1, "ignore")
-    _run(classed, "append", folder, write)
-    stored = spark.read.schema(parsed).parquet(f"{folder}/classed").select(*plain.columns)
-    newest = _published(spark, folder)
-    closed = spark.read.schema(told).parquet(f"{folder}/skipped").where(F.col("epoch") <= newest)
-    bad = closed.select(*told.names).unionByName(skipped(spark, newest + 1))
+            if number % every == every - 1 and _published(session, published) < epoch:
+                skipped(session, [f"{part}/epoch={epoch}"]).write.mode("overwrite").parquet(
+                    f"{folder}/skipped{part}/epoch={epoch}"
+                )
+                open_epoch(session, part, epoch + 1)
+                _publish(session, published, epoch)
+
+        open_epoch(spark, part, 0)
+        _publish(spark, published, -1, "ignore")
+        return _start(classify(stream, kind, blank=True), "append", f"{folder}/state{part}", write)
+
+    _await(start(stream, part) for stream, part in zip(streams, parts))
+    stored = spark.read.schema(parsed).parquet(f"{folder}/classed").select(*[f.name for f in plain])
+    newest = {part: _published(spark, f"{folder}/published{part}") for part in parts}
+    bad = skipped(spark, [f"{part}/epoch={epoch + 1}" for part, epoch in newest.items()])
+    closed = [
+        f"{folder}/skipped{part}/epoch={n}" for part, epoch in newest.items() for n in range(epoch + 1)
+    ]
+    if closed:
+        read = spark.read.schema(told).option("basePath", f"{folder}/skipped").parquet(*closed)
+        bad = read.select(*told.names).unionByName(bad)
     return result_rows(stored), skipped_lines(bad)
 
 
@@ -145,27 +166,36 @@ def _start_empty(rows: DataFrame, path: str) -> None:
     rows.sparkSession.createDataFrame([], rows.schema).write.mode("ignore").parquet(path)
 
 
-def _published(spark: SparkSession, folder: str) -> int:
+def _published(spark: SparkSession, path: str) -> int:
     """The newest epoch that is published, -1 before the first."""
-    versions = spark.read.schema("epoch BIGINT").parquet(f"{folder}/published")
-    return versions.agg(F.max("epoch")).first()[0]
+    return spark.read.schema("epoch BIGINT").parquet(path).agg(F.max("epoch")).first()[0]
 
 
-def _publish(spark: SparkSession, folder: str, epoch: int, mode: str = "append") -> None:
-    spark.createDataFrame([(epoch,)], "epoch BIGINT").coalesce(1).write.mode(mode).parquet(
-        f"{folder}/published"
-    )
+def _publish(spark: SparkSession, path: str, epoch: int, mode: str = "append") -> None:
+    spark.createDataFrame([(epoch,)], "epoch BIGINT").coalesce(1).write.mode(mode).parquet(path)
 
 
-def _run(rows: DataFrame, mode: str, folder: str, write) -> None:
-    query = (
+def _start(rows: DataFrame, mode: str, state: str, write) -> StreamingQuery:
+    return (
         rows.writeStream.outputMode(mode)
         .foreachBatch(write)
-        .option("checkpointLocation", f"{folder}/state")
+        .option("checkpointLocation", state)
         .trigger(availableNow=True)
         .start()
     )
-    query.awaitTermination()
+
+
+def _await(queries: Iterable[StreamingQuery]) -> None:
+    """Start and end all; a fault of one ends the others too."""
+    started = []
+    try:
+        for query in queries:
+            started.append(query)
+        for query in started:
+            query.awaitTermination()
+    finally:
+        for query in started:
+            query.stop()
 
 
 def _latest(
@@ -182,6 +212,7 @@ def _latest(
     spark = updates.sparkSession
     schema = T.StructType([*updates.schema.fields, T.StructField("batch", T.LongType())])
     values = [c for c in updates.columns if c not in keys]
+    published = f"{folder}/published"
 
     def merged(session: SparkSession, epoch: int) -> DataFrame:
         """Everything up to the changes of the epoch after a published one."""
@@ -202,15 +233,15 @@ def _latest(
     def write(batch: DataFrame, number: int) -> None:
         session, epoch = batch.sparkSession, number // every
         batch.write.mode("overwrite").parquet(f"{folder}/changes/epoch={epoch}/batch={number}")
-        if number % every == every - 1 and _published(session, folder) < epoch:
+        if number % every == every - 1 and _published(session, published) < epoch:
             merged(session, epoch - 1).write.mode("overwrite").parquet(
                 f"{folder}/snapshots/epoch={epoch}"
             )
             open_epoch(session, epoch + 1)
-            _publish(session, folder, epoch)
+            _publish(session, published, epoch)
 
     spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{folder}/snapshots/epoch=-1")
     _start_empty(updates, f"{folder}/changes/epoch=0/batch=-1")
-    _publish(spark, folder, -1, "ignore")
-    _run(updates, "update", folder, write)
-    return merged(spark, _published(spark, folder)).drop("batch")
+    _publish(spark, published, -1, "ignore")
+    _await([_start(updates, "update", f"{folder}/state", write)])
+    return merged(spark, _published(spark, published)).drop("batch")

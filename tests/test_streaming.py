@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loadlens.operators.logs import KINDS
-from loadlens.plans import log_reports
+from loadlens.plans import catalog, log_reports
 from loadlens.session import scratch_path
 from loadlens.streaming import jobs
 from tests.test_logs import TIMER
@@ -208,3 +208,67 @@ def test_a_micro_batch_of_lines_is_one_job(spark, tmp_path):
     # All else is done once for the whole run.
     assert jobs_so_far() - before < files + 20
     assert [r.line for r in skipped.collect()] == [2] * files
+
+
+def test_streams_side_by_side_are_one_table(spark, tmp_path):
+    feed, folder = tmp_path / "logs", tmp_path / "ingest"
+    good = json.dumps(TIMER)
+
+    def add(*numbers):
+        for n in numbers:
+            (feed / f"run={n}").mkdir(parents=True)
+            text = "".join(("noise", good, "", "{")[(i + n) % 4] + "\n" for i in range(2 * n + 3))
+            (feed / f"run={n}/a.log").write_text(text)
+
+    def run(folder=folder):
+        lines = [
+            jobs.read_log_stream(spark, f"{feed}/run=*{end}", files_per_batch=1)
+            for end in ("[02468]", "[13579]", "[!0-9]")
+        ]
+        rows, skipped = jobs.ingest_logs(lines, KINDS["timer_jitter"], str(folder), every=2)
+        scan = log_reports.analyze(spark, str(feed), "timer_jitter")
+        told = sorted((r.path, r.line, r.reason) for r in skipped.collect())
+        assert told == sorted((r.path, r.line, r.reason) for r in scan.skipped.collect())
+        assert rows.count() == scan.rows.count()
+        return skipped, told
+
+    add(0, 1, 2, 3, 4, 6)
+    before, told = run()
+    # A fault of the first stream alone, before its second epoch was published.
+    again = tmp_path / "again"
+    shutil.copytree(folder, again, ignore=lambda at, names: {
+        n for n in names if n in ("3", ".3.crc")} if at.endswith("/stream=0/commits") else set())
+    spark.createDataFrame([(-1,), (0,)], "epoch BIGINT").coalesce(1).write.mode("overwrite").parquet(
+        f"{again}/published/stream=0")
+    run(again)
+    add(5, 7, 10)
+    run()
+    # What an earlier run returned still stands.
+    assert told == sorted((r.path, r.line, r.reason) for r in before.collect())
+    epochs = lambda n: sorted(r.epoch for r in spark.read.parquet(f"{folder}/published/stream={n}").collect())
+    assert [epochs(n) for n in range(3)] == [[-1, 0, 1], [-1, 0, 1], [-1]]
+
+
+def test_a_fault_of_one_stream_ends_them_all(spark, tmp_path):
+    lines = []
+    for name in ("a", "b"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.log").write_text(json.dumps(TIMER) + "\n")
+        lines.append(jobs.read_log_stream(spark, str(tmp_path / name)))
+    lines[0] = lines[0].withColumn("value", F.raise_error(F.lit("no such line")).cast("string"))
+    with pytest.raises(Exception, match="no such line"):
+        jobs.ingest_logs(lines, KINDS["timer_jitter"], str(tmp_path / "ingest"))
+    assert spark.streams.active == []
+
+
+def test_streamed_buckets_of_every_last_digit_count(spark, tmp_path):
+    events = spark.range(0, 75_000, 300).select(
+        F.col("id").alias("event_id"), F.expr("timestamp_ntz '2024-01-01'").alias("ts"),
+        F.lit(1).cast("bigint").alias("user_id"), F.lit("view").alias("event_type"),
+        F.lit(2.5).alias("value"), F.lit("{}").alias("props"),
+    )
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    told = lambda name: sorted(
+        tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect())
+    found = told("stream_log_lines")
+    assert found == told("log_lines_numbered") and len({r[0] for r in found}) == 25
